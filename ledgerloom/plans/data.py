@@ -64,7 +64,7 @@ _RECORD = r"""(?:"(?:[^"]|"")*"|[^",\r\n]*)(?:,(?:"(?:[^"]|"")*"|[^",\r\n]*))*""
 _P7 = rf"""WITH r AS (
   SELECT line_id, file_name, line_no, raw_line, regexp_full_match(raw_line, '{_RECORD}') AS fits,
          list_transform(regexp_extract_all(',' || raw_line, ',("(?:[^"]|"")*"|[^",\r\n]*)', 1),
-           x -> CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS cells
+           lambda x: CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS cells
   FROM spend_lines),
 h AS (SELECT file_name, cells AS names FROM r WHERE line_no = 1),
 b AS (SELECT line_id, fits, cells, names, cells[list_position(names, 'spend')] AS spend, cells[list_position(names, 'prompt_tokens')] AS prompt_tokens,
