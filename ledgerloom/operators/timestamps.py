@@ -95,7 +95,6 @@ SHAPES = tuple(
 _EPOCH = {10: 1_000_000, 13: 1_000, 16: 1}
 _CANONICAL = re.compile(r"9999-99-99T99:99:99(?:\.9+)?Z\Z")
 _MASK_CACHE: dict[str, tuple | None] = {}
-_DIGITS = str.maketrans("0123456789", "9" * 10)
 
 
 def _parser(mask: str) -> tuple | None:
@@ -233,13 +232,13 @@ def spell(micros: np.ndarray) -> pa.Array:
 
 
 def normalised(
-    df: DataFrame, value: str, owner: str, owners: DataFrame, keep: list[str], tables: ZoneTables | None = None, cases_only: bool = False
+    df: DataFrame, value: str, owner: str, owners: DataFrame, keep: list[str], tables: ZoneTables | None = None, cases_only: bool = False, keep_blank: bool = False
 ) -> DataFrame:
     """``df`` as ``keep`` columns plus ``utc`` (text), ``instant`` (timestamp, null
     if none) and ``canonical`` of the string column ``value``.
 
     ``owners`` has ``owner_key`` (folded) and ``time_zone``; one row for each key.
-    Null and blank values give no row. ``cases_only`` leaves out values that are
+    Null and blank values give no row, with ``keep_blank`` one without instant. ``cases_only`` leaves out values that are
     real times in canonical spelling. Column names that clash with the added
     ones must be renamed by the caller.
     """
@@ -248,7 +247,8 @@ def normalised(
         iana = sorted(spark._jvm.java.time.ZoneId.getAvailableZoneIds())  # some 600 names: the most that the next line can fetch
         tables = zone_tables(spark, [r[0] for r in owners.filter(F.col("time_zone").isin(iana)).select("time_zone").distinct().collect()])
     rows = df.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.col(value).alias("v"), fold(F.col(owner)).alias("o"))
-    rows = rows.filter(F.col("v").isNotNull() & (F.btrim("v", F.lit(SPACES)) != ""))
+    if not keep_blank:
+        rows = rows.filter(F.col("v").isNotNull() & (F.btrim("v", F.lit(SPACES)) != ""))
     joined = rows.join(owners.select("owner_key", "time_zone"), F.col("o") == F.col("owner_key"), "left").drop("o", "owner_key")
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     shared = tables
