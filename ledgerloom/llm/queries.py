@@ -3,14 +3,74 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import SPACES, strip
+from ledgerloom.llm import distinct, quantiles
+from ledgerloom.llm.encode import encoded
+from ledgerloom.llm.frequent import frequent
 from ledgerloom.llm.sentences import sentences
+from ledgerloom.llm.tasks import task_bound
+from ledgerloom.operators.timestamps import normalised, zone_owners
 from ledgerloom.session import read
 
+#: Percentiles that are reported.
+QUANTILES = [0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999]
+
+
+def _dated(spark: SparkSession, sf: str, keep: list[str]) -> DataFrame:
+    """``synthetic`` with ``day``, the UTC date of ``startTime`` (null if it names no instant)."""
+    owners = zone_owners(read(spark, sf, "time_zones"), "organization")
+    utc = normalised(read(spark, sf, "synthetic"), "startTime", "organization_id", owners, keep, keep_blank=True)
+    return utc.select(*keep, F.to_date("instant").alias("day"))
+
+
+def p3_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles of each model and day."""
+    rows = _dated(spark, sf, ["model", "total_tokens", "spend"])
+    return quantiles.percentiles(rows, ["day", "model"], ["total_tokens", "spend"], QUANTILES)
+
+
+def p3_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles of each model over all days, from the merged sketches of its days."""
+    rows = _dated(spark, sf, ["model", "total_tokens", "spend"])
+    keys = ["day", "model"]
+    days = quantiles.merged(quantiles.partial_sketches(rows, keys, ["total_tokens", "spend"]), keys, task_bound(rows))
+    ordinal = F.coalesce(F.pmod(F.unix_date("day"), F.lit(4096)), F.lit(0))
+    return quantiles.evaluated(quantiles.rolled_up(days, keys, "day", ordinal, 4096), ["model"], QUANTILES)
+
+
+def p4_frequent(spark: SparkSession, sf: str) -> DataFrame:
+    """All values above one percent with their counts and the summaries' estimates."""
+    return frequent(read(spark, sf, "synthetic"), ["api_key", "user", "end_user"], 0.01)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_frequent(spark, sf).select("field", "value")
+
+
+def p6_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct keys, sessions and teams of each day, team, model and combination."""
+    rows = _dated(spark, sf, ["api_key", "session_id", "team_id", "model"])
+    value = lambda c: F.nullif(strip(F.col(c)), F.lit(""))
+    rows = rows.select("day", value("team_id").alias("team"), "model", value("api_key").alias("api_key"), value("session_id").alias("session_id"), value("team_id").alias("team_id"))
+    return distinct.distinct_counts(rows, ["day", "team", "model"], ["api_key", "session_id", "team_id"])
+
+
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encoded(read(spark, sf, "documents"))
+
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences(read(spark, sf, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p10_found,)}
-SQL: dict[str, str] = {}
+QUERIES = {q.__name__: q for q in (p3_percentiles, p3_days, p4_found, p4_frequent, p6_distinct, p8_ids, p10_found)}
+
+_CHARS = "||".join(f"chr({ord(c)})" for c in SPACES)
+_VALUES = " UNION ALL ".join(f"""SELECT '{f}' AS field, nfc_normalize(trim("{f}", {_CHARS})) AS value FROM synthetic""" for f in ("api_key", "user", "end_user"))
+SQL: dict[str, str] = {
+    "p4_found": f"""WITH v AS (SELECT field, value FROM ({_VALUES}) WHERE value <> ''),
+n AS (SELECT field, value, count(*) AS n FROM v GROUP BY ALL)
+SELECT field, value FROM (SELECT *, sum(n) OVER (PARTITION BY field) AS rows FROM n) WHERE n > 0.01 * rows""",
+}

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,7 +146,14 @@ def corpus_statistics(documents: DataFrame) -> Statistics:
         )
 
     counted = documents.select("text").mapInArrow(run, "script string, kind string, token string, word string, n bigint")
-    counted = counted.groupBy("script", "kind", "token", "word").agg(F.sum("n").alias("n"))
+    counted = counted.groupBy("script", "kind", "token", "word").agg(F.sum("n").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _judged(counted)
+    finally:
+        counted.unpersist()
+
+
+def _judged(counted: DataFrame) -> Statistics:
     sums = {(r[0], r[1]): r[2] for r in counted.groupBy("script", "kind").agg(F.sum("n")).collect()}
     if not sums:
         return Statistics()

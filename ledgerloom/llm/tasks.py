@@ -1,0 +1,14 @@
+"""What a plan needs to know of the tasks it will run as."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def task_bound(df: DataFrame) -> int:
+    """About the most tasks a scan of ``df`` runs as, from the optimizer's size
+    estimate; it sets the height of merge trees, never their result."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    spark = df.sparkSession
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return int(min(size // max(split, 1), 10_000_000)) + max(spark.sparkContext.defaultParallelism, 1)
