@@ -131,7 +131,7 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Full-text index over tokens 1..size-1; tokens 0 part the text and are never searched."""
+    """Full-text index over tokens 1..size-1; tokens 0 part the text, end it, and are never searched."""
 
     def __init__(self, tokens: np.ndarray, size: int, sample: int = SAMPLE):
         n = len(tokens)

@@ -53,6 +53,8 @@ _LEAD = _QUOTES + "([¿¡" + _SPACE
 _AFTER = re.compile(r"([.!?؟])([\xa0\"”»“’)]*)\s+[\"“„«‘»(¿¡\s]*([^\s\"“„«‘»(¿¡.,!?]{1,24})")
 _WORD = re.compile(rf"[{re.escape(_LEAD)}]*([^\s\"“„«»‘’”(.,!?…]+)")
 _DIGIT = re.compile(r"\d")
+_INNER = re.compile(rf"[!?…(¿¡{_QUOTES}]+")
+_INITIAL_BEFORE = re.compile(r"(?:^|[\s(\"“„«»‘])[^\W\d_]\.\s+\Z")
 _RANGES = {
     "th": re.compile("[฀-๿]"), "hi": re.compile("[ऀ-ॿ]"), "ar": re.compile("[؀-ۿ]"), "ru": re.compile("[Ѐ-ӿ]"),
     "kana": re.compile("[぀-ヿ]"), "zh": re.compile("[㐀-鿿]"),
@@ -90,11 +92,13 @@ def script_of(text: str) -> str:
 
 @dataclass(frozen=True)
 class Statistics:
-    """What the corpus tells: starters, tokens before names, suffixes (by script), and tails of Thai sentences."""
+    """What the corpus tells: starters, tokens before names, suffixes (by script), the shapes
+    of tokens before names apart from misread letters, and tails of Thai sentences."""
 
     starters: dict[str, frozenset] = field(default_factory=dict)
     before_names: dict[str, frozenset] = field(default_factory=dict)
     suffixes: dict[str, frozenset] = field(default_factory=dict)
+    shapes: dict[str, frozenset] = field(default_factory=dict)
     tails: frozenset = frozenset()
 
 
@@ -188,7 +192,8 @@ def _judged(counted: DataFrame) -> Statistics:
         elif r.n - r.upper > SUFFIX * r.n:
             suffix.setdefault(r.script, set()).add(r.token)
     frozen = lambda d: {k: frozenset(v) for k, v in d.items()}
-    return Statistics(frozen(starters), frozen(before), frozen(suffix), frozenset(tails))
+    shapes = {k: {_shape(w) for w in v if len(w) > 1} for k, v in before.items()}
+    return Statistics(frozen(starters), frozen(before), frozen(suffix), frozen(shapes), frozenset(tails))
 
 
 def _token_before(s: str, i: int) -> str:
@@ -196,7 +201,7 @@ def _token_before(s: str, i: int) -> str:
     if "\n" in piece:
         piece = _HYPHEN.sub("", piece)
     last = piece.split()[-1:]
-    return last[0].lstrip(_LEAD) if last else ""
+    return _INNER.split(last[0])[-1] if last else ""
 
 
 def _word_after(s: str, i: int) -> str:
@@ -210,12 +215,30 @@ def _word_after(s: str, i: int) -> str:
     return word
 
 
+# Fixed value: letters that scans take for one another, each with the one that stands for its group.
+_CONFUSED = str.maketrans("cea0utſsi1bq58", "oooonfffllhgfh")
+
+
+def _shape(word: str) -> str:
+    """A word up to misread letters."""
+    return word.replace("rn", "m").replace("cl", "d").translate(_CONFUSED)
+
+
+_MONTH_SHAPES = frozenset(_shape(m) for m in MONTHS)
+
+
 def _misread_capital(word: str, starters: frozenset | tuple) -> bool:
     """Whether a lower-case word is a starter whose capital I was misread as l."""
     return word[0] == "l" and word not in starters and "i" + word[1:] in starters
 
 
-def _dot_ends(script: str, token: str, word: str, near: bool, stats: Statistics, plain: frozenset | set) -> bool:
+def _names(folded: str, script: str, stats: Statistics) -> bool:
+    """Whether a token stands before names, also where a letter of it was misread."""
+    known = stats.before_names.get(script, ())
+    return folded in known or len(folded) > 1 and _shape(folded) in stats.shapes.get(script, ()) or "." in folded and folded.rpartition(".")[2] in known
+
+
+def _dot_ends(script: str, token: str, word: str, near: bool, stats: Statistics, plain: frozenset | set, left: str = "") -> bool:
     """Whether the dot after ``token`` and before ``word`` is a full stop. ``near``: no space between."""
     folded = token.casefold()
     start = stats.starters.get(script, frozenset())
@@ -224,16 +247,19 @@ def _dot_ends(script: str, token: str, word: str, near: bool, stats: Statistics,
     if near and not (first.isupper() and len(token) > 2 and token[-1:].islower()):
         return False
     if not word:
-        return bool(token) and not (len(token) == 1 and not token.islower() and token.isalpha()) and folded not in stats.before_names.get(script, ())
+        return bool(token) and not (len(token) == 1 and not token.islower() and token.isalpha()) and not _names(folded, script, stats)
     if first.islower() and not _misread_capital(word, start):
         return False
     if first in ",;:—–-":
         return False
     if _DIGIT.search(token):
-        return not first.isdigit() and word.casefold() not in MONTHS
+        if first.isupper() and (len(token) == 1 and _INITIAL_BEFORE.search(left) or len(token) <= 5 and not token.isdigit() and _names(folded, script, stats)):
+            return False  # an initial or a title with a letter misread as a digit
+        ordinal = token.isdigit() and len(token) <= 2 and (word.casefold() in MONTHS or _shape(word.casefold()) in _MONTH_SHAPES)
+        return not first.isdigit() and not ordinal
     if len(token) == 1 and token.isalpha() and not token.islower():
         return False
-    if folded in stats.before_names.get(script, ()) and not (starter and folded in plain):
+    if _names(folded, script, stats) and not (starter and folded in plain):
         return False
     if first.isdigit():
         return len(token) > 4 and token.isalpha() and folded not in stats.suffixes.get(script, ())
@@ -310,7 +336,7 @@ def _ends(text: str, script: str, stats: Statistics) -> Iterator[int]:
             plain = {w.casefold() for w in re.findall(r"\w+(?![\w.])", text)}
         if speakers and closed and word.startswith(speakers):
             continue
-        if _dot_ends(script, token, word, near, stats, plain):
+        if _dot_ends(script, token, word, near, stats, plain, text[max(0, i - len(token) - 8) : max(0, i - len(token))]):
             yield e
 
 
