@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.accounting import PLACEHOLDERS, blank, empty, unsigned
-from ledgerloom.operators.usage import COMPARED, SUPPORTED, total_on
+from ledgerloom.operators.usage import compared, supported, total_on
 
 FIELDS = ("route", "model", "model_id", "attempted_fallbacks", "agent_id", "status")
 
@@ -25,7 +25,7 @@ def fallback_state(col: Column) -> Column:
 
 def cohorts(rows: DataFrame) -> DataFrame:
     """Routing counts at three grains in one pass: all, route and agent, route, agent and model (GROUPING SETS)."""
-    x = rows.filter(COMPARED & SUPPORTED).select(
+    x = rows.filter(compared() & supported()).select(
         "side", "total", "row_number", "amount", fallback_state(F.col("attempted_fallbacks")).alias("fallbacks"),
         F.when(text_state(F.col("route")) == "known", F.col("route")).alias("route"), F.when(~blank(F.col("agent_id")), F.col("agent_id")).alias("agent"),
         F.when((text_state(F.col("model")) == "known") & (text_state(F.col("model_id")) == "known"), F.col("model")).alias("chosen"),
@@ -66,7 +66,7 @@ def remainder(rows: DataFrame, top: int = 5) -> DataFrame:
 def field_coverage(rows: DataFrame) -> DataFrame:
     """States of the routing fields, over all calls and by call type (ROLLUP)."""
     named = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), text_state(F.col(f)).alias("state")) for f in FIELDS])).alias("x")
-    x = rows.filter(COMPARED).select("call_type", named).select("call_type", "x.field", "x.state")
+    x = rows.filter(compared()).select("call_type", named).select("call_type", "x.field", "x.state")
     return x.groupBy("field", "state", "call_type").agg(F.count(F.lit(1)).alias("n")).rollup("field", "state", "call_type").agg(
         F.grouping("call_type").cast("int").alias("all_types"), F.sum("n").cast("bigint").alias("n"), F.grouping("state").alias("g")
     ).filter("g = 0").drop("g")
@@ -87,7 +87,7 @@ def tag_labels(tags: Column, prefix: str) -> Column:
 def by_agent_tag(rows: DataFrame, prefix: str = "agent:") -> DataFrame:
     """Rows of each side by what their tags say: one agent, several, or none known."""
     labels = tag_labels(F.col("request_tags"), prefix)
-    x = rows.filter(COMPARED & SUPPORTED).select("side", "total", "request_tags", labels.alias("labels"))
+    x = rows.filter(compared() & supported()).select("side", "total", "request_tags", labels.alias("labels"))
     state = (
         F.when(empty(F.col("request_tags")), "absent").when(F.col("labels").isNull(), "invalid").when(F.size("labels") == 1, "known")
         .when(F.size("labels") > 1, "ambiguous").otherwise("unknown")
@@ -100,7 +100,7 @@ def by_agent_tag(rows: DataFrame, prefix: str = "agent:") -> DataFrame:
 def by_agent(rows: DataFrame) -> DataFrame:
     """The exclusive partition of requests into agents and unknown."""
     agent = F.when(~blank(F.col("agent_id")), F.col("agent_id"))
-    return rows.filter(COMPARED & SUPPORTED).groupBy(agent.alias("agent")).agg(
+    return rows.filter(compared() & supported()).groupBy(agent.alias("agent")).agg(
         total_on(0, F.lit(1)).alias("requests_before"), total_on(1, F.lit(1)).alias("requests_after"),
         total_on(0, F.col("total")).alias("tokens_before"), total_on(1, F.col("total")).alias("tokens_after"),
         F.sum(F.when(F.col("side") == 0, F.col("amount"))).cast("decimal(38,6)").alias("spend_before"),

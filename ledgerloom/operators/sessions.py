@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.accounting import empty
-from ledgerloom.operators.usage import SUPPORTED
+from ledgerloom.operators.usage import supported
 
 
 def rollup(rows: DataFrame, start: datetime, end: datetime) -> DataFrame:
@@ -20,12 +20,12 @@ def rollup(rows: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """
     within = (F.col("start_time") >= F.lit(start).cast("timestamp_ntz")) & (F.col("start_time") < F.lit(end).cast("timestamp_ntz"))
     rejected = ~empty(F.col("rejection_kind"))
-    call = F.col("within") & ~rejected & SUPPORTED
+    call = F.col("within") & ~rejected & supported()
     paid = call & (F.col("amount") > 0)
     x = rows.filter(~empty(F.col("session_id"))).withColumn("within", F.coalesce(within, F.lit(False)))
     members = lambda c: F.size(F.collect_set(F.when(F.col("within") & ~empty(F.col(c)), F.col(c)))).cast("bigint")  # noqa: E731  teams of a session are few
     g = x.groupBy("session_id").agg(
-        F.count_if(call).alias("calls"), F.count_if(F.col("within") & rejected).alias("rejections"), F.count_if(F.col("within") & ~rejected & ~SUPPORTED).alias("not_analysed"),
+        F.count_if(call).alias("calls"), F.count_if(F.col("within") & rejected).alias("rejections"), F.count_if(F.col("within") & ~rejected & ~supported()).alias("not_analysed"),
         F.coalesce(F.sum(F.when(call, F.col("total"))), F.lit(0)).cast("bigint").alias("tokens"),
         F.coalesce(F.sum(F.when(call, F.col("amount"))), F.lit(0)).cast("decimal(38,6)").alias("spend"),
         F.coalesce(F.sum(F.when(call, F.col("spend_missing") + F.col("spend_invalid"))), F.lit(0)).cast("bigint").alias("spend_unknown"),
@@ -73,7 +73,7 @@ def review(sessions: DataFrame, cap: float, top: int = 20) -> DataFrame:
 
 def unattributed(rows: DataFrame) -> DataFrame:
     """Spend of supported rows without a session."""
-    return rows.filter(SUPPORTED & empty(F.col("session_id"))).agg(
+    return rows.filter(supported() & empty(F.col("session_id"))).agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(38,6)").alias("spend"),
         F.coalesce(F.sum("spend_missing"), F.lit(0)).cast("bigint").alias("missing"), F.coalesce(F.sum("spend_invalid"), F.lit(0)).cast("bigint").alias("invalid"),
     )

@@ -14,11 +14,19 @@ from pyspark.sql.window import Window
 
 from ledgerloom.functions.accounting import FLAGS, blank, empty, unsigned
 
-COMPARED = F.col("side") >= 0
-SUPPORTED = F.col("operation").isNotNull()
 DIMENSIONS = {"key": "api_key", "team": "team_id", "user": "user", "end_user": "end_user", "session": "session_id"}
 
 
+def compared() -> Column:
+    """Rows of either period."""
+    return F.col("side") >= 0
+
+
+def supported() -> Column:
+    """Rows of call types that are analysed."""
+    return F.col("operation").isNotNull()
+
+
 def on(side: int, value: Column) -> Column:
     """``value`` on one side, null elsewhere."""
     return F.when(F.col("side") == side, value)
@@ -31,7 +39,7 @@ def total_on(side: int, value: Column, kind: str = "bigint") -> Column:
 def windows(rows: DataFrame) -> DataFrame:
     """Totals of each side over supported calls."""
     sums = {n: F.coalesce(F.sum(n), F.lit(0)).cast("bigint") for n in ("input", "output", "cache_read", "cache_write", "reasoning", "total")}
-    return rows.filter(COMPARED & SUPPORTED).groupBy("side").agg(
+    return rows.filter(compared() & supported()).groupBy("side").agg(
         F.count(F.lit(1)).alias("requests"), *[c.alias(f"{n}_tokens") for n, c in sums.items()],
         F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(38,6)").alias("spend"),
     )
@@ -39,18 +47,18 @@ def windows(rows: DataFrame) -> DataFrame:
 
 def quality(rows: DataFrame) -> DataFrame:
     """How many rows of each side carry each quality flag."""
-    return rows.filter(COMPARED & SUPPORTED).groupBy("side").agg(*[F.sum(f).cast("bigint").alias(f) for f in FLAGS])
+    return rows.filter(compared() & supported()).groupBy("side").agg(*[F.sum(f).cast("bigint").alias(f) for f in FLAGS])
 
 
 def levels(rows: DataFrame) -> DataFrame:
     """Observation levels of each side; levels that are not known count as 'unknown'."""
     known = F.when(F.col("level").isin("DEFAULT", "DEBUG", "WARNING", "ERROR"), F.col("level")).otherwise("unknown")
-    return rows.filter(COMPARED & SUPPORTED & ~empty(F.col("level"))).groupBy("side", known.alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.filter(compared() & supported() & ~empty(F.col("level"))).groupBy("side", known.alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def by_model(rows: DataFrame) -> DataFrame:
     """Requests and tokens of each model on both sides with their change, the largest change first."""
-    g = rows.filter(COMPARED & SUPPORTED).groupBy("model").agg(
+    g = rows.filter(compared() & supported()).groupBy("model").agg(
         total_on(0, F.lit(1)).alias("requests_before"), total_on(1, F.lit(1)).alias("requests_after"),
         total_on(0, F.col("total")).alias("tokens_before"), total_on(1, F.col("total")).alias("tokens_after"), F.min("row_number").alias("first_seen"),
     )
@@ -77,7 +85,7 @@ def call_types(rows: DataFrame) -> DataFrame:
             F.try_sum(value).alias(f"{n}_sum"), (F.try_sum(value).isNull() & (F.count(value) > 0)).alias(f"{n}_overflow"),
             F.count_if(~empty(F.col(c)) & value.isNull()).alias(f"{n}_invalid"), F.count_if(empty(F.col(c))).alias(f"{n}_missing"),
         ]
-    return rows.filter(COMPARED).groupBy("call_type", "side").agg(*aggs)
+    return rows.filter(compared()).groupBy("call_type", "side").agg(*aggs)
 
 
 def duplicates(rows: DataFrame) -> DataFrame:
@@ -86,7 +94,7 @@ def duplicates(rows: DataFrame) -> DataFrame:
 
 
 def _weights(rows: DataFrame, column: str, weight: Column) -> DataFrame:
-    keyed = rows.filter(COMPARED & SUPPORTED & ~blank(F.col(column)) & (F.col("missing") == 0))
+    keyed = rows.filter(compared() & supported() & ~blank(F.col(column)) & (F.col("missing") == 0))
     return keyed.groupBy(F.col(column).alias("member")).agg(
         total_on(0, weight).alias("before"), total_on(1, weight).alias("after"), F.min("row_number").alias("first_seen")
     )
@@ -118,7 +126,7 @@ def concentration(rows: DataFrame, dimension: str) -> DataFrame:
 def distinct_groups(rows: DataFrame, exact: bool = True) -> DataFrame:
     """Distinct members of each dimension on both sides, exactly or by HyperLogLog."""
     named = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(c).alias("member")) for d, c in DIMENSIONS.items()])).alias("x")
-    x = rows.filter(COMPARED & SUPPORTED).select("side", named).select("side", "x.dimension", "x.member").filter(~blank(F.col("member")))
+    x = rows.filter(compared() & supported()).select("side", named).select("side", "x.dimension", "x.member").filter(~blank(F.col("member")))
     if exact:
         return x.distinct().groupBy("dimension", "side").agg(F.count(F.lit(1)).alias("members"))
     return x.groupBy("dimension", "side").agg(F.approx_count_distinct("member", 0.008).alias("members"))
@@ -128,7 +136,7 @@ def cache_windows(rows: DataFrame) -> DataFrame:
     """Cache reads against the input of the same rows: rows without a valid count are set apart as missing or invalid."""
     known = F.col("input").isNotNull() & F.col("cache_read").isNotNull() & (F.col("cache_read") <= F.col("input"))
     absent = empty(F.col("cache_read_input_tokens"))
-    return rows.filter(COMPARED & SUPPORTED).groupBy("side").agg(
+    return rows.filter(compared() & supported()).groupBy("side").agg(
         F.count_if(known).alias("covered"), F.count_if(~known & absent).alias("missing"), F.count_if(~known & ~absent).alias("invalid"),
         F.coalesce(F.sum(F.when(known, F.col("input"))), F.lit(0)).cast("bigint").alias("input_tokens"),
         F.coalesce(F.sum(F.when(known, F.col("cache_read"))), F.lit(0)).cast("bigint").alias("read_tokens"),
@@ -138,7 +146,7 @@ def cache_windows(rows: DataFrame) -> DataFrame:
 def failure_tokens(rows: DataFrame) -> DataFrame:
     """Tokens of failed rows and of rows at level ERROR; no row where there are none."""
     kinds = F.explode(F.array_compact(F.array(F.when(F.col("failed") == 1, "failed"), F.when(F.col("error_level") == 1, "error"))))
-    return rows.filter(COMPARED & SUPPORTED & (F.col("total") > 0)).select("side", kinds.alias("kind"), "input", "output", "total").groupBy("side", "kind").agg(
+    return rows.filter(compared() & supported() & (F.col("total") > 0)).select("side", kinds.alias("kind"), "input", "output", "total").groupBy("side", "kind").agg(
         F.count(F.lit(1)).alias("records"), F.coalesce(F.sum("input"), F.lit(0)).cast("bigint").alias("input_tokens"),
         F.coalesce(F.sum("output"), F.lit(0)).cast("bigint").alias("output_tokens"), F.sum("total").cast("bigint").alias("total_tokens"),
     )
@@ -147,7 +155,7 @@ def failure_tokens(rows: DataFrame) -> DataFrame:
 def scope_counts(rows: DataFrame, column: str, wanted: str) -> DataFrame:
     """Rows of each side that match a scope, surely do not, or may (no identity)."""
     state = F.when(blank(F.col(column)), "unknown").when(F.col(column) == wanted, "matched").otherwise("other")
-    return rows.filter(COMPARED).groupBy("side", state.alias("scope")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.filter(compared()).groupBy("side", state.alias("scope")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def contributor_excess(rows: DataFrame, dimension: str, top: int = 20) -> DataFrame:

@@ -573,7 +573,7 @@ model, model_id, model_group AS route, CAST(prompt_tokens AS VARCHAR) AS prompt_
 
 @query(f"""{_REQUESTS} SELECT model, count(*) AS n, CAST(sum(total) AS BIGINT) AS tokens, CAST(coalesce(sum(amount), 0) AS DECIMAL(38,6)) AS spend, {', '.join(f'CAST(sum({f}) AS BIGINT) AS {f}' for f in FLAGS)} FROM classified WHERE operation IS NOT NULL GROUP BY model""")
 def request_quality(spark: SparkSession, sf: str) -> DataFrame:
-    rows = classified(usage_from_requests(read(spark, sf, "synthetic"))).filter(usage.SUPPORTED)
+    rows = classified(usage_from_requests(read(spark, sf, "synthetic"))).filter(usage.supported())
     return rows.groupBy("model").agg(
         F.count(F.lit(1)).alias("n"), F.sum("total").cast("bigint").alias("tokens"), F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(38,6)").alias("spend"), *[F.sum(f).cast("bigint").alias(f) for f in FLAGS]
     )
