@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -193,18 +192,36 @@ def merged(partials: DataFrame, keys: list[str], parts: int) -> DataFrame:
     schema = (_schema(partials, keys) + ", " if keys else "") + "metric string, part bigint, sketch binary"
     names = list(keys)
 
-    def join(table: pa.Table) -> pa.Table:
-        order = pc.sort_indices(table, [("part", "ascending")])
-        raw = table.column("sketch").take(order).to_pylist()
-        total = RelativeSketch.unpack(raw[0], len(raw))
-        for r in raw[1:]:
-            total.merge(RelativeSketch.unpack(r))
-        columns = {k: table.column(k).slice(0, 1) for k in names} | {"metric": table.column("metric").slice(0, 1)}
-        columns |= {"part": pa.array([min(table.column("part").to_pylist()) // FAN_IN], pa.int64()), "sketch": pa.array([total.pack()], pa.binary())}
-        return pa.table(columns)
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Merge neighbours of one group; the last of a batch may go on in the next."""
+        group: tuple | None = None
+        held: bytes | RelativeSketch = b""
+        for batch in batches:
+            out: list[tuple[tuple, bytes]] = []
+            columns = [batch.column(c).to_pylist() for c in (*names, "metric", "part")]
+            for *key, part, raw in zip(*columns, batch.column("sketch").to_pylist()):
+                mine = (*key, part // FAN_IN)
+                if mine != group:
+                    if group is not None:
+                        out.append((group, held if isinstance(held, bytes) else held.pack()))
+                    group, held = mine, raw
+                    continue
+                if isinstance(held, bytes):
+                    held = RelativeSketch.unpack(held, part)
+                held.merge(RelativeSketch.unpack(raw))
+            yield emitted(out, batch.schema)
+        if group is not None:
+            yield emitted([(group, held if isinstance(held, bytes) else held.pack())], batch.schema)
+
+    def emitted(out: list[tuple[tuple, bytes]], kinds: pa.Schema) -> pa.RecordBatch:
+        columns = [pa.array([k[i] for k, _ in out], kinds.field(c).type) for i, c in enumerate((*names, "metric", "part"))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([raw for _, raw in out], pa.binary())], names=[*names, "metric", "part", "sketch"])
+
+    by = [*names, "metric"]
     while True:
-        partials = partials.groupBy(*keys, "metric", F.floor(F.col("part") / FAN_IN).alias("node")).applyInArrow(join, schema)
+        node = F.floor(F.col("part") / FAN_IN)
+        ordered = partials.repartition(*by, node).sortWithinPartitions(*by, "part").select(*by, "part", "sketch")
+        partials = ordered.mapInArrow(run, schema)
         parts = -(-parts // FAN_IN)
         if parts <= 1:
             return partials
