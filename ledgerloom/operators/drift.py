@@ -66,17 +66,21 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
 
 
 def line_members(parsed: DataFrame) -> DataFrame:
-    """One row for each drifting member of each line, with what tells its quantity:
-    the residual of ``total`` over the stable token members."""
+    """Rows of each line: one with a null ``member``, and one for each drifting
+    member; with what tells its quantity, the residual of ``total`` over the stable
+    token members."""
     residual = F.try_variant_get(F.col("usage")[TOTAL], "$", "bigint")
     for name in STABLE:
         residual = residual - F.coalesce(F.try_variant_get(F.col("usage")[name], "$", "bigint"), F.lit(0))
     fixed = [*STABLE, TOTAL]
-    drifting = F.map_filter("usage", lambda k, _: ~k.isin(fixed))
-    rows = parsed.filter(F.size("usage") > 0).select("file_key", "line_no", residual.alias("residual"), F.explode_outer(drifting).alias("member", "value"))
-    return rows.select(
-        "file_key", "line_no", "residual", "member", F.coalesce(_type_bit(F.col("value")), F.lit(0)).alias("bit"), F.to_json("value").alias("text")
+    kind = "array<struct<member:string,bit:int,text:string>>"
+    drifting = F.transform(
+        F.map_entries(F.map_filter("usage", lambda k, _: ~k.isin(fixed))),
+        lambda e: F.struct(e["key"].alias("member"), _type_bit(e["value"]).alias("bit"), F.to_json(e["value"]).alias("text")),
     )
+    line = F.array(F.struct(F.lit(None).cast("string").alias("member"), F.lit(1).alias("bit"), F.lit(None).cast("string").alias("text")))
+    rows = parsed.filter(F.size("usage") > 0).select("file_key", residual.alias("residual"), F.explode(F.concat(line.cast(kind), drifting.cast(kind))).alias("m"))
+    return rows.select("file_key", "residual", "m.member", "m.bit", "m.text")
 
 
 def file_headers(lines: DataFrame) -> DataFrame:
@@ -99,8 +103,12 @@ def file_headers(lines: DataFrame) -> DataFrame:
         F.count_if(held & F.col("left") & (number == F.col("residual"))).alias("matches"),
         F.count_if(held & F.col("left") & (number != F.col("residual"))).alias("differs"),
     )
-    lefts = m.select("file_key", "line_no", "residual").distinct().groupBy("file_key").agg(F.count_if(F.col("residual") > 0).alias("lines_left"))
-    c = counted.filter(F.col("member").isNotNull()).join(lefts, "file_key")
+    # Three rows of a file at most come together here: its lines and two members.
+    one = F.struct("member", "types", "held_left", "held_none", "matches", "differs")
+    packed = counted.groupBy("file_key").agg(
+        F.max(F.when(F.col("member").isNull(), F.col("held_left"))).alias("lines_left"), F.collect_list(F.when(F.col("member").isNotNull(), one)).alias("members")
+    )
+    c = packed.select("file_key", "lines_left", F.explode("members").alias("m")).select("file_key", "lines_left", "m.*")
     against = F.col("held_none") + (F.col("lines_left") - F.col("held_left"))
     votes = (
         F.when((against > 0) & (F.col("matches") == 0), UNCOUNTED)
