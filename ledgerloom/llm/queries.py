@@ -58,6 +58,13 @@ def p6_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return distinct.distinct_counts(rows, ["day", "team", "model"], ["api_key", "session_id", "team_id"])
 
 
+def p6_exported(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by the day of the export, on the values as they stand, which SQL can count exactly."""
+    rows = read(spark, sf, "synthetic").select(F.to_date("exported_at").alias("day"), F.col("team_id").alias("team"), "model", "api_key", "session_id")
+    counts = distinct.distinct_counts(rows, ["day", "team", "model"], ["api_key", "session_id"])
+    return counts.select("grouped", "day", "team", "model", "n_api_key", "n_session_id")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encoded(read(spark, sf, "documents"))
 
@@ -70,11 +77,14 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences(read(spark, sf, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p3_percentiles, p3_days, p4_found, p4_frequent, p6_distinct, p8_ids, p9_found, p10_found)}
+QUERIES = {q.__name__: q for q in (p3_percentiles, p3_days, p4_found, p4_frequent, p6_distinct, p6_exported, p8_ids, p9_found, p10_found)}
 
 _CHARS = "||".join(f"chr({ord(c)})" for c in SPACES)
 _VALUES = " UNION ALL ".join(f"""SELECT '{f}' AS field, nfc_normalize(trim("{f}", {_CHARS})) AS value FROM synthetic""" for f in ("api_key", "user", "end_user"))
 SQL: dict[str, str] = {
+    "p6_exported": """SELECT concat_ws(',', CASE WHEN grouping(day) = 0 THEN 'day' END, CASE WHEN grouping(team) = 0 THEN 'team' END, CASE WHEN grouping(model) = 0 THEN 'model' END) AS grouped,
+day, team, model, count(DISTINCT api_key) AS n_api_key, count(DISTINCT session_id) AS n_session_id
+FROM (SELECT CAST(exported_at AS DATE) AS day, team_id AS team, model, api_key, session_id FROM synthetic) GROUP BY CUBE (day, team, model) HAVING count(api_key) + count(session_id) > 0""",
     "p4_found": f"""WITH v AS (SELECT field, value FROM ({_VALUES}) WHERE value <> ''),
 n AS (SELECT field, value, count(*) AS n FROM v GROUP BY ALL)
 SELECT field, value FROM (SELECT *, sum(n) OVER (PARTITION BY field) AS rows FROM n) WHERE n > 0.01 * rows""",
