@@ -29,6 +29,8 @@ from ledgerloom.llm.pages import Article, articles
 TOKEN_SHARE, TOKEN_COUNT = 5e-5, 8
 #: Share of the words after question and exclamation marks from which a word counts as a starter.
 STARTER_SHARE = 1e-3
+#: Share of the lower-case words after closed quotations from which a word counts as one of speaker clauses.
+SPEAKER_SHARE = 0.02
 #: A token followed by starters less often than this stands before names; one followed by lower case more often is a suffix.
 BEFORE_NAME, SUFFIX = 0.2, 0.3
 #: A line end of Thai needs its last characters before this share of the spaces within lines.
@@ -54,7 +56,6 @@ _AFTER = re.compile(r"([.!?؟])([\xa0\"”»“’)]*)\s+[\"“„«‘»(¿¡\s
 _WORD = re.compile(rf"[{re.escape(_LEAD)}]*([^\s\"“„«»‘’”(.,!?…]+)")
 _DIGIT = re.compile(r"\d")
 _INNER = re.compile(rf"[!?…(¿¡{_QUOTES}]+")
-_INITIAL_BEFORE = re.compile(r"(?:^|[\s(\"“„«»‘])[^\W\d_]\.\s+\Z")
 _RANGES = {
     "th": re.compile("[฀-๿]"), "hi": re.compile("[ऀ-ॿ]"), "ar": re.compile("[؀-ۿ]"), "ru": re.compile("[Ѐ-ӿ]"),
     "kana": re.compile("[぀-ヿ]"), "zh": re.compile("[㐀-鿿]"),
@@ -93,12 +94,14 @@ def script_of(text: str) -> str:
 @dataclass(frozen=True)
 class Statistics:
     """What the corpus tells: starters, tokens before names, suffixes (by script), the shapes
-    of tokens before names apart from misread letters, and tails of Thai sentences."""
+    of tokens before names apart from misread letters, words of speaker clauses, and
+    tails of Thai sentences."""
 
     starters: dict[str, frozenset] = field(default_factory=dict)
     before_names: dict[str, frozenset] = field(default_factory=dict)
     suffixes: dict[str, frozenset] = field(default_factory=dict)
     shapes: dict[str, frozenset] = field(default_factory=dict)
+    says: dict[str, frozenset] = field(default_factory=dict)
     tails: frozenset = frozenset()
 
 
@@ -116,6 +119,8 @@ def _count(texts: list[str | None]) -> Counter:
                 if mark != ".":
                     if not closer.strip() and not word[0].islower():
                         seen[script, "start", word.casefold(), ""] += 1
+                    elif closer.strip() and word[0].islower():
+                        seen[script, "say", word, ""] += 1
                     continue
                 token = text[max(0, m.start() - 16) : m.start()].split()[-1:]
                 token = token[0].lstrip(_LEAD) if token else ""
@@ -174,6 +179,9 @@ def _judged(counted: DataFrame) -> Statistics:
     starters: dict[str, set] = {}
     for r in at_least(counted.filter("kind = 'start'"), share("start", STARTER_SHARE)).collect():
         starters.setdefault(r.script, set()).add(r.token)
+    says: dict[str, set] = {}
+    for r in at_least(counted.filter("kind = 'say'"), share("say", SPEAKER_SHARE)).collect():
+        says.setdefault(r.script, set()).add(r.token)
     tails = {r.token for r in at_least(counted.filter("kind = 'tail'"), share("tail", THAI_SHARE)).collect()}
     known = F.lit(False)
     for script, words in starters.items():
@@ -193,7 +201,7 @@ def _judged(counted: DataFrame) -> Statistics:
             suffix.setdefault(r.script, set()).add(r.token)
     frozen = lambda d: {k: frozenset(v) for k, v in d.items()}
     shapes = {k: {_shape(w) for w in v if len(w) > 1} for k, v in before.items()}
-    return Statistics(frozen(starters), frozen(before), frozen(suffix), frozen(shapes), frozenset(tails))
+    return Statistics(frozen(starters), frozen(before), frozen(suffix), frozen(shapes), frozen(says), frozenset(tails))
 
 
 def _token_before(s: str, i: int) -> str:
@@ -216,7 +224,7 @@ def _word_after(s: str, i: int) -> str:
 
 
 # Fixed value: letters that scans take for one another, each with the one that stands for its group.
-_CONFUSED = str.maketrans("cea0utſsi1bq58", "oooonfffllhgfh")
+_CONFUSED = str.maketrans("cea0utſsi1bq58оп", "oooonfffllhgfhoн")
 
 
 def _shape(word: str) -> str:
@@ -238,8 +246,25 @@ def _names(folded: str, script: str, stats: Statistics) -> bool:
     return folded in known or len(folded) > 1 and _shape(folded) in stats.shapes.get(script, ()) or "." in folded and folded.rpartition(".")[2] in known
 
 
+def _suffix(folded: str, script: str, stats: Statistics) -> bool:
+    """Whether a token is an abbreviation after which a sentence goes on, also where a letter of it was misread."""
+    return _shape(folded) in {_shape(w) for w in stats.suffixes.get(script, ())}
+
+
+def _digit_for_initial(left: str, word: str, script: str, stats: Statistics) -> bool:
+    """Whether a single digit stands where an initial does: after a title or initial, or before an initial and not after a counting abbreviation."""
+    before = left.split()[-1:]
+    token = before[0].lstrip(_LEAD) if before else ""
+    folded = token.rstrip(".").casefold()
+    if token.endswith(".") and (len(folded) == 1 or _names(folded, script, stats)):
+        return True
+    return len(word) == 1 and not (token.endswith(".") and (folded in stats.suffixes.get(script, ()) or _DIGIT.search(folded)))
+
+
 def _dot_ends(script: str, token: str, word: str, near: bool, stats: Statistics, plain: frozenset | set, left: str = "") -> bool:
     """Whether the dot after ``token`` and before ``word`` is a full stop. ``near``: no space between."""
+    if "." in token and token.rpartition(".")[2][:1].isupper():  # no space after the full stop before, or p.m. in capitals
+        token = token.rpartition(".")[2]
     folded = token.casefold()
     start = stats.starters.get(script, frozenset())
     starter = word.casefold() in start
@@ -249,11 +274,12 @@ def _dot_ends(script: str, token: str, word: str, near: bool, stats: Statistics,
     if not word:
         return bool(token) and not (len(token) == 1 and not token.islower() and token.isalpha()) and not _names(folded, script, stats)
     if first.islower() and not _misread_capital(word, start):
-        return False
-    if first in ",;:—–-":
+        # What follows a full stop may start small where passages were put in; an abbreviation that goes on is a suffix.
+        return len(token) > 2 and token.isalpha() and not near and not _suffix(folded, script, stats) and not _names(folded, script, stats)
+    if first in ",;:—–-?!؟":
         return False
     if _DIGIT.search(token):
-        if first.isupper() and (len(token) == 1 and _INITIAL_BEFORE.search(left) or len(token) <= 5 and not token.isdigit() and _names(folded, script, stats)):
+        if first.isupper() and (len(token) == 1 and _digit_for_initial(left, word, script, stats) or len(token) <= 5 and not token.isdigit() and _names(folded, script, stats)):
             return False  # an initial or a title with a letter misread as a digit
         ordinal = token.isdigit() and len(token) <= 2 and (word.casefold() in MONTHS or _shape(word.casefold()) in _MONTH_SHAPES)
         return not first.isdigit() and not ordinal
@@ -308,8 +334,8 @@ def _ends(text: str, script: str, stats: Statistics) -> Iterator[int]:
             c = text[k : k + 1]
             if opened and c == CLOSERS[opened] and (k == e or c != '"' or not text[k + 1 : k + 2].isalnum()):
                 opened, e, closed = "", k + 1, True
-            elif k == e and c and c in _QUOTES and (k + 1 == n or text[k + 1] in _SPACE):
-                opened, e, closed = "", k + 1, True
+            elif c and c in _QUOTES and (k == e and (k + 1 == n or text[k + 1] in _SPACE) or c == "»" and text[k - 1] == "\xa0"):
+                opened, e, closed = "", k + 1, True  # also where the scan lost the opening quote
             elif c == ")" and k == e or (c in ("”", "’", "」", "』") and k == e and c):
                 e, closed = k + 1, closed or c != ")"
             else:
@@ -324,13 +350,15 @@ def _ends(text: str, script: str, stats: Statistics) -> Iterator[int]:
                         continue
                 elif word[0].islower() and not _misread_capital(word, stats.starters.get(script, ())):
                     continue
+                elif word.isupper() and word.casefold() in stats.says.get(script, ()):
+                    continue
             yield e
             continue
         if _PLAIN_DOTS.match(run):
             if text[i - 1 : i] != ".":
                 continue
         token = _token_before(text, i)
-        if script == "hi" or not token and not closed:
+        if script == "hi" or not token and not closed or text[e : e + 3].lstrip(_SPACE)[:1] == "(":
             continue
         if plain is None:
             plain = {w.casefold() for w in re.findall(r"\w+(?![\w.])", text)}
