@@ -34,7 +34,7 @@ SPEAKER_SHARE = 0.02
 #: A token followed by starters less often than this stands before names; one followed by lower case more often is a suffix.
 BEFORE_NAME, SUFFIX = 0.2, 0.3
 #: A line end of Thai needs its last characters before this share of the spaces within lines.
-THAI_SHARE, THAI_TAIL = 1e-3, 3
+THAI_SHARE, THAI_TAIL = 2e-4, 3
 
 # Words of speaker clauses after a quotation, in scripts without letter case; months as after ordinals.
 SPEAKERS = {"hi": ("पूछा", "कहा", "बोला", "बोली", "चिल्लाया"), "ar": ("سأل", "قال", "صاح", "هتف"), "ja": ("と",), "zh": ("问", "問", "说", "說", "喊", "道", "答", "叫")}
