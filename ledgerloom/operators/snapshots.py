@@ -50,13 +50,15 @@ def combined(snapshots: DataFrame) -> DataFrame:
     return x.groupBy("window_start", "counter").agg(F.sum("value").cast("bigint").alias("value"))
 
 
-def producers(snapshots: DataFrame, expected: DataFrame) -> DataFrame:
-    """Expected producers of each window that sent nothing, and how many did."""
-    seen = latest(snapshots).select("producer", "window_start").distinct()
-    windows = seen.select("window_start").distinct()
-    all_pairs = windows.crossJoin(F.broadcast(expected.select("producer").distinct()))  # windows times a list of expected producers
-    j = all_pairs.join(seen.withColumn("sent", F.lit(1)), ["window_start", "producer"], "left")
-    return j.groupBy("window_start").agg(F.count("sent").alias("sent"), F.array_sort(F.collect_list(F.when(F.col("sent").isNull(), F.col("producer")))).alias("absent"))
+def producers(snapshots: DataFrame, expected: list[str]) -> DataFrame:
+    """Of the expected producers (a configured list), how many sent something in each
+    window, and which sent nothing."""
+    names = sorted(set(expected))
+    seen = latest(snapshots).filter(F.col("producer").isin(names)).groupBy("window_start").agg(F.collect_set("producer").alias("seen"))  # no more than are expected
+    windows = snapshots.select("window_start").distinct().join(seen, "window_start", "left")
+    held = F.coalesce("seen", F.array().cast("array<string>"))
+    listed = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    return windows.select("window_start", F.size(held).cast("bigint").alias("sent"), F.array_sort(F.array_except(listed, held)).alias("absent"))
 
 
 def counter_delta(frames: DataFrame, before: Column, after: Column) -> DataFrame:
