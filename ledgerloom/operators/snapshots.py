@@ -75,3 +75,17 @@ def cache_share_change(frames: DataFrame, before: Column, after: Column) -> Data
     move = F.when((F.col("i0") == 0) | (F.col("i1") == 0), "unknown").when(left > right, "up").when(left < right, "down").otherwise("same")
     share = lambda r, i: F.round(F.col(r).cast("double") / F.nullif(F.col(i).cast("double"), F.lit(0.0)), 9)
     return x.select(share("r0", "i0").alias("share_before"), share("r1", "i1").alias("share_after"), move.alias("direction"))
+
+
+def shared_counters(snapshots: DataFrame) -> DataFrame:
+    """Counters that every latest snapshot of a window carries; only these may be compared."""
+    x = latest(snapshots).select("window_start", F.map_keys("counters").alias("names"))
+    held = x.select("window_start", F.explode("names").alias("counter")).groupBy("window_start", "counter").agg(F.count(F.lit(1)).alias("n"))
+    all_of = x.groupBy("window_start").agg(F.count(F.lit(1)).alias("snapshots"))
+    return held.join(all_of, "window_start").filter("n = snapshots").select("window_start", "counter", "snapshots")
+
+
+def retained(snapshots: DataFrame, windows: int) -> DataFrame:
+    """The latest snapshots of the last ``windows`` windows, for an archive that forgets older ones."""
+    last = snapshots.select("window_start").distinct().orderBy(F.desc("window_start")).limit(windows)
+    return latest(snapshots).join(last, "window_start", "left_semi")

@@ -170,3 +170,22 @@ def contributor_excess(rows: DataFrame, dimension: str, top: int = 20) -> DataFr
     return w.withColumn("excess", excess).orderBy(F.desc(F.abs("excess")), "first_seen").limit(top)
 
 
+
+
+def daily_sketches(rows: DataFrame, column: str) -> DataFrame:
+    """A mergeable HyperLogLog sketch of the members of each day."""
+    x = rows.filter(F.col("start_time").isNotNull() & ~blank(F.col(column)))
+    return x.groupBy(F.to_date("start_time").alias("day")).agg(F.hll_sketch_agg(column, 14).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, period: Column) -> DataFrame:
+    """Distinct members of longer periods out of daily sketches (relative error about 0.8 %)."""
+    return sketches.groupBy(period.alias("period")).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("members"), F.count(F.lit(1)).alias("days"))
+
+
+def attribution_coverage(rows: DataFrame) -> DataFrame:
+    """Rows with and without each identity, by call type and over all (ROLLUP)."""
+    named = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), (~blank(F.col(c))).alias("known")) for d, c in DIMENSIONS.items()])).alias("x")
+    x = rows.filter(compared()).select("call_type", named).select("x.dimension", "call_type", "x.known")
+    g = x.rollup("dimension", "call_type").agg(F.grouping("dimension").alias("g"), F.grouping("call_type").cast("int").alias("all_types"), F.count_if("known").alias("known"), F.count_if(~F.col("known")).alias("unknown"))
+    return g.filter("g = 0").drop("g")

@@ -156,6 +156,27 @@ def distinct_groups_hll(spark: SparkSession, sf: str) -> DataFrame:
     return usage.distinct_groups(_sided(spark, sf), exact=False)
 
 
+@query()
+def distinct_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Weekly distinct users out of daily sketches."""
+    return usage.merged_sketches(usage.daily_sketches(_plain(spark, sf), "user"), F.date_trunc("week", "day"))
+
+
+_COVERED = " UNION ALL ".join(f"""SELECT '{d}' AS dimension, call_type, coalesce(trim("{c}"), '') <> '' AS known FROM sided WHERE side >= 0""" for d, c in usage.DIMENSIONS.items())
+
+
+@query(f"{_WITH}, x AS ({_COVERED}) SELECT dimension, call_type, CAST(grouping(call_type) AS INT) AS all_types, count(*) FILTER (known) AS known, count(*) FILTER (NOT known) AS unknown FROM x GROUP BY GROUPING SETS ((dimension, call_type), (dimension))")
+def attribution_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.attribution_coverage(_sided(spark, sf))
+
+
+@query("""SELECT api_key, sha256(concat('demo', api_key)) AS digest, count(*) AS n FROM synthetic WHERE api_key IS NOT NULL GROUP BY api_key""")
+def keyed_identities(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of keys, computed once for each distinct key after aggregation."""
+    g = read(spark, sf, "synthetic").filter("api_key is not null").groupBy("api_key").agg(F.count(F.lit(1)).alias("n"))
+    return g.select("api_key", F.sha2(F.concat(F.lit("demo"), "api_key"), 256).alias("digest"), "n")
+
+
 @query(f"""{_WITH}, k AS (SELECT *, input IS NOT NULL AND cache_read IS NOT NULL AND coalesce(cache_read <= input, false) AS known, coalesce(cache_read_input_tokens, '') = '' AS absent FROM sided WHERE {_HELD}),
 g AS (SELECT side, count(*) FILTER (known) AS covered, count(*) FILTER (NOT known AND absent) AS missing, count(*) FILTER (NOT known AND NOT absent) AS invalid,
 CAST(coalesce(sum(input) FILTER (known), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(cache_read) FILTER (known), 0) AS BIGINT) AS read_tokens FROM k GROUP BY side)
@@ -402,6 +423,17 @@ def cache_share_change(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.cache_share_change(snapshots.combined(_snapshots(spark, sf)), F.expr(_HALVES), ~F.expr(_HALVES))
 
 
+@query(f"""{_SNAP}, c AS (SELECT window_start, unnest(['requests','tokens','missing','input','cache_read']) AS counter FROM latest), n AS (SELECT window_start, count(*) AS snapshots FROM latest GROUP BY 1)
+SELECT window_start, counter, snapshots FROM (SELECT window_start, counter, count(*) AS held FROM c GROUP BY ALL) JOIN n USING (window_start) WHERE held = snapshots""")
+def snapshot_shared_counters(spark: SparkSession, sf: str) -> DataFrame:
+    return snapshots.shared_counters(_snapshots(spark, sf))
+
+
+@query(f"{_SNAP} SELECT producer, epoch, window_start, sequence FROM latest WHERE window_start IN (SELECT DISTINCT window_start FROM s ORDER BY window_start DESC LIMIT 7)")
+def snapshot_retained(spark: SparkSession, sf: str) -> DataFrame:
+    return snapshots.retained(_snapshots(spark, sf), 7).select("producer", "epoch", "window_start", "sequence")
+
+
 # Scan and CUSUM -------------------------------------------------------------------------
 
 _FRAMES = f"""WITH {EVENT_SQL}, {CLASSIFIED}, frames AS (SELECT CAST(start_time AS DATE) AS day, count(*) AS attempts, CAST(sum(total) AS BIGINT) AS tokens, CAST(sum(missing) AS BIGINT) AS missing FROM classified WHERE start_time IS NOT NULL GROUP BY 1)"""
