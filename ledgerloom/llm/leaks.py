@@ -190,8 +190,8 @@ class Items:
 
 
 def prepared(rows: list[tuple[int, str | None, str | None]]) -> Items:
-    """Items from (item_id, lang, text); null and empty texts have no phrases."""
-    rows = sorted({r for r in rows if r[2]}, key=lambda r: (r[0], str(r[1]), r[2]))
+    """Items from (item_id, lang, text); rows without id or text are left out."""
+    rows = sorted({r for r in rows if r[2] and r[0] is not None}, key=lambda r: (r[0], str(r[1]), r[2]))
     kinds = [(r[1] or "").casefold() in UNSPACED or script_of(r[2]) in UNSPACED for r in rows]
     texts = [words(r[2], k) for r, k in zip(rows, kinds)]
     vocabulary: dict[str, int] = {}
