@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -248,7 +249,12 @@ def _names(folded: str, script: str, stats: Statistics) -> bool:
 
 def _suffix(folded: str, script: str, stats: Statistics) -> bool:
     """Whether a token is an abbreviation after which a sentence goes on, also where a letter of it was misread."""
-    return _shape(folded) in {_shape(w) for w in stats.suffixes.get(script, ())}
+    return _shape(folded) in _shapes(stats.suffixes.get(script, frozenset()))
+
+
+@lru_cache(maxsize=16)
+def _shapes(words: frozenset) -> frozenset:
+    return frozenset(map(_shape, words))
 
 
 def _digit_for_initial(left: str, word: str, script: str, stats: Statistics) -> bool:
