@@ -29,10 +29,12 @@ def kept_deliveries(df: DataFrame, row_key: str, identity: Sequence[Column], ord
     looked at); a null in the others is a value like any other.
     ``order``: the delivery with the least struct of these stays; nulls sort
     first, and the row key breaks remaining ties, so the result is the same for
-    every partitioning of the input.
+    every partitioning of the input. Without ``order`` the row key is the order:
+    the struct then has but one fixed-size member and is left out, which lets Spark
+    aggregate by hash (a struct in the buffer makes it sort every map task's rows).
     """
     named = [c.alias(f"k{i}") for i, c in enumerate(identity)]
-    rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(row_key).alias("tie"))
+    rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(row_key).alias("tie")) if order else F.col(row_key)
     keyed = df.filter(identity[0].isNotNull()).select(*named, F.col(row_key).alias("row_key"), rank.alias("rank"))
     return keyed.groupBy(*[f"k{i}" for i in range(len(named))]).agg(F.min_by("row_key", "rank").alias(_KEPT)).select(_KEPT)
 
@@ -56,5 +58,5 @@ def observation_identity() -> list[Column]:
 
 
 def observation_order() -> list[Column]:
-    """Deliveries are numbered in the order they came in."""
-    return [F.col("delivery_id"), F.col("ingested_at")]
+    """Deliveries are numbered in the order they came in, so their key is the order."""
+    return []

@@ -37,3 +37,16 @@ def test_hot_message_keeps_one(spark):
     kept = delivery.deduplicated(df, "delivery_id", delivery.observation_identity(), delivery.observation_order())
     assert kept.count() == 2001
     assert [r.delivery_id for r in kept.filter("id = 'hot'").collect()] == [0]
+
+
+def test_order_with_ties_and_nulls(spark):
+    rows = [(3, "a", "2026-01-02"), (2, "a", "2026-01-01"), (1, "a", "2026-01-01"), (4, "b", None), (5, "b", "2026-01-01")]
+    df = spark.createDataFrame(rows, "key bigint, id string, at string")
+    kept = delivery.deduplicated(df, "key", [F.col("id")], [F.col("at")])
+    assert sorted(r.key for r in kept.collect()) == [1, 4]
+
+
+def test_hash_aggregation(spark, data):
+    df = spark.read.parquet(f"{data}/observations.parquet")
+    plan = delivery.kept_deliveries(df, "delivery_id", delivery.observation_identity(), delivery.observation_order())._jdf.queryExecution().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
