@@ -1,11 +1,14 @@
 """Sentence ends of scanned pages in many scripts.
 
-Marks that end sentences in their script are candidates; dots are ambiguous. An
-abbreviation is told from its unambiguous occurrences: words that follow a
-question or exclamation mark start sentences beyond doubt, and a dotted token
-that is nearly never followed by such a starter, but by names, stands before
-its name (titles and the like). These statistics are taken over all documents;
-within a document a token that also occurs without its dot is a plain word.
+Marks that end sentences in their script are candidates; dots are ambiguous.
+Abbreviations and proper names are told from their unambiguous occurrences, first
+those on the same page: a token whose dot a comma, or repeatedly a small letter or
+a number follows is an abbreviation, one that occurs without its dot only is a
+plain word, a capitalised word within a sentence that is never written small is a
+name, and a token that stands before several such names is a title. Where a page
+tells nothing, or contradicts itself, the corpus decides: words that follow a
+question or exclamation mark start sentences beyond doubt, and a dotted token that
+is nearly never followed by such a starter, but by names, stands before its name.
 Dots after other tokens end a sentence exactly when no lower-case continuation
 follows, which also settles abbreviations whose dot is the full stop. Scripts
 without a full stop end at their own marks, Thai before its spaces.
@@ -34,6 +37,8 @@ STARTER_SHARE = 1e-3
 SPEAKER_SHARE = 0.02
 #: A token followed by starters less often than this stands before names; one followed by lower case more often is a suffix.
 BEFORE_NAME, SUFFIX = 0.2, 0.3
+#: Most letters of a token that a page alone shows to be a title.
+TITLE = 5
 #: A line end of Thai needs its last characters before this share of the spaces within lines.
 THAI_SHARE, THAI_TAIL = 2e-4, 3
 
@@ -45,6 +50,7 @@ MONTHS = frozenset(
 CLOSERS = {"“": "”", "„": "“", "«": "»", "»": "«", "‘": "’", '"': '"', "「": "」", "『": "』", "”": "”"}
 _QUOTES = "".join(dict.fromkeys([*CLOSERS, *CLOSERS.values()]))
 _LATIN = ("en", "de", "fr", "es", "latin")
+_DOTS = (*_LATIN, "ru", "ar")
 _MARKS = {
     **dict.fromkeys(_LATIN, ".!?…"), "ru": ".!?…", "ar": ".!?؟…", "hi": "।॥!?", "zh": "。！？!?", "ja": "。！？!?",
 }
@@ -56,6 +62,9 @@ _LEAD = _QUOTES + "([¿¡" + _SPACE
 _AFTER = re.compile(r"([.!?؟])([\xa0\"”»“’)]*)\s+[\"“„«‘»(¿¡\s]*([^\s\"“„«‘»(¿¡.,!?]{1,24})")
 _WORD = re.compile(rf"[{re.escape(_LEAD)}]*([^\s\"“„«»‘’”(.,!?…]+)")
 _DIGIT = re.compile(r"\d")
+_PLAIN = re.compile(r"\w+(?![\w.])")
+_NAME = re.compile(r"(?<=[a-zß-öø-ÿа-яё])\s([A-ZÀ-ÞА-ЯЁ]\w+)(?![\w.])")
+_DOTTED = re.compile(r"\.(?:\s*([,;،؛])|\s+(\w+))")
 _INNER = re.compile(rf"[!?…(¿¡{_QUOTES}]+")
 _RANGES = {
     "th": re.compile("[฀-๿]"), "hi": re.compile("[ऀ-ॿ]"), "ar": re.compile("[؀-ۿ]"), "ru": re.compile("[Ѐ-ӿ]"),
@@ -205,6 +214,49 @@ def _judged(counted: DataFrame) -> Statistics:
     return Statistics(frozen(starters), frozen(before), frozen(suffix), frozen(shapes), frozen(says), frozenset(tails))
 
 
+@dataclass(frozen=True)
+class Evidence:
+    """What one page tells, over all its articles: abbreviations, plain words, titles
+    (casefolded), proper names and words written small."""
+
+    abbreviations: frozenset = frozenset()
+    plain: frozenset = frozenset()
+    titles: frozenset = frozenset()
+    names: frozenset = frozenset()
+    small: frozenset = frozenset()
+
+
+def page_evidence(texts: list[str], script: str) -> Evidence:
+    """:class:`Evidence` of the articles of a page."""
+    text = _HYPHEN.sub("", "\n\n".join(texts))
+    words = set(_PLAIN.findall(text))
+    plain = set(map(str.casefold, words))
+    small = set(filter(str.islower, words))
+    goes_on: Counter = Counter()
+    followed: dict[str, list[str]] = {}
+    for m in _DOTTED.finditer(text):
+        i = m.start()
+        token = text[max(0, i - 24) : i].split()[-1:]
+        token = token[0].lstrip(_LEAD).casefold() if token and token[0][-1].isalpha() else ""
+        if not token:
+            continue
+        word = m[2] or ","
+        c = word[0]
+        if m[1]:
+            goes_on[token] += 2
+        elif c.islower() or c.isdigit():
+            goes_on[token] += 1
+        elif c.isupper():
+            followed.setdefault(token, []).append(word)
+    # In German every noun has a capital, which then tells no name.
+    names = {w for w in _NAME.findall(text) if not w.isupper() and w.casefold() not in small} if script != "de" else set()
+    titles = {t for t, after in followed.items() if 1 < len(t) <= TITLE and t not in goes_on and t not in plain and len(after) > 1 and names.issuperset(after)}
+    return Evidence(
+        frozenset(t for t, k in goes_on.items() if k > 1 and len(t) > 1 and t not in plain),
+        frozenset(plain.difference(goes_on)), frozenset(titles), frozenset(names), frozenset(small),
+    )
+
+
 def _token_before(s: str, i: int) -> str:
     piece = s[max(0, i - 40) : i]
     if "\n" in piece:
@@ -267,7 +319,7 @@ def _digit_for_initial(left: str, word: str, script: str, stats: Statistics) ->
     return len(word) == 1 and not (token.endswith(".") and (folded in stats.suffixes.get(script, ()) or _DIGIT.search(folded)))
 
 
-def _dot_ends(script: str, token: str, word: str, near: bool, stats: Statistics, plain: frozenset | set, left: str = "") -> bool:
+def _dot_ends(script: str, token: str, word: str, near: bool, stats: Statistics, page: Evidence, left: str = "") -> bool:
     """Whether the dot after ``token`` and before ``word`` is a full stop. ``near``: no space between."""
     if "." in token and token.rpartition(".")[2][:1].isupper():  # no space after the full stop before, or p.m. in capitals
         token = token.rpartition(".")[2]
@@ -281,7 +333,7 @@ def _dot_ends(script: str, token: str, word: str, near: bool, stats: Statistics,
         return bool(token) and not (len(token) == 1 and not token.islower() and token.isalpha()) and not _names(folded, script, stats)
     if first.islower() and not _misread_capital(word, start):
         # What follows a full stop may start small where passages were put in; an abbreviation that goes on is a suffix.
-        return len(token) > 2 and token.isalpha() and not near and not _suffix(folded, script, stats) and not _names(folded, script, stats)
+        return len(token) > 2 and token.isalpha() and not near and folded not in page.abbreviations and not _suffix(folded, script, stats) and not _names(folded, script, stats)
     if first in ",;:—–-?!؟":
         return False
     if _DIGIT.search(token):
@@ -291,7 +343,14 @@ def _dot_ends(script: str, token: str, word: str, near: bool, stats: Statistics,
         return not first.isdigit() and not ordinal
     if len(token) == 1 and token.isalpha() and not token.islower():
         return False
-    if _names(folded, script, stats) and not (starter and folded in plain):
+    if first.isupper() and len(word) > 1:  # the page first
+        if folded in page.abbreviations and word in page.names or folded in page.titles:
+            return False
+        if folded in page.plain and word not in page.names:
+            return True
+        if folded in page.abbreviations and not word.isupper() and word.casefold() in page.small:
+            return True
+    if _names(folded, script, stats) and not (starter and folded in page.plain):
         return False
     if first.isdigit():
         return len(token) > 4 and token.isalpha() and folded not in stats.suffixes.get(script, ())
@@ -301,8 +360,8 @@ def _dot_ends(script: str, token: str, word: str, near: bool, stats: Statistics,
     return True
 
 
-def _ends(text: str, script: str, stats: Statistics) -> Iterator[int]:
-    """Lengths up to the sentence ends of one article."""
+def _ends(text: str, script: str, stats: Statistics, page: Evidence | None = None) -> Iterator[int]:
+    """Lengths up to the sentence ends of one article; ``page``: the evidence of its page (default: of this article)."""
     n = len(text)
     if script == "th":
         for m in re.finditer(r"(?<=\S)[ \xa0]+(?=\S|\n|\Z)", text):
@@ -312,7 +371,6 @@ def _ends(text: str, script: str, stats: Statistics) -> Iterator[int]:
         return
     opened = ""
     after_mark = -1
-    plain: set | None = None
     speakers = SPEAKERS.get(script)
     for m in _SCAN[script].finditer(text):
         if m["m"] is None:
@@ -366,11 +424,11 @@ def _ends(text: str, script: str, stats: Statistics) -> Iterator[int]:
         token = _token_before(text, i)
         if script == "hi" or not token and not closed or text[e : e + 3].lstrip(_SPACE)[:1] == "(":
             continue
-        if plain is None:
-            plain = {w.casefold() for w in re.findall(r"\w+(?![\w.])", text)}
+        if page is None:
+            page = page_evidence([text], script)
         if speakers and closed and word.startswith(speakers):
             continue
-        if _dot_ends(script, token, word, near, stats, plain, text[max(0, i - len(token) - 8) : max(0, i - len(token))]):
+        if _dot_ends(script, token, word, near, stats, page, text[max(0, i - len(token) - 8) : max(0, i - len(token))]):
             yield e
 
 
@@ -378,8 +436,9 @@ def sentence_ends(page: list[Article], stats: Statistics) -> list[int]:
     """Characters of the page's text up to each sentence end of its articles, ascending."""
     out = []
     script = script_of("\n".join(a.text for a in page)) if page else ""
+    evidence = page_evidence([a.text for a in page], script) if script in _DOTS else Evidence()
     for a in page:
-        out += [a.position(e) for e in _ends(a.text, script, stats)]
+        out += [a.position(e) for e in _ends(a.text, script, stats, evidence)]
     return sorted(set(out))
 
 

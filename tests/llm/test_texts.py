@@ -132,6 +132,18 @@ def test_cut_off_and_german(stats):
     assert cut(text, stats) == ["Der Hafen von Zoll lobte am 8. Mai den Markt.", "»Die Mühle und der Markt?« fragte Prof. Moll.", "Die Firma Zoll & Co. lobte den Hafen."]
 
 
+def test_the_page_decides_before_the_corpus():
+    """Titles, abbreviations and names from other articles of the page, without or against the corpus."""
+    article = lambda text, at: pages.Article(text, [0], [at])
+    other = "The man saw Moll at the mill of Zoll & Co., and the sea near Lund was calm. By the sea Capt. Moll and Capt. Lund came."
+    text = "The port of Zoll & Co. Lund was old. It was Capt. Moll of the port."
+    page = [article(other, 0), article(text, 1000)]
+    ends = [75, len(other), 1000 + text.index("old.") + 4, 1000 + len(text)]
+    assert other[:75].endswith("calm.") and sentences.sentence_ends(page, sentences.Statistics()) == ends
+    wrong = sentences.Statistics(before_names={"en": frozenset({"port"})})
+    assert cut("The port was old. All men of the mill left the port. Moll came.", wrong) == ["The port was old.", "All men of the mill left the port.", "Moll came."]
+
+
 @pytest.mark.parametrize(
     ("script", "parts"),
     [
