@@ -3,7 +3,7 @@
 Every line is read once. Each file's header schema (which drifting members it
 carries, under which name and with which JSON types) is an aggregate of counters
 and type bits, combined on the map side, so a file of any size leaves a map task
-as one or two small rows. The headers are folded through a promotion lattice to
+as a few small rows. The headers are folded through a promotion lattice to
 the types of the consistent table, and put in order within their project to log
 what differs from the file before.
 """
@@ -20,20 +20,25 @@ TOTAL = "total"
 #: The two quantities that drift, by the name they have in the consistent table.
 COUNTED, UNCOUNTED = "input_cached_tokens", "unmapped_fixture_category"
 
+#: The member that holds the quantities, and the members beside it that every line should carry, with their types where none does.
+USAGE = "usage_details"
+USUAL = {"id": "string", "project_id": "string", "type": "string", "start_time": "string", "total_cost": "decimal(20,8)"}
+
 #: JSON types as bits; the order is that of the promotion lattice.
 TYPES = ("integer", "decimal", "boolean", "string", "array", "object")
 _BIT = {t: 1 << i for i, t in enumerate(TYPES)}
 _NUMERIC = _BIT["integer"] | _BIT["decimal"]
 
 
-def promoted(bits: int) -> str:
+def promoted(bits: int, digits: int = 0, scale: int = 0) -> str:
     """SQL type that holds all JSON types of a bit set without loss: the lattice is
     integer < decimal < string and boolean < string; arrays and objects are held
-    as their JSON text."""
+    as their JSON text. ``digits``, ``scale``: the most digits before and after the
+    point; decimals that no decimal(38) holds are held as text."""
     if bits and bits & ~_BIT["integer"] == 0:
         return "bigint"
-    if bits and bits & ~_NUMERIC == 0:
-        return "decimal(38,6)"
+    if bits and bits & ~_NUMERIC == 0 and digits + scale <= 38:
+        return f"decimal(38,{max(scale, min(6, 38 - digits))})"
     if bits == _BIT["boolean"]:
         return "boolean"
     return "string"
@@ -196,24 +201,77 @@ def changes(lines: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def _member_lines(lines: DataFrame) -> DataFrame:
+    """Lines with the maps ``top`` and ``usage`` of their members to variants, which hold
+    numbers of up to 38 digits without exponent exactly, others in double precision."""
+    kind = "map<string,variant>"
+    p = lines.select("file_key", "line_no", F.try_variant_get(F.try_parse_json("raw_line"), "$", kind).alias("top"))
+    return p.withColumn("usage", F.try_variant_get(F.col("top")[USAGE], "$", kind))
+
+
+def _text(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string")
+
+
+def _number_size(text: Column) -> tuple[Column, Column]:
+    """Digits of a JSON number before and after its point, without an exponent."""
+    part = lambda k: F.regexp_extract(text, r"^-?(\d+)(?:\.(\d*?)0*)?(?:[eE]([-+]?\d+))?$", k)
+    power = F.coalesce(part(3).try_cast("int"), F.when(part(3) != "", 1_000_000).otherwise(0))
+    return F.greatest(F.length(part(1)) + power, F.lit(1)), F.greatest(F.length(part(2)) - power, F.lit(0))
+
+
+def union_schema(lines: DataFrame, headers: DataFrame) -> dict[tuple[bool, str | None, str | None], str]:
+    """SQL type of each column: by whether the member is one of ``usage_details``, its
+    quantity (null: none) and its name (null for a quantity), over the headers of all files."""
+    entry = lambda own, inside: F.transform(
+        F.map_entries(own), lambda e: F.struct(F.lit(inside).alias("inside"), e["key"].alias("member"), _type_bit(e["value"]).alias("bit"), _text(e["value"]).alias("text"))
+    )
+    none = F.expr("array_repeat(named_struct('inside', true, 'member', '', 'bit', 0, 'text', ''), 0)")
+    m = _member_lines(lines).select("file_key", F.col("usage").isNotNull().alias("split"), F.explode(F.concat(entry(F.col("top"), False), F.coalesce(entry(F.col("usage"), True), none))).alias("m"))
+    m = m.select("file_key", "split", "m.*").filter(F.col("inside") | (F.col("member") != USAGE) | ~F.col("split") & (F.col("bit") > 0))
+    digits, scale = _number_size(F.col("text"))
+    number = F.col("bit").bitwiseAND(F.lit(_NUMERIC)) > 0
+    files = m.groupBy("file_key", "inside", "member").agg(
+        F.bit_or("bit").cast("int").alias("types"), F.coalesce(F.max(F.when(number, digits)), F.lit(0)).alias("digits"), F.coalesce(F.max(F.when(number, scale)), F.lit(0)).alias("scale")
+    )
+    named = headers.select("file_key", F.lit(True).alias("inside"), "member", "quantity")
+    joined = files.join(named, ["file_key", "inside", "member"], "left").withColumn("member", F.when(F.col("quantity").isNull(), F.col("member")))
+    rows = joined.groupBy("inside", "quantity", "member").agg(F.bit_or("types"), F.max("digits"), F.max("scale")).collect()  # one row for each column of the table
+    return {(r[0], r[1], r[2]): promoted(*r[3:]) if r[3] else "" for r in rows}
+
+
 def consistent_table(lines: DataFrame) -> DataFrame:
-    """All lines in one schema: the stable members as bigint, both drifting
-    quantities under one name each and cast to the promoted type of all files.
+    """All lines in one schema: every member of the lines and of ``usage_details`` that
+    any file carries, both drifting quantities under one name each, all in the
+    promoted type of all files.
 
-    A line that is no JSON object has nulls in all members. Values wrapped in an
-    array or object are held as JSON text whenever any file wraps them.
+    The members of :data:`USUAL` come first, whether carried or not, then others by
+    name; a name that is taken (case apart) gets a ``_``. A line that is no JSON
+    object has nulls in all members. Values are text where files differ in a way no
+    number holds, arrays and objects are held as JSON text; ``usage_details`` itself
+    is a column only if some line holds something else than an object there.
     """
     headers = file_headers(lines)
-    bits = {r[0]: r[1] for r in headers.groupBy("quantity").agg(F.bit_or("types")).collect()}  # two rows at most
+    types = union_schema(lines, headers)
     names = headers.groupBy("file_key").pivot("quantity", [COUNTED, UNCOUNTED]).agg(F.max("member"))
     names = names.select("file_key", F.col(COUNTED).alias("counted_name"), F.col(UNCOUNTED).alias("uncounted_name"))
-    p = parsed_lines(lines).join(names, "file_key", "left")
-    text = lambda name: F.try_variant_get(F.col("usage")[F.coalesce(F.col(name), F.lit(""))], "$", "string")
-    text_of = lambda path, kind="string": F.try_variant_get("object", f"$.{path}", kind)
-    return p.select(
-        "file_key", "line_no", text_of("id").alias("id"), text_of("project_id").alias("project_id"), text_of("type").alias("type"), text_of("start_time").alias("start_time"),
-        text_of("total_cost", "decimal(20,8)").alias("total_cost"),
-        *[F.try_variant_get(F.col("usage")[m], "$", "bigint").alias(m) for m in (*STABLE, TOTAL)],
-        text("counted_name").try_cast(promoted(bits.get(COUNTED, 0))).alias(COUNTED),
-        text("uncounted_name").try_cast(promoted(bits.get(UNCOUNTED, 0))).alias(UNCOUNTED),
-    )
+    p = _member_lines(lines).join(names, "file_key", "left")
+    known = [(False, None, name) for name in USUAL] + [(True, None, name) for name in (*STABLE, TOTAL)] + [(True, COUNTED, None), (True, UNCOUNTED, None)]
+    usual = USUAL | dict.fromkeys((*STABLE, TOTAL), "bigint")
+    taken = {"file_key", "line_no"}
+    columns = []
+    for key in known + sorted(types.keys() - set(known), key=lambda k: (k[0], k[2])):
+        inside, quantity, member = key
+        if quantity:
+            value = F.col("usage")[F.col("counted_name" if quantity == COUNTED else "uncounted_name")]
+        elif inside:
+            drifts = F.coalesce(F.col("counted_name") == member, F.lit(False)) | F.coalesce(F.col("uncounted_name") == member, F.lit(False))
+            value = F.when(~drifts, F.col("usage")[member])
+        else:
+            value = F.when(F.col("usage").isNull() | F.lit(member != USAGE), F.col("top")[member])
+        name = quantity or member
+        while name.casefold() in taken:
+            name += "_"
+        taken.add(name.casefold())
+        columns.append(_text(value).try_cast(types.get(key) or usual.get(member, "string")).alias(name))
+    return p.select("file_key", "line_no", *columns)

@@ -68,3 +68,24 @@ def test_promotion_lattice():
     assert drift.promoted(b["integer"] | b["decimal"]) == "decimal(38,6)"
     assert drift.promoted(b["boolean"]) == "boolean"
     assert drift.promoted(b["boolean"] | b["integer"]) == drift.promoted(b["array"]) == drift.promoted(0) == "string"
+
+
+def test_union_of_all_members(spark):
+    """No member and no digit is lost, whatever file carries it."""
+    raws = [
+        ("f1", 1, line(("c", 5, 5)).replace('"id": "x"', '"id": "x", "user_id": "u", "cost": 0.12345678912345678901234567, "big": 12345678901234567890123456789012345, "Total": 1e-7')),
+        ("f2", 1, line(("d", 3, 3), output_reasoning_tokens=0.5).replace('"id": "x"', '"provided_model_name": "m", "tags": [1, "a"], "cost": 7, "big": 0.125, "usage": null')),
+        ("f2", 2, '{"usage_details": "none", "id": 7}'),
+        ("f3", 1, "oops"),
+    ]
+    df = drift.consistent_table(spark.createDataFrame([(*r, None) for r in raws], LINES))
+    got = {(r.file_key, r.line_no): r.asDict() for r in df.collect()}
+    kinds = dict(df.dtypes)
+    assert kinds["cost"] == "decimal(38,26)" and kinds["big"] == "decimal(38,3)" and kinds["Total_"] == "decimal(38,7)" and kinds["usage"] == "string"
+    a, b, c = got[("f1", 1)], got[("f2", 1)], got[("f2", 2)]
+    assert (a["user_id"], a["provided_model_name"], str(a["cost"]), a["big"], float(a["Total_"])) == ("u", None, "0.12345678912345678901234567", 12345678901234567890123456789012345, 1e-7)
+    assert (b["user_id"], b["provided_model_name"], b["tags"], b["cost"], str(b["big"]), str(b["output_reasoning_tokens"])) == (None, "m", '[1,"a"]', 7, "0.125", "0.500000")
+    assert (c["id"], c["usage_details"], a["usage_details"], a["input"], b[drift.COUNTED]) == ("7", "none", None, 100, 3)
+    assert set(got[("f3", 1)].values()) == {"f3", 1, None}
+    assert drift.promoted(drift._NUMERIC, 30, 9) == "string" and drift.promoted(drift._NUMERIC, 1, 9) == "decimal(38,9)"
+    assert drift.consistent_table(spark.createDataFrame([], LINES)).columns[2:7] == list(drift.USUAL)
