@@ -126,19 +126,19 @@ def summaries(df: DataFrame, fields: list[str], counters: int = COUNTERS) -> Dat
         yield from pa.Table.from_pylist(rows, _TYPE).to_batches()
 
     def combined(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["part"])
+        table = table.sort_by("part")
         total = SpaceSaving(counters)
-        for r in rows:
+        for i in range(len(table)):  # one summary at a time as Python objects
+            r = table.slice(i, 1).to_pylist()[0]
             total.merge(r["items"], r["counts"], r["errors"], r["floor"], r["rows"])
-        return pa.Table.from_pylist([total.row(rows[0]["field"], rows[0]["part"] // FAN_IN)], _TYPE)
+        return pa.Table.from_pylist([total.row(table["field"][0].as_py(), table["part"][0].as_py() // FAN_IN)], _TYPE)
 
     tree = df.select(*[F.col(f) for f in fields]).mapInArrow(local, SCHEMA)
     parts = task_bound(df)
-    while True:  # the height of the tree follows from the number of tasks; one step at least
+    while parts > FAN_IN:  # a scan may run as more tasks than estimated, so the last step does not go by parts
         tree = tree.groupBy("field", F.floor(F.col("part") / FAN_IN).alias("node")).applyInArrow(combined, SCHEMA)
         parts = -(-parts // FAN_IN)
-        if parts <= 1:
-            return tree
+    return tree.groupBy("field").applyInArrow(combined, SCHEMA)
 
 
 def frequent(df: DataFrame, fields: list[str], share: float, counters: int = COUNTERS) -> DataFrame:

@@ -99,6 +99,18 @@ def test_frequent_against_counting(spark):
         frequent.frequent(df, ["a"], 0.001, counters=100)
 
 
+def test_more_tasks_than_estimated(spark, monkeypatch):
+    """One summary a field comes out however many tasks ran; no candidate of another is lost."""
+    monkeypatch.setattr(frequent, "FAN_IN", 2)
+    monkeypatch.setattr(frequent, "task_bound", lambda df: 4)
+    rows = [("early" if i < 200 else "late" if i >= 600 else f"rare{i}", i) for i in range(800)]
+    df = spark.createDataFrame(rows, "a string, n int").repartitionByRange(16, "n")
+    merged = frequent.summaries(df, ["a"], 50).collect()
+    assert [(r.field, r.rows) for r in merged] == [("a", 800)]
+    got = {(r.value, r.n, r.rows) for r in frequent.frequent(df, ["a"], 0.1, counters=50).collect()}
+    assert got == {("early", 200, 800), ("late", 200, 800)}
+
+
 # Distinct counts --------------------------------------------------------------------
 
 
