@@ -18,12 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import SPACES
-from ledgerloom.llm.tasks import task_bound
 
 #: Counters of a summary: the counts of a merged summary are too high by at most rows / COUNTERS.
 COUNTERS = 2_000
-#: Summaries that one step of the merge tree reads.
-FAN_IN = 32
+#: Nodes of a field on each level of the merge tree above the tasks; the last level is one summary.
+LEVELS = (1024, 32)
 SCHEMA = "field string, part int, rows bigint, floor bigint, items array<string>, counts array<bigint>, errors array<bigint>"
 
 
@@ -125,20 +124,26 @@ def summaries(df: DataFrame, fields: list[str], counters: int = COUNTERS) -> Dat
         rows = [h.row(f, part) for f, h in held.items() if h.rows]
         yield from pa.Table.from_pylist(rows, _TYPE).to_batches()
 
-    def combined(table: pa.Table) -> pa.Table:
-        table = table.sort_by("part")
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Merge neighbours of one field and node, one summary at a time as Python objects."""
+        at: tuple | None = None
         total = SpaceSaving(counters)
-        for i in range(len(table)):  # one summary at a time as Python objects
-            r = table.slice(i, 1).to_pylist()[0]
-            total.merge(r["items"], r["counts"], r["errors"], r["floor"], r["rows"])
-        return pa.Table.from_pylist([total.row(table["field"][0].as_py(), table["part"][0].as_py() // FAN_IN)], _TYPE)
+        for batch in batches:
+            for i in range(len(batch)):
+                r = batch.slice(i, 1).to_pylist()[0]
+                if (r["field"], r["node"]) != at:
+                    if at is not None:
+                        yield from pa.Table.from_pylist([total.row(*at)], _TYPE).to_batches()
+                    at, total = (r["field"], r["node"]), SpaceSaving(counters)
+                total.merge(r["items"], r["counts"], r["errors"], r["floor"], r["rows"])
+        if at is not None:
+            yield from pa.Table.from_pylist([total.row(*at)], _TYPE).to_batches()
 
     tree = df.select(*[F.col(f) for f in fields]).mapInArrow(local, SCHEMA)
-    parts = task_bound(df)
-    while parts > FAN_IN:  # a scan may run as more tasks than estimated, so the last step does not go by parts
-        tree = tree.groupBy("field", F.floor(F.col("part") / FAN_IN).alias("node")).applyInArrow(combined, SCHEMA)
-        parts = -(-parts // FAN_IN)
-    return tree.groupBy("field").applyInArrow(combined, SCHEMA)
+    for nodes in (*LEVELS, 1):  # a fixed height: one summary of a field comes out, however many tasks ran
+        placed = tree.withColumn("node", F.pmod("part", F.lit(nodes)).cast("int"))
+        tree = placed.repartition("field", "node").sortWithinPartitions("field", "node", "part").mapInArrow(combined, SCHEMA)
+    return tree
 
 
 def frequent(df: DataFrame, fields: list[str], share: float, counters: int = COUNTERS) -> DataFrame:

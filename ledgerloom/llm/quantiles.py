@@ -16,12 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.tasks import task_bound
-
 #: Section length of a compactor; the rank error of a quantile q is about ERROR_FACTOR / SECTION * (1 - q) * n (more than two standard deviations).
 SECTION, ERROR_FACTOR = 32, 0.32
-#: Partial sketches that one step of the merge tree reads.
-FAN_IN = 64
+#: Sketches of a group that the last step of the merge tree reads at most.
+LEAVES = 64
 
 
 class RelativeSketch:
@@ -186,21 +184,23 @@ def hash_seed(part: int, index: int) -> int:
     return (part * 1_000_003 + index) & 0x7FFFFFFF
 
 
-def merged(partials: DataFrame, keys: list[str], parts: int) -> DataFrame:
-    """One sketch for each group and metric, merged in a tree over parts (tasks,
-    days or files) whose height follows from ``parts``, an upper bound of their number."""
-    schema = (_schema(partials, keys) + ", " if keys else "") + "metric string, part bigint, sketch binary"
+def merged(partials: DataFrame, keys: list[str], leaves: int = LEAVES) -> DataFrame:
+    """One sketch for each group and metric, whatever the number of its parts (tasks,
+    days or files): first the parts of each of ``leaves`` remainders are merged, which
+    spreads a group with very many parts over tasks, then the leaves. Both steps read
+    their sketches one after the other. With one leaf the first step is left out."""
     names = list(keys)
+    schema = (_schema(partials, keys) + ", " if keys else "") + "metric string, part bigint, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Merge neighbours of one group; the last of a batch may go on in the next."""
+        """Merge neighbours of one group and leaf; the last of a batch may go on in the next."""
         group: tuple | None = None
         held: bytes | RelativeSketch = b""
         for batch in batches:
             out: list[tuple[tuple, bytes]] = []
-            columns = [batch.column(c).to_pylist() for c in (*names, "metric", "part")]
-            for *key, part, raw in zip(*columns, batch.column("sketch").to_pylist()):
-                mine = (*key, part // FAN_IN)
+            columns = [batch.column(c).to_pylist() for c in (*names, "metric", "leaf")]
+            for *mine, part, raw in zip(*columns, batch.column("part").to_pylist(), batch.column("sketch").to_pylist()):
+                mine = tuple(mine)
                 if mine != group:
                     if group is not None:
                         out.append((group, held if isinstance(held, bytes) else held.pack()))
@@ -214,17 +214,16 @@ def merged(partials: DataFrame, keys: list[str], parts: int) -> DataFrame:
             yield emitted([(group, held if isinstance(held, bytes) else held.pack())], batch.schema)
 
     def emitted(out: list[tuple[tuple, bytes]], kinds: pa.Schema) -> pa.RecordBatch:
-        columns = [pa.array([k[i] for k, _ in out], kinds.field(c).type) for i, c in enumerate((*names, "metric", "part"))]
+        columns = [pa.array([k[i] for k, _ in out], kinds.field(c).type) for i, c in enumerate((*names, "metric", "leaf"))]
         return pa.RecordBatch.from_arrays([*columns, pa.array([raw for _, raw in out], pa.binary())], names=[*names, "metric", "part", "sketch"])
 
     by = [*names, "metric"]
-    while True:
-        node = F.floor(F.col("part") / FAN_IN)
-        ordered = partials.repartition(*by, node).sortWithinPartitions(*by, "part").select(*by, "part", "sketch")
-        partials = ordered.mapInArrow(run, schema)
-        parts = -(-parts // FAN_IN)
-        if parts <= 1:
-            return partials
+    steps = [F.pmod("part", F.lit(leaves)).cast("bigint")] if leaves > 1 else []
+    for leaf in (*steps, F.lit(0).cast("bigint")):
+        placed = partials.select(*by, leaf.alias("leaf"), "part", "sketch")
+        spread = placed.repartition(*by, "leaf") if leaves > 1 and leaf is steps[0] else placed.repartition(*by)
+        partials = spread.sortWithinPartitions(*by, "leaf", "part").mapInArrow(run, schema)
+    return partials
 
 
 def evaluated(sketches: DataFrame, keys: list[str], qs: list[float]) -> DataFrame:
@@ -248,12 +247,40 @@ def evaluated(sketches: DataFrame, keys: list[str], qs: list[float]) -> DataFram
 
 def percentiles(df: DataFrame, keys: list[str], metrics: list[str], qs: list[float], section: int = SECTION) -> DataFrame:
     """Percentiles of ``metrics`` in the groups of ``keys``."""
-    parts = task_bound(df)
-    return evaluated(merged(partial_sketches(df, keys, metrics, section), keys, parts), keys, qs)
+    return evaluated(merged(partial_sketches(df, keys, metrics, section), keys), keys, qs)
 
 
-def rolled_up(partials: DataFrame, keys: list[str], drop: str, ordinal: Column, parts: int) -> DataFrame:
-    """Sketches of coarser groups from merged ones: ``drop`` leaves the keys, its
-    ``ordinal`` (0 up to ``parts``) is the place in the merge tree."""
+def rolled_up(partials: DataFrame, keys: list[str], drop: str, ordinal: Column) -> DataFrame:
+    """Sketches of coarser groups from merged ones: ``drop`` (a day or the like, of which
+    a group has some thousands at most) leaves the keys, its ``ordinal`` is the order of merging."""
     rest = [k for k in keys if k != drop]
-    return merged(partials.withColumn("part", ordinal.cast("bigint")).drop(drop), rest, parts)
+    return merged(partials.withColumn("part", ordinal.cast("bigint")).drop(drop), rest, 1)
+
+
+def ranks(df: DataFrame, keys: list[str], metrics: list[str], found: DataFrame) -> DataFrame:
+    """Exact ranks of the values ``found`` (as of :func:`percentiles`) among the rows of ``df``: the
+    columns of ``found`` with ``below`` and ``upto``, the numbers of values less than, and at most, ``value``.
+
+    ``found`` has a few rows for each group, ``df`` is read once and reduced within map tasks.
+    """
+    asked = found.groupBy(*keys, "metric").agg(F.sort_array(F.collect_set("value")).alias("points"))  # at most one for each q
+    pair = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics]))
+    rows = df.select(*keys, pair.alias("p")).select(*keys, F.col("p.metric").alias("metric"), F.col("p.x").alias("x")).filter("x is not null and not isnan(x)")
+    same = F.lit(True)
+    left, right = rows.alias("l"), asked.alias("r")
+    for k in (*keys, "metric"):
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    # Where a value stands among the points: 2 i before point i, 2 i + 1 at it.
+    place = F.aggregate("r.points", F.lit(0), lambda n, p: n + F.when(F.col("l.x") > p, 2).when(F.col("l.x") == p, 1).otherwise(0))
+    placed = left.join(right, same).select(*[F.col(f"l.{k}").alias(k) for k in (*keys, "metric")], F.col("r.points").alias("points"), place.alias("place"))
+    counts = placed.groupBy(*keys, "metric", "points", "place").agg(F.count(F.lit(1)).alias("n"))
+    held = counts.groupBy(*keys, "metric", "points").agg(F.collect_list(F.struct("place", "n")).alias("held"))  # 2 places for each q
+    upto = lambda bound: lambda h: F.when(h["place"] <= bound, h["n"]).otherwise(0)
+    count = lambda bound: F.aggregate(F.transform("held", upto(bound)), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    each = held.select(*keys, "metric", "held", F.posexplode("points").alias("i", "value"))
+    each = each.select(*keys, "metric", "value", count(2 * F.col("i")).alias("below"), count(2 * F.col("i") + 1).alias("upto"))
+    a, b = found.alias("a"), each.alias("b")
+    same = F.col("a.value") == F.col("b.value")
+    for k in (*keys, "metric"):
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return a.join(b, same).select("a.*", "b.below", "b.upto")

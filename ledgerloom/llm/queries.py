@@ -11,7 +11,6 @@ from ledgerloom.llm.encode import encoded
 from ledgerloom.llm.frequent import frequent
 from ledgerloom.llm.leaks import leaks
 from ledgerloom.llm.sentences import sentences
-from ledgerloom.llm.tasks import task_bound
 from ledgerloom.operators.timestamps import normalised, zone_owners
 from ledgerloom.session import read
 
@@ -32,13 +31,24 @@ def p3_days(spark: SparkSession, sf: str) -> DataFrame:
     return quantiles.percentiles(rows, ["day", "model"], ["total_tokens", "spend"], QUANTILES)
 
 
+def _models(rows: DataFrame) -> DataFrame:
+    keys = ["day", "model"]
+    days = quantiles.merged(quantiles.partial_sketches(rows, keys, ["total_tokens", "spend"]), keys)
+    return quantiles.evaluated(quantiles.rolled_up(days, keys, "day", F.coalesce(F.unix_date("day"), F.lit(-1_000_000))), ["model"], QUANTILES)
+
+
 def p3_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles of each model over all days, from the merged sketches of its days."""
-    rows = _dated(spark, sf, ["model", "total_tokens", "spend"])
-    keys = ["day", "model"]
-    days = quantiles.merged(quantiles.partial_sketches(rows, keys, ["total_tokens", "spend"]), keys, task_bound(rows))
-    ordinal = F.coalesce(F.pmod(F.unix_date("day"), F.lit(4096)), F.lit(0))
-    return quantiles.evaluated(quantiles.rolled_up(days, keys, "day", ordinal, 4096), ["model"], QUANTILES)
+    return _models(_dated(spark, sf, ["model", "total_tokens", "spend"]))
+
+
+def p3_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each percentile of ``p3_percentiles`` holds its stated error against exact ranks over all rows."""
+    got = _models(_dated(spark, sf, ["model", "total_tokens", "spend"]))
+    exact = quantiles.ranks(read(spark, sf, "synthetic"), ["model"], ["total_tokens", "spend"], got)
+    slack = F.col("rank_error") * F.col("n") + 1
+    within = (F.col("below") - slack < F.col("q") * F.col("n")) & (F.col("q") * F.col("n") <= F.col("upto") + slack)
+    return exact.select("model", "metric", "n", "q", within.alias("within"))
 
 
 def p4_frequent(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,6 +56,11 @@ def p4_frequent(spark: SparkSession, sf: str) -> DataFrame:
     return frequent(read(spark, sf, "synthetic"), ["api_key", "user", "end_user"], 0.01)
 
 
+def p4_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The same without the summaries' estimates."""
+    return p4_frequent(spark, sf).select("field", "value", "n", "rows")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_frequent(spark, sf).select("field", "value")
 
@@ -77,15 +92,18 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences(read(spark, sf, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p3_percentiles, p3_days, p4_found, p4_frequent, p6_distinct, p6_exported, p8_ids, p9_found, p10_found)}
+QUERIES = {q.__name__: q for q in (p3_percentiles, p3_days, p3_ranks, p4_found, p4_frequent, p4_exact, p6_distinct, p6_exported, p8_ids, p9_found, p10_found)}
 
 _CHARS = "||".join(f"chr({ord(c)})" for c in SPACES)
 _VALUES = " UNION ALL ".join(f"""SELECT '{f}' AS field, nfc_normalize(trim("{f}", {_CHARS})) AS value FROM synthetic""" for f in ("api_key", "user", "end_user"))
+_METRICS = " UNION ALL ".join(f"SELECT model, '{m}' AS metric, count({m}) AS n FROM synthetic GROUP BY model HAVING count({m}) > 0" for m in ("total_tokens", "spend"))
+_FREQUENT = f"""WITH v AS (SELECT field, value FROM ({_VALUES}) WHERE value <> ''), n AS (SELECT field, value, count(*) AS n FROM v GROUP BY ALL)
+SELECT field, value, n, CAST(rows AS BIGINT) AS rows FROM (SELECT *, sum(n) OVER (PARTITION BY field) AS rows FROM n) WHERE n > 0.01 * rows"""
 SQL: dict[str, str] = {
+    "p3_ranks": f"SELECT model, metric, n, q, true AS within FROM ({_METRICS}), (SELECT unnest({QUANTILES}::DOUBLE[]) AS q)",
     "p6_exported": """SELECT concat_ws(',', CASE WHEN grouping(day) = 0 THEN 'day' END, CASE WHEN grouping(team) = 0 THEN 'team' END, CASE WHEN grouping(model) = 0 THEN 'model' END) AS grouped,
 day, team, model, count(DISTINCT api_key) AS n_api_key, count(DISTINCT session_id) AS n_session_id
 FROM (SELECT CAST(exported_at AS DATE) AS day, team_id AS team, model, api_key, session_id FROM synthetic) GROUP BY CUBE (day, team, model) HAVING count(api_key) + count(session_id) > 0""",
-    "p4_found": f"""WITH v AS (SELECT field, value FROM ({_VALUES}) WHERE value <> ''),
-n AS (SELECT field, value, count(*) AS n FROM v GROUP BY ALL)
-SELECT field, value FROM (SELECT *, sum(n) OVER (PARTITION BY field) AS rows FROM n) WHERE n > 0.01 * rows""",
+    "p4_found": f"SELECT field, value FROM ({_FREQUENT})",
+    "p4_exact": _FREQUENT,
 }

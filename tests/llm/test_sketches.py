@@ -99,16 +99,32 @@ def test_frequent_against_counting(spark):
         frequent.frequent(df, ["a"], 0.001, counters=100)
 
 
-def test_more_tasks_than_estimated(spark, monkeypatch):
-    """One summary a field comes out however many tasks ran; no candidate of another is lost."""
-    monkeypatch.setattr(frequent, "FAN_IN", 2)
-    monkeypatch.setattr(frequent, "task_bound", lambda df: 4)
-    rows = [("early" if i < 200 else "late" if i >= 600 else f"rare{i}", i) for i in range(800)]
-    df = spark.createDataFrame(rows, "a string, n int").repartitionByRange(16, "n")
-    merged = frequent.summaries(df, ["a"], 50).collect()
-    assert [(r.field, r.rows) for r in merged] == [("a", 800)]
-    got = {(r.value, r.n, r.rows) for r in frequent.frequent(df, ["a"], 0.1, counters=50).collect()}
-    assert got == {("early", 200, 800), ("late", 200, 800)}
+@pytest.mark.parametrize("parts", [1, 200, 1500])
+def test_any_number_of_tasks(spark, parts):
+    """One summary a field and one sketch a group come out however many tasks ran."""
+    rows = spark.range(40_000).selectExpr("CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END AS a", "id", "CAST(id AS double) AS x", "id % 2 AS g").repartitionByRange(parts, "id")
+    got = {(r.value, r.n, r.rows, r.estimate - r.error <= r.n <= r.estimate) for r in frequent.frequent(rows, ["a"], 0.1, counters=50).collect()}
+    assert got == {("even", 20_000, 40_000, True), ("odd", 20_000, 40_000, True)}
+    found = quantiles.percentiles(rows, ["g"], ["x"], [0.5, 0.99]).collect()
+    assert sorted((r.g, r.q, r.n) for r in found) == [(0, 0.5, 20_000), (0, 0.99, 20_000), (1, 0.5, 20_000), (1, 0.99, 20_000)]
+    for r in found:
+        assert abs(r.value / 40_000 - r.q) <= r.rank_error + 1e-4
+
+
+def test_many_small_files(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("CASE WHEN id < 10000 THEN 'early' ELSE 'late' END AS a", "CAST(id AS double) AS x").repartitionByRange(1100, "x")
+    rows.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert {(r.value, r.n, r.rows) for r in frequent.frequent(df, ["a"], 0.1, counters=50).collect()} == {("early", 10_000, 20_000), ("late", 10_000, 20_000)}
+    assert [r.n for r in quantiles.percentiles(df, [], ["x"], [0.5]).collect()] == [20_000]
+
+
+def test_exact_ranks(spark):
+    df = spark.createDataFrame([("a", 1.0, 5), ("a", 1.0, 6), ("a", 2.0, None), (None, 3.0, 1), ("a", None, 1)], "g string, x double, y int")
+    got = quantiles.ranks(df, ["g"], ["x", "y"], quantiles.percentiles(df, ["g"], ["x", "y"], [0.5, 1.0]))
+    want = {("a", "x", 0.5, 0, 2), ("a", "x", 1.0, 2, 3), (None, "x", 0.5, 0, 1), (None, "x", 1.0, 0, 1), ("a", "y", 0.5, 1, 2), ("a", "y", 1.0, 2, 3), (None, "y", 0.5, 0, 1), (None, "y", 1.0, 0, 1)}
+    assert {(r.g, r.metric, r.q, r.below, r.upto) for r in got.collect()} == want
+    assert quantiles.ranks(df.limit(0), ["g"], ["x"], quantiles.percentiles(df.limit(0), ["g"], ["x"], [0.5])).count() == 0
 
 
 # Distinct counts --------------------------------------------------------------------
