@@ -67,18 +67,27 @@ _P7 = rf"""WITH r AS (
            lambda x: CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS cells
   FROM spend_lines),
 h AS (SELECT file_name, cells AS names FROM r WHERE line_no = 1),
-b AS (SELECT line_id, fits, cells, names, cells[list_position(names, 'spend')] AS spend, cells[list_position(names, 'prompt_tokens')] AS prompt_tokens,
+b AS (SELECT line_id, file_name, fits, cells, names, cells[list_position(names, 'spend')] AS spend, cells[list_position(names, 'prompt_tokens')] AS prompt_tokens,
         cells[list_position(names, 'status')] AS status FROM r JOIN h USING (file_name) WHERE line_no <> 1),
-f AS (SELECT line_id, CASE WHEN NOT fits THEN ['quoting'] WHEN len(cells) <> len(names) THEN ['columns'] ELSE list_concat(
+f AS (SELECT line_id, file_name, cells, names, CASE WHEN NOT fits THEN ['quoting'] WHEN len(cells) <> len(names) THEN ['columns'] ELSE list_concat(
         CASE WHEN list_contains(names, 'spend') AND NOT (spend = '' OR regexp_full_match(spend, '([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?')) THEN ['spend'] ELSE [] END,
         CASE WHEN list_contains(names, 'prompt_tokens') AND NOT (regexp_full_match(prompt_tokens, '[0-9]+')
           AND coalesce(TRY_CAST(prompt_tokens AS HUGEINT) <= 9223372036854775807, false)) THEN ['prompt_tokens'] ELSE [] END,
         CASE WHEN list_contains(names, 'status') AND status NOT IN ('success', 'failure', '') THEN ['status'] ELSE [] END) END AS reasons FROM b)
-SELECT line_id, unnest(reasons) AS reason FROM f"""
+"""
+_TEXTS = ("request_id", "call_type", "api_key", "user", "team_id", "end_user", "model", "status", "session_id", "startTime", "endTime")
+_WHOLES = ("prompt_tokens", "completion_tokens", "total_tokens", "cache_read_input_tokens", "cache_write_input_tokens")
+_CELL = "nullif(cells[list_position(names, '{0}')], '')"
 
 SQL = {
     "p1_found": f"SELECT delivery_id FROM ({_RANKED}) WHERE id IS NOT NULL AND copy_no > 1",
     "p1_messages": "SELECT delivery_id, batch_id, id, project_id, type, start_time, end_time, provided_model_name, user_id, session_id, level "
     f"FROM ({_RANKED}) WHERE id IS NULL OR copy_no = 1",
-    "p7_found": _P7,
+    "p7_found": _P7 + "SELECT line_id, unnest(reasons) AS reason FROM f",
+    "p7_rows": _P7
+    + "SELECT line_id, file_name, "
+    + ", ".join(f"{_CELL.format(c)} AS \"{c}\"" for c in _TEXTS)
+    + ", "
+    + ", ".join(f"CASE WHEN regexp_full_match({_CELL.format(c)}, '-?[0-9]+') THEN TRY_CAST({_CELL.format(c)} AS BIGINT) END AS {c}" for c in _WHOLES)
+    + f", TRY_CAST({_CELL.format('spend')} AS DECIMAL(38,18)) AS spend FROM f WHERE len(reasons) = 0",
 }
