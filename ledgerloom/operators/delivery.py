@@ -1,12 +1,11 @@
 """Exactly one copy of each message out of at-least-once deliveries.
 
-A hash aggregation by message identifier keeps, with ``min_by`` over a struct of
-delivery order and tie-break, the row key of the delivery that stays. The
-aggregate is a few fixed-size values, so every map task reduces its own copies
-first: a message that makes up a third of all rows leaves each task as one row
-and no reducer ever sees the copies. Whole rows are then selected by joining on
-the row key, which is unique and therefore spreads evenly whatever the skew of
-the identifiers; the wide columns are not shuffled with the identifiers.
+An aggregation by message identifier keeps, with ``min_by`` over a struct of delivery
+order, delivery time and tie-break, the delivery that stays. Every map task reduces
+its own copies first: a message that makes up a third of all rows leaves each task as
+one row and no reducer ever sees the copies. To name the repeated rows the aggregate
+carries row keys only; to keep whole rows it carries them, which takes one scan and
+no join.
 """
 
 from __future__ import annotations
@@ -21,6 +20,10 @@ from ledgerloom.functions.text import fold
 _KEPT = "__kept_row_key"
 
 
+def _rank(row_key: str, order: Sequence[Column]) -> Column:
+    return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(row_key).alias("tie"))
+
+
 def kept_deliveries(df: DataFrame, row_key: str, identity: Sequence[Column], order: Sequence[Column]) -> DataFrame:
     """Row keys of the delivery kept of each message.
 
@@ -29,13 +32,10 @@ def kept_deliveries(df: DataFrame, row_key: str, identity: Sequence[Column], ord
     looked at); a null in the others is a value like any other.
     ``order``: the delivery with the least struct of these stays; nulls sort
     first, and the row key breaks remaining ties, so the result is the same for
-    every partitioning of the input. Without ``order`` the row key is the order:
-    the struct then has but one fixed-size member and is left out, which lets Spark
-    aggregate by hash (a struct in the buffer makes it sort every map task's rows).
+    every partitioning of the input.
     """
     named = [c.alias(f"k{i}") for i, c in enumerate(identity)]
-    rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(row_key).alias("tie")) if order else F.col(row_key)
-    keyed = df.filter(identity[0].isNotNull()).select(*named, F.col(row_key).alias("row_key"), rank.alias("rank"))
+    keyed = df.filter(identity[0].isNotNull()).select(*named, F.col(row_key).alias("row_key"), _rank(row_key, order).alias("rank"))
     return keyed.groupBy(*[f"k{i}" for i in range(len(named))]).agg(F.min_by("row_key", "rank").alias(_KEPT)).select(_KEPT)
 
 
@@ -46,10 +46,16 @@ def repeated_deliveries(df: DataFrame, row_key: str, identity: Sequence[Column],
 
 
 def deduplicated(df: DataFrame, row_key: str, identity: Sequence[Column], order: Sequence[Column]) -> DataFrame:
-    """``df`` with one delivery of each message; rows without identity all stay."""
-    kept = kept_deliveries(df, row_key, identity, order)
-    without = df.filter(identity[0].isNull())
-    return df.filter(identity[0].isNotNull()).join(kept, F.col(row_key) == F.col(_KEPT), "left_semi").unionByName(without)
+    """``df`` with one delivery of each message, whole rows; rows without identity all
+    stay (each counts as a message of its own)."""
+    lone = F.when(identity[0].isNull(), F.col(row_key))
+    added = [*identity, lone, _rank(row_key, order)]
+    wide = df.select("*", *added)
+    n = len(df.columns)
+    wide = wide.toDF(*[f"c{i}" for i in range(n)], *[f"k{i}" for i in range(len(identity) + 1)], "rank")  # by place: names may clash
+    row = F.struct(*[f"c{i}" for i in range(n)])
+    kept = wide.groupBy(*[f"k{i}" for i in range(len(identity) + 1)]).agg(F.min_by(row, "rank").alias("row"))
+    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(df.columns)])
 
 
 def observation_identity() -> list[Column]:
@@ -58,5 +64,5 @@ def observation_identity() -> list[Column]:
 
 
 def observation_order() -> list[Column]:
-    """Deliveries are numbered in the order they came in, so their key is the order."""
-    return []
+    """Deliveries are numbered in the order they came in; the time of delivery settles a number given twice."""
+    return [F.col("delivery_id"), F.col("ingested_at")]

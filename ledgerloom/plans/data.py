@@ -15,11 +15,20 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return delivery.repeated_deliveries(obs, "delivery_id", delivery.observation_identity(), delivery.observation_order()).select("delivery_id")
 
 
+_PLAIN = ("delivery_id", "batch_id", "id", "project_id", "type", "start_time", "end_time", "total_cost", "provided_model_name", "user_id", "session_id", "environment", "release", "trace_name", "prompt_name", "level")
+
+
 def p1_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """One whole row of each message."""
+    """One whole row of each message; maps, lists and times as text."""
     obs = read(spark, sf, "observations")
     kept = delivery.deduplicated(obs, "delivery_id", delivery.observation_identity(), delivery.observation_order())
-    return kept.select("delivery_id", "batch_id", "id", "project_id", "type", "start_time", "end_time", "provided_model_name", "user_id", "session_id", "level")
+    usage = F.transform(F.array_sort(F.map_entries("usage_details")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"].cast("string"), F.lit("null"))))
+    return kept.select(
+        *_PLAIN,
+        F.date_format("ingested_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ingested_at"),
+        F.array_join(usage, ",").alias("usage_details"),
+        F.array_join("tags", ",", "null").alias("tags"),
+    )
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,8 +90,10 @@ _CELL = "nullif(cells[list_position(names, '{0}')], '')"
 
 SQL = {
     "p1_found": f"SELECT delivery_id FROM ({_RANKED}) WHERE id IS NOT NULL AND copy_no > 1",
-    "p1_messages": "SELECT delivery_id, batch_id, id, project_id, type, start_time, end_time, provided_model_name, user_id, session_id, level "
-    f"FROM ({_RANKED}) WHERE id IS NULL OR copy_no = 1",
+    "p1_messages": f"""SELECT {', '.join(_PLAIN)}, strftime(ingested_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S.%f') AS ingested_at,
+  CASE WHEN usage_details IS NOT NULL THEN array_to_string(list_sort(list_transform(map_keys(usage_details), lambda k: k || '=' || coalesce(usage_details[k]::VARCHAR, 'null'))), ',') END AS usage_details,
+  CASE WHEN tags IS NOT NULL THEN array_to_string(list_transform(tags, lambda t: coalesce(t, 'null')), ',') END AS tags
+FROM ({_RANKED}) WHERE id IS NULL OR copy_no = 1""",
     "p7_found": _P7 + "SELECT line_id, unnest(reasons) AS reason FROM f",
     "p7_rows": _P7
     + "SELECT line_id, file_name, "

@@ -46,7 +46,16 @@ def test_order_with_ties_and_nulls(spark):
     assert sorted(r.key for r in kept.collect()) == [1, 4]
 
 
-def test_hash_aggregation(spark, data):
+def test_plan(spark, data):
+    """Copies are reduced by a struct of delivery order within map tasks; whole rows take one scan."""
     df = spark.read.parquet(f"{data}/observations.parquet")
-    plan = delivery.kept_deliveries(df, "delivery_id", delivery.observation_identity(), delivery.observation_order())._jdf.queryExecution().toString()
-    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    for f in (delivery.kept_deliveries, delivery.deduplicated):
+        plan = f(df, "delivery_id", delivery.observation_identity(), delivery.observation_order())._jdf.queryExecution().executedPlan().toString()
+        assert "partial_min_by" in plan and "ingested_at" in plan and plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_clashing_names_and_nested_columns(spark):
+    rows = [(2, "a", {"x": 1}, "r"), (1, "A", {"x": 2}, "s"), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "k bigint, id string, c0 map<string,int>, rank string")
+    kept = delivery.deduplicated(df, "k", delivery.observation_identity()[:1], [])
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [(1, "A", {"x": 2}, "s"), (3, None, None, None)]
