@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import SPACES, strip
 from ledgerloom.llm import distinct, quantiles
-from ledgerloom.llm.encode import encoded
+from ledgerloom.llm.encode import encoded, reuse
 from ledgerloom.llm.frequent import frequent
 from ledgerloom.llm.leaks import leaks
 from ledgerloom.llm.sentences import sentences
@@ -84,6 +84,11 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encoded(read(spark, sf, "documents"))
 
 
+def p8_reuse(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks shared and joins repaired, by declared language."""
+    return reuse(read(spark, sf, "documents"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks(read(spark, sf, "documents"), read(spark, sf, "eval_items"))
 
@@ -92,7 +97,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences(read(spark, sf, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p3_percentiles, p3_days, p3_ranks, p4_found, p4_frequent, p4_exact, p6_distinct, p6_exported, p8_ids, p9_found, p10_found)}
+QUERIES = {q.__name__: q for q in (p3_percentiles, p3_days, p3_ranks, p4_found, p4_frequent, p4_exact, p6_distinct, p6_exported, p8_ids, p8_reuse, p9_found, p10_found)}
 
 _CHARS = "||".join(f"chr({ord(c)})" for c in SPACES)
 _VALUES = " UNION ALL ".join(f"""SELECT '{f}' AS field, nfc_normalize(trim("{f}", {_CHARS})) AS value FROM synthetic""" for f in ("api_key", "user", "end_user"))

@@ -47,6 +47,30 @@ def test_chunks_equal_whole_texts(encoder):
     assert encoded(encoder, texts) == [encoder._encode(t) for t in texts]
 
 
+@pytest.mark.parametrize("spacing", [1, 3, 1000])
+def test_joins_are_repaired(encoder, spacing, monkeypatch):
+    """Cuts fall anywhere, also in scripts without blanks; few joins hold as they are, all equal the whole text at the end."""
+    monkeypatch.setattr(encode, "SPACING", spacing)
+    encoder._chunks.clear(), encoder._seams.clear()
+    random.seed(8)
+    texts = ["".join(random.choice("港口的市長說話一二三、。") for _ in range(400)), "unbelievable " * 40, "don't" * 60, "ประชาชนในเมืองท่า" * 20, "x" * 500, "'" * 90]
+    for _ in range(2):  # the second time from the cache, between other neighbours
+        random.shuffle(texts)
+        assert encoded(encoder, texts) == [encoder._encode(t) for t in texts]
+    if spacing == 3:
+        joins, repaired, chunks = map(list, zip(*map(encoder.joins, texts)))
+        assert 30 < sum(repaired) <= sum(joins) and ["".join(c) for c in chunks] == texts
+
+
+def test_shared_chunks(spark, encoder):
+    text = "The mill of Zoll opened the port and the harbour was calm on that day. " * 30
+    (r,) = encode.reuse(docs(spark, (text, None), (text, None)).selectExpr("*", "'en' AS lang")).collect()
+    assert r.documents == 2 and r.chunks >= 2 * r.distinct_chunks > 0 and r.joins >= r.repaired > 0
+    assert [r.asDict() for r in encode.reuse(docs(spark, (None, None)).selectExpr("*", "CAST(NULL AS string) AS lang")).collect()] == [
+        {"lang": None, "documents": 1, "chunks": 0, "distinct_chunks": 0, "joins": 0, "repaired": 0}
+    ]
+
+
 def test_encoded_frame(spark, encoder):
     rows = [*EDGE, ("<|endoftext|>", None), ("ab", None), ("ab", None)]
     got = {r.doc_id: r.ids for r in encode.encoded(docs(spark, *rows)).collect()}
