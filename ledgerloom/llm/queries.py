@@ -9,7 +9,7 @@ from ledgerloom.functions.text import SPACES, strip
 from ledgerloom.llm import distinct, quantiles
 from ledgerloom.llm.encode import encoded, reuse
 from ledgerloom.llm.frequent import frequent
-from ledgerloom.llm.leaks import leaks
+from ledgerloom.llm.leaks import leaks, removal_spans
 from ledgerloom.llm.sentences import sentences
 from ledgerloom.operators.timestamps import normalised, zone_owners
 from ledgerloom.session import read
@@ -93,11 +93,16 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks(read(spark, sf, "documents"), read(spark, sf, "eval_items"))
 
 
+def p9_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """The stretches of text to remove from each document."""
+    return removal_spans(read(spark, sf, "documents"), read(spark, sf, "eval_items"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences(read(spark, sf, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p3_percentiles, p3_days, p3_ranks, p4_found, p4_frequent, p4_exact, p6_distinct, p6_exported, p8_ids, p8_reuse, p9_found, p10_found)}
+QUERIES = {q.__name__: q for q in (p3_percentiles, p3_days, p3_ranks, p4_found, p4_frequent, p4_exact, p6_distinct, p6_exported, p8_ids, p8_reuse, p9_found, p9_spans, p10_found)}
 
 _CHARS = "||".join(f"chr({ord(c)})" for c in SPACES)
 _VALUES = " UNION ALL ".join(f"""SELECT '{f}' AS field, nfc_normalize(trim("{f}", {_CHARS})) AS value FROM synthetic""" for f in ("api_key", "user", "end_user"))

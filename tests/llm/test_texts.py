@@ -243,6 +243,55 @@ def test_leaks(spark):
     assert leaked(spark, [], [PASSAGE]) == [] and leaked(spark, [PASSAGE], []) == []
 
 
+def test_recall_over_misreading():
+    """Runs of 20 to 30 words, each word misread by a letter at some rate."""
+    random.seed(11)
+    syllables = ["ka", "lo", "mi", "ne", "tur", "sab", "wen", "dro", "pil", "gar", "hes", "vo"]
+    names = ["".join(random.choices(syllables, k=random.randint(2, 4))) for _ in range(900)]
+    items = [(i, "en", " ".join(random.choices(names, k=random.randint(30, 60)))) for i in range(200)]
+    block = leaks.prepared(items)
+
+    def misread(w):
+        k = random.randrange(len(w))
+        return w[:k] + random.choice("cefthbnu") + w[k + 1 :]
+
+    for rate in (0.05, 0.1, 0.15, 0.2, 0.25):
+        pages = []
+        for _, _, text in items:
+            ws = text.split()
+            a = random.randint(0, len(ws) - 30)
+            pages.append([misread(w) if random.random() < rate else w for w in ws[a : a + random.randint(20, 30)]])
+        found = {(d, i) for d, i, _, _ in leaks.find(pages, [False] * len(pages), lambda: [block])}
+        assert sum((k, k) in found for k in range(len(items))) >= 0.9 * len(items), rate
+        assert all(d == i for d, i in found)
+
+
+def test_pages_of_mixed_scripts(spark):
+    random.seed(12)
+    chinese = "".join(chr(0x4E00 + random.randint(0, 3000)) for _ in range(300))
+    zh, en = chinese[:80], PASSAGE
+    frame = spark.createDataFrame([(1, "s", "en", en, None), (2, "s", "zh", zh, None)], ITEMS)
+    rows = [f"{chinese[80:]}\n{en}\n{chinese[80:200]}", f"{en}\n{zh}", f"{' '.join(reversed(en.split()))} {zh}"]
+    got = leaks.leaks(docs(spark, *((t, None) for t in rows)), frame)
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(0, 1), (1, 1), (1, 2), (2, 2)]
+
+
+def test_removal_spans(spark):
+    words = PASSAGE.split()
+    at = words.index("northern")
+    lines = page("Before it all. " + " ".join(words[:6]), ("TO LET, six rooms", "advert", 0), " ".join(words[6:at]) + " nor-", " ".join(["thern", *words[at + 1 :]]) + ", after", "The end of this.")
+    tail = " ".join(words[8:])
+    rows = [(f"x {PASSAGE}. {PASSAGE}! And y", None), lines, ("nothing here", None)]
+    frame = spark.createDataFrame([(1, "s", "en", PASSAGE, None), (2, "s", "en", f"{tail} however", None)], ITEMS)
+    got = sorted((r.doc_id, r.start_pos, r.end_pos) for r in leaks.removal_spans(docs(spark, *rows), frame).collect())
+    assert [rows[0][0][a:b] for d, a, b in got if d == 0] == [f"{PASSAGE}. {PASSAGE}"]  # only signs between
+    runs = {(r.doc_id, r.item_id): [(s.start, s.stop) for s in r.spans] for r in leaks.leaked_runs(docs(spark, *rows), frame).collect()}
+    assert [rows[0][0][a:b] for a, b in runs[0, 2]] == [tail, tail]
+    assert not any(d == 2 for d, _, _ in got)
+    text = rows[1][0]
+    assert [text[a:b] for d, a, b in got if d == 1] == [" ".join(words[:6]), f"{' '.join(words[6:at])} nor-\nthern {' '.join(words[at + 1 :])}"]
+
+
 def test_leaks_by_characters(spark):
     random.seed(10)
     letters = [chr(0x4E00 + random.randint(0, 3000)) for _ in range(150)]
