@@ -284,12 +284,12 @@ def test_removal_spans(spark):
     rows = [(f"x {PASSAGE}. {PASSAGE}! And y", None), lines, ("nothing here", None)]
     frame = spark.createDataFrame([(1, "s", "en", PASSAGE, None), (2, "s", "en", f"{tail} however", None)], ITEMS)
     got = sorted((r.doc_id, r.start_pos, r.end_pos) for r in leaks.removal_spans(docs(spark, *rows), frame).collect())
-    assert [rows[0][0][a:b] for d, a, b in got if d == 0] == [f"{PASSAGE}. {PASSAGE}"]  # only signs between
+    assert [rows[0][0][a:b] for d, a, b in got if d == 0] == [f"{PASSAGE}. {PASSAGE}!"]  # with the signs at and between words
     runs = {(r.doc_id, r.item_id): [(s.start, s.stop) for s in r.spans] for r in leaks.leaked_runs(docs(spark, *rows), frame).collect()}
-    assert [rows[0][0][a:b] for a, b in runs[0, 2]] == [tail, tail]
+    assert [rows[0][0][a:b] for a, b in runs[0, 2]] == [f"{tail}.", f"{tail}!"]
     assert not any(d == 2 for d, _, _ in got)
     text = rows[1][0]
-    assert [text[a:b] for d, a, b in got if d == 1] == [" ".join(words[:6]), f"{' '.join(words[6:at])} nor-\nthern {' '.join(words[at + 1 :])}"]
+    assert [text[a:b] for d, a, b in got if d == 1] == [" ".join(words[:6]), f"{' '.join(words[6:at])} nor-\nthern {' '.join(words[at + 1 :])},"]
 
 
 def test_leaks_by_characters(spark):
