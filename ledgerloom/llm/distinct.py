@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 #: Rows of a group from which it is split, and about the most hashes of one run.
 SHARD_ROWS = 65_536
+#: Most members, over all keys, whose rows are told to the tasks. A member beyond them has at most
+#: keys * rows / HOT_MEMBERS rows, so its run is bounded as well; results are the same for any value.
+HOT_MEMBERS = 16_384
 #: Rows that a task turns into runs at a time.
 CHUNK = 250_000
 
@@ -98,14 +101,15 @@ def grouping_sets(keys: list[str]) -> list[tuple[str, ...]]:
 
 
 def hot_members(df: DataFrame, keys: list[str], shard_rows: int = SHARD_ROWS) -> tuple[int, dict[str, dict]]:
-    """Number of rows, and the members of each key with more than ``shard_rows``
-    rows, with their rows: at most rows / shard_rows of each key."""
+    """Number of rows, and the largest members with more than ``shard_rows`` rows of all
+    keys, with their rows: :data:`HOT_MEMBERS` at most."""
     sets = [[k] for k in keys]
     counted = df.select(*keys).groupingSets([[F.col(k) for k in s] for s in sets] + [[]], *[F.col(k) for k in keys]).agg(
         F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n")
     )
     total_id = (1 << len(keys)) - 1
-    rows = counted.filter((F.col("n") > shard_rows) | (F.col("gid") == total_id)).collect()
+    total_first = F.when(F.col("gid") == total_id, 0).otherwise(1)
+    rows = counted.filter((F.col("n") > shard_rows) | (F.col("gid") == total_id)).orderBy(total_first, F.desc("n")).limit(HOT_MEMBERS + 1).collect()
     hot: dict[str, dict] = {k: {} for k in keys}
     total = 0
     for r in rows:

@@ -142,8 +142,9 @@ def test_runs_round_trip(groups):
     assert [hashes[group == i].tolist() for i in range(len(runs))] == [r.tolist() for r in runs]
 
 
-@pytest.mark.parametrize("shard_rows", [50, 10_000])
-def test_counts_of_all_combinations(spark, shard_rows):
+@pytest.mark.parametrize(("shard_rows", "members"), [(50, 16_384), (50, 3), (10_000, 16_384)])
+def test_counts_of_all_combinations(spark, shard_rows, members, monkeypatch):
+    monkeypatch.setattr(distinct, "HOT_MEMBERS", members)
     random.seed(6)
     rows = [(random.choice([date(2026, 1, 1), date(2026, 1, 2), None]), "hot" if random.random() < 0.4 else f"t{random.randint(0, 30)}", random.choice("ab"), random.choice([None, f"s{random.randint(0, 900)}"]), f"k{random.randint(0, 20)}", 1) for _ in range(4000)]
     df = spark.createDataFrame(rows, "day date, team string, model string, session string, key string, shard int").repartition(6)
