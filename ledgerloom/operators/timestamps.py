@@ -1,12 +1,12 @@
 """Mixed timestamp spellings to UTC instants.
 
-A value is tokenised into a shape mask (digits become ``9``, everything else
-stays), the few distinct masks of a batch are each resolved to a parser once per
-worker, and all values of one mask are converted together on a two-dimensional
-byte array: a mask fixes the position of every field, so parsing is slicing.
-Times without zone go through transition tables of their IANA zone; the tables
-are read once, on the driver, from the JVM's zone rules, carry that rule set's
-version and are bounded by the number of IANA zones.
+A value is tokenised into a mask of character classes (digits become ``9``, letters
+``a``, everything else stays), the few distinct masks of a batch are each resolved to a
+parser once per worker, and all values of one mask are converted together on a
+two-dimensional byte array: a mask fixes the position of every field, so parsing is
+slicing. Times without zone go through transition tables of their IANA zone; the
+tables are read once a session, on the driver, from the JVM's zone rules, carry that
+rule set's version and are bounded by the number of IANA zones.
 """
 
 from __future__ import annotations
@@ -26,8 +26,11 @@ from ledgerloom.functions.text import SPACES, fold
 INVALID = "invalid"
 _DAY = 86_400_000_000
 _NAT = np.iinfo(np.int64).min
-#: Parsed years; others name no instant of a log.
-FIRST_YEAR, LAST_YEAR = 1900, 2200
+#: Years that have a canonical spelling.
+FIRST_YEAR, LAST_YEAR = 1, 9999
+_FIRST, _LAST = -62_135_596_800_000_000, 253_402_300_799_999_999
+#: Microseconds of the 400 years after which the calendar, and with it a zone's yearly rules, repeat.
+_CYCLE = 146_097 * _DAY
 
 #: English month and day names.
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -47,53 +50,111 @@ class ZoneTables:
     since 1970) from which ``offsets[z][i + 1]`` (µs) holds instead of
     ``offsets[z][i]``. The switch point is the transition plus the larger of both
     offsets: a local time that occurs twice gets the earlier instant, a skipped
-    one the offset before the change."""
+    one the offset before the change. ``ends[z]``: where a zone switches every year for
+    ever, the local time after which the table's last 400 years repeat (else the greatest)."""
 
     version: str
     bounds: dict[str, np.ndarray]
     offsets: dict[str, np.ndarray]
+    ends: dict[str, int]
+
+    def offset(self, zone: str, local: np.ndarray) -> np.ndarray:
+        """Offset of local times; unknown zones are UTC."""
+        if zone not in self.bounds:
+            return np.zeros(len(local), np.int64)
+        past = np.maximum(local, self.ends[zone]) - self.ends[zone]
+        local = local - -(-past // _CYCLE) * _CYCLE
+        return self.offsets[zone][np.searchsorted(self.bounds[zone], local, side="right")]
+
+
+_TRANSITION = re.compile(r"Transition\[\w+ at (-?\d+)-(\d\d)-(\d\d)T(\d\d):(\d\d)(?::(\d\d))?\S*? to (Z|[-+][\d:]+)\]")
+_STARTS = re.compile(r"at \S*?(Z|[-+]\d\d:\d\d(?::\d\d)?) to")
+_TABLES: dict[tuple[str, str], tuple[np.ndarray, np.ndarray, int]] = {}
+
+
+def _seconds(offset: str) -> int:
+    if offset == "Z":
+        return 0
+    h, m, s = [int(x) for x in offset[1:].split(":")] + [0] * (2 - offset.count(":"))
+    return (-1 if offset[0] == "-" else 1) * (h * 3600 + m * 60 + s)
+
+
+def _days(year: int, month: int, day: int) -> int:
+    """Days since 1970 of a date of the calendar, also beyond the year 9999."""
+    y = year - (month <= 2)
+    of_year = (153 * ((month + 9) % 12) + 2) // 5 + day - 1
+    return y * 365 + y // 4 - y // 100 + y // 400 + of_year - 719_468
+
+
+def _zone_table(rules, epoch) -> tuple[np.ndarray, np.ndarray, int]:
+    """Switch points, offsets and end of the table of one zone's rules (driver side)."""
+    switches: list[tuple[int, int, int]] = []  # local time before the change, offsets before and after, in seconds
+    listed = str(rules.getTransitions().toString())
+    year = 1970
+    for m, before in zip(_TRANSITION.finditer(listed), _STARTS.finditer(listed), strict=True):
+        year = int(m[1])
+        at = _days(year, int(m[2]), int(m[3])) * 86_400 + int(m[4]) * 3600 + int(m[5]) * 60 + int(m[6] or 0)
+        switches.append((at, _seconds(before[1]), _seconds(m[7])))
+    yearly = []
+    for r in rules.getTransitionRules():
+        dow, kind = r.getDayOfWeek(), str(r.getTimeDefinition())
+        time = 86_400 if r.isMidnightEndOfDay() else r.getLocalTime().toSecondOfDay()
+        before, after = r.getOffsetBefore().getTotalSeconds(), r.getOffsetAfter().getTotalSeconds()
+        shift = before if kind == "UTC" else before - r.getStandardOffset().getTotalSeconds() if kind == "STANDARD" else 0
+        yearly.append((r.getMonth().getValue(), r.getDayOfMonthIndicator(), None if dow is None else dow.getValue(), time + shift, before, after))
+    end = np.iinfo(np.int64).max
+    if yearly:
+        first = year + 1
+        for y in range(first, first + 401):
+            of_year = []
+            for month, day, dow, time, before, after in yearly:
+                date = _days(y, month, day) if day > 0 else _days(y + month // 12, month % 12 + 1, 1) + day
+                if dow is not None:  # on or after a day of the month, or on or before its end
+                    today = (date + 3) % 7 + 1
+                    date += (dow - today) % 7 if day > 0 else -((today - dow) % 7)
+                of_year.append((date * 86_400 + time, before, after))
+            switches += sorted(of_year)
+        end = _days(first + 401, 1, 1) * 86_400_000_000
+    if not switches:
+        return np.zeros(0, np.int64), np.array([rules.getOffset(epoch).getTotalSeconds()], np.int64) * 1_000_000, end
+    bounds = [at + max(0, after - before) for at, before, after in switches]
+    offsets = [switches[0][1], *(after for _, _, after in switches)]
+    return np.array(bounds, np.int64) * 1_000_000, np.array(offsets, np.int64) * 1_000_000, end
 
 
 def zone_tables(spark: SparkSession, names: list[str]) -> ZoneTables:
-    """Transition tables of IANA zones, from the JVM's rules (driver side, one
-    table for each zone; unknown names are left out and count as UTC)."""
+    """Transition tables of IANA zones, from the JVM's rules (driver side, one table for
+    each zone and version of the rules, kept for the process; unknown names are left out
+    and count as UTC)."""
     jvm = spark._jvm
     zone_id = jvm.java.time.ZoneId
     known = set(zone_id.getAvailableZoneIds())
     version = str(jvm.java.time.zone.ZoneRulesProvider.getVersions("UTC").lastEntry().getKey())
-    end = jvm.java.time.Instant.parse(f"{LAST_YEAR}-01-01T00:00:00Z")
-    start = jvm.java.time.Instant.parse(f"{FIRST_YEAR}-01-01T00:00:00Z")
-    bounds, offsets = {}, {}
-    for name in sorted(set(names) & known):
-        rules = zone_id.of(name).getRules()
-        at, b, o = start, [], [rules.getOffset(start).getTotalSeconds()]
-        while (step := rules.nextTransition(at)) is not None and step.getInstant().isBefore(end):
-            at = step.getInstant()
-            before, after = step.getOffsetBefore().getTotalSeconds(), step.getOffsetAfter().getTotalSeconds()
-            b.append(at.getEpochSecond() + max(before, after))
-            o.append(after)
-        bounds[name], offsets[name] = np.array(b, np.int64) * 1_000_000, np.array(o, np.int64) * 1_000_000
-    return ZoneTables(version, bounds, offsets)
+    chosen = sorted(set(names) & known)
+    for name in chosen:
+        if (version, name) not in _TABLES:
+            _TABLES[version, name] = _zone_table(zone_id.of(name).getRules(), jvm.java.time.Instant.EPOCH)
+    return ZoneTables(version, *({n: _TABLES[version, n][i] for n in chosen} for i in range(3)))
 
 
 # Parsers ---------------------------------------------------------------------
 
 _Y, _M2, _D2, _T6 = r"(?P<Y>9999)", r"(?P<m>99)", r"(?P<d>99)", r"(?P<H>99):(?P<M>99):(?P<S>99)"
-_FRACTION, _OFFSET = r"(?:[.,](?P<f>9{1,12}))?", r"(?P<z>[+-]99:?99|[Zz])"
-#: Shapes as patterns over masks, in which month names, day names, AM/PM and zone abbreviations are still letters.
+_FRACTION, _OFFSET = r"(?:[.,](?P<f>9+))?", r"(?P<z>[+-]99:?99|a)"
+#: Shapes as patterns over masks; what the letters say (T, Z, month, day, AM/PM, zone) is checked with the values.
 SHAPES = tuple(
     re.compile(p + r"\Z")
     for p in (
-        rf"{_Y}-{_M2}-{_D2}[Tt ](?P<H>99):(?P<M>99)(?::(?P<S>99){_FRACTION})? ?{_OFFSET}?",
-        rf"{_Y}{_M2}{_D2}[Tt](?P<H>99)(?P<M>99)(?P<S>99){_FRACTION}{_OFFSET}?",
-        rf"{_Y}/{_M2}/{_D2} {_T6}{_FRACTION}(?: (?P<a>[A-Za-z]{{1,4}}))?",
+        rf"{_Y}-{_M2}-{_D2}(?:(?P<t>a)| )(?P<H>99):(?P<M>99)(?::(?P<S>99){_FRACTION})? ?{_OFFSET}?",
+        rf"{_Y}{_M2}{_D2}(?P<t>a)(?P<H>99)(?P<M>99)(?P<S>99){_FRACTION}{_OFFSET}?",
+        rf"{_Y}/{_M2}/{_D2} {_T6}{_FRACTION}(?: (?P<a>a{{1,4}}))?",
         rf"{_D2}\.{_M2}\.{_Y} (?P<H>99):(?P<M>99)(?::(?P<S>99){_FRACTION})?",
-        rf"(?:(?P<w>[A-Za-z]{{3}}), )?(?P<d>99?) (?P<b>[A-Za-z]{{3}}) {_Y} {_T6} (?:(?P<z>[+-]99:?99)|(?P<a>[A-Za-z]{{1,4}}))",
-        rf"(?P<b>[A-Za-z]{{3}}) (?P<d>99?), {_Y} (?P<H>99?):(?P<M>99)(?::(?P<S>99))? (?P<p>[AaPp][Mm])",
+        rf"(?:(?P<w>aaa), )?(?P<d>99?) (?P<b>aaa) {_Y} {_T6} (?:(?P<z>[+-]99:?99)|(?P<a>a{{1,4}}))",
+        rf"(?P<b>aaa) (?P<d>99?), {_Y} (?P<H>99?):(?P<M>99)(?::(?P<S>99))? (?P<p>aa)",
     )
 )
 _EPOCH = {10: 1_000_000, 13: 1_000, 16: 1}
-_CANONICAL = re.compile(r"9999-99-99T99:99:99(?:\.9+)?Z\Z")
+_CANONICAL = re.compile(r"9999-99-99a99:99:99(?:\.9+)?a\Z")
 _MASK_CACHE: dict[str, tuple | None] = {}
 
 
@@ -114,6 +175,12 @@ def _parser(mask: str) -> tuple | None:
     return _MASK_CACHE[mask]
 
 
+def masked(text: pa.Array) -> pa.Array:
+    """Masks of stripped texts; texts with other characters than ASCII have the mask ``?``."""
+    plain = pc.if_else(pc.string_is_ascii(text), text, "?")
+    return pc.replace_substring_regex(pc.replace_substring_regex(plain, "[0-9]", "9"), "[A-Za-z]", "a")
+
+
 def _number(chars: np.ndarray, span: tuple[int, int]) -> np.ndarray:
     out = np.zeros(len(chars), np.int64)
     for i in range(*span):
@@ -141,7 +208,7 @@ def _parse(chars: np.ndarray, spec: dict[str, tuple[int, int]]) -> tuple[np.ndar
     month = _number(chars, spec["m"]) if "m" in spec else _words(chars, spec["b"], _MONTH_NO, 0, False)
     hour, minute = _number(chars, spec["H"]), _number(chars, spec["M"])
     second = _number(chars, spec["S"]) if "S" in spec else np.zeros(n, np.int64)
-    ok = (year >= FIRST_YEAR) & (year < LAST_YEAR) & (month >= 1) & (month <= 12) & (day >= 1) & (minute < 60) & (second < 60)
+    ok = (year >= FIRST_YEAR) & (year <= LAST_YEAR) & (month >= 1) & (month <= 12) & (day >= 1) & (minute < 60) & (second < 60)
     if "p" in spec:
         noon = _words(chars, spec["p"], {"AM": 0, "PM": 12}, 0, True)
         ok &= (hour >= 1) & (hour <= 12)
@@ -156,6 +223,8 @@ def _parse(chars: np.ndarray, spec: dict[str, tuple[int, int]]) -> tuple[np.ndar
         a, b = spec["f"]
         b = min(b, a + 6)
         local = local + _number(chars, (a, b)) * 10 ** (6 - (b - a))
+    if "t" in spec:
+        ok &= (chars[:, spec["t"][0]] | 32) == ord("t")
     if "w" in spec:
         ok &= _words(chars, spec["w"], _DAY_NO, -1, False) >= 0
     offset = np.full(n, _MISSING, np.int64)
@@ -163,6 +232,7 @@ def _parse(chars: np.ndarray, spec: dict[str, tuple[int, int]]) -> tuple[np.ndar
         a, b = spec["z"]
         if b - a == 1:
             offset[:] = 0
+            ok &= (chars[:, a] | 32) == ord("z")
         else:
             hours, minutes = _number(chars, (a + 1, a + 3)), _number(chars, (b - 2, b))
             ok &= (hours <= 18) & (minutes < 60)
@@ -185,8 +255,7 @@ def to_utc(values: pa.Array, zones: pa.Array, tables: ZoneTables) -> tuple[np.nd
         return out, canonical
     raw = pc.fill_null(values, "")
     text = pc.utf8_trim(raw, SPACES)
-    ascii_only = pc.string_is_ascii(text)
-    masks = pc.replace_substring_regex(pc.if_else(ascii_only, text, "?"), "[0-9]", "9").dictionary_encode()
+    masks = masked(text).dictionary_encode()
     codes = masks.indices.to_numpy(zero_copy_only=False)
     order = np.argsort(codes, kind="stable")
     starts = np.searchsorted(codes[order], np.arange(len(masks.dictionary) + 1))
@@ -209,19 +278,16 @@ def to_utc(values: pa.Array, zones: pa.Array, tables: ZoneTables) -> tuple[np.nd
         local_rows.append(rows[ok & ~zoned])
         local_times.append(local[ok & ~zoned])
         if plain:
-            canonical[rows] = ok & untouched[rows]
+            canonical[rows] = ok & untouched[rows] & (chars[:, 10] == ord("T")) & (chars[:, -1] == ord("Z"))
     if local_rows:
         rows, times = np.concatenate(local_rows), np.concatenate(local_times)
         named = pc.fill_null(zones, "").take(pa.array(rows)).dictionary_encode()
         which = named.indices.to_numpy(zero_copy_only=False)
         for code, name in enumerate(named.dictionary.to_pylist()):
             hit = which == code
-            if name in tables.bounds:
-                at = np.searchsorted(tables.bounds[name], times[hit], side="right")
-                out[rows[hit]] = times[hit] - tables.offsets[name][at]
-            else:
-                out[rows[hit]] = times[hit]
-    return out, canonical
+            out[rows[hit]] = times[hit] - tables.offset(name, times[hit])
+    out[(out < _FIRST) | (out > _LAST)] = _NAT  # a zone's offset can lead beyond the years that have a spelling
+    return out, canonical & (out != _NAT)
 
 
 def spell(micros: np.ndarray) -> pa.Array:
@@ -266,6 +332,31 @@ def normalised(
     return joined.mapInArrow(convert, f"{fields}, utc string, instant timestamp, canonical boolean")
 
 
+def mask_report(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """``keys, mask, has_parser, n``: how often each mask occurs among the non-blank values,
+    and whether a parser reads it (masks without one are 'invalid' as a whole)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masks = masked(pc.utf8_trim(batch.column("v"), SPACES))
+            seen = masks.dictionary_encode()
+            known = pa.array([_parser(m) is not None for m in seen.dictionary.to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), masks, known.take(seen.indices)], names=[*keys, "mask", "has_parser"])
+
+    rows = df.select(*keys, F.col(value).alias("v")).filter(F.btrim("v", F.lit(SPACES)) != "")
+    fields = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    return rows.mapInArrow(run, f"{fields}mask string, has_parser boolean").groupBy(*keys, "mask", "has_parser").agg(F.count(F.lit(1)).alias("n"))
+
+
+def zones_used(spark: SparkSession, owners: DataFrame) -> DataFrame:
+    """``time_zone, version, changes``: the zones of ``owners`` by the version of the rules
+    they are converted with and the switches their tables hold; null where unknown (read as UTC)."""
+    names = [r[0] for r in owners.select("time_zone").distinct().orderBy("time_zone").limit(2000).collect()]
+    tables = zone_tables(spark, names)
+    rows = [(n, tables.version if n in tables.bounds else None, len(tables.bounds[n]) if n in tables.bounds else None) for n in names]
+    return spark.createDataFrame(rows, "time_zone string, version string, changes int")
+
+
 def zone_owners(zones: DataFrame, kind: str) -> DataFrame:
     """One zone for each owner of a kind, owners in the form they are compared in;
     of an owner listed twice the least zone name holds."""

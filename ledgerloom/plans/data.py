@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import sql_fold
+from ledgerloom.functions.text import SPACES, sql_fold
 from ledgerloom.operators import delivery, drift, rejects, timestamps
 from ledgerloom.session import read
 
@@ -57,6 +57,19 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("table_name", "row_key", "field", "utc")
 
 
+def p5_masks(spark: SparkSession, sf: str) -> DataFrame:
+    """Masks of all times, and which of them no parser reads."""
+    one = read(spark, sf, "synthetic").select(F.lit("startTime").alias("field"), F.col("startTime").alias("v"))
+    both = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in ("start_time", "end_time")])).alias("x")
+    rows = one.unionByName(read(spark, sf, "observations").select(both).select("x.field", "x.v"))
+    return timestamps.mask_report(rows, "v", ["field"]).select("field", "mask", "n")
+
+
+def p5_zones(spark: SparkSession, sf: str) -> DataFrame:
+    """Zones of the owners with the version of the rules used."""
+    return timestamps.zones_used(spark, read(spark, sf, "time_zones").filter("time_zone is not null"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return rejects.rejected(read(spark, sf, "spend_lines"))
 
@@ -65,7 +78,7 @@ def p7_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rejects.loaded(read(spark, sf, "spend_lines"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_messages, p2_found, p2_table, p5_found, p7_found, p7_rows)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_messages, p2_found, p2_table, p5_found, p5_masks, p5_zones, p7_found, p7_rows)}
 
 _RANKED = f"""SELECT *, row_number() OVER (PARTITION BY {sql_fold('id')}, {sql_fold('project_id')} ORDER BY delivery_id) AS copy_no FROM observations"""
 #: A CSV record by RFC 4180, and one cell of it.
@@ -88,7 +101,11 @@ _TEXTS = ("request_id", "call_type", "api_key", "user", "team_id", "end_user", "
 _WHOLES = ("prompt_tokens", "completion_tokens", "total_tokens", "cache_read_input_tokens", "cache_write_input_tokens")
 _CELL = "nullif(cells[list_position(names, '{0}')], '')"
 
+_TRIMMED = "trim(v, " + "||".join(f"chr({ord(c)})" for c in SPACES) + ")"
 SQL = {
+    "p5_masks": f"""SELECT field, mask, count(*) AS n FROM (SELECT field, CASE WHEN regexp_full_match({_TRIMMED}, '[\\x00-\\x7f]*') THEN
+  regexp_replace(regexp_replace({_TRIMMED}, '[0-9]', '9', 'g'), '[A-Za-z]', 'a', 'g') ELSE '?' END AS mask FROM (SELECT 'startTime' AS field, "startTime" AS v FROM synthetic
+  UNION ALL SELECT 'start_time', start_time FROM observations UNION ALL SELECT 'end_time', end_time FROM observations) WHERE {_TRIMMED} <> '') GROUP BY ALL""",
     "p1_found": f"SELECT delivery_id FROM ({_RANKED}) WHERE id IS NOT NULL AND copy_no > 1",
     "p1_messages": f"""SELECT {', '.join(_PLAIN)}, strftime(ingested_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S.%f') AS ingested_at,
   CASE WHEN usage_details IS NOT NULL THEN array_to_string(list_sort(list_transform(map_keys(usage_details), lambda k: k || '=' || coalesce(usage_details[k]::VARCHAR, 'null'))), ',') END AS usage_details,

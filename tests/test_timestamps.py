@@ -47,6 +47,14 @@ CASES = {
     "2026-09-12T11:61:00+02:00": "invalid",
     "0000-00-00 00:00:00": "invalid",
     "2026-01-01T24:00:00Z": "invalid",
+    "1899-12-31T23:00:00Z": "1899-12-31T23:00:00.000000Z",
+    "2300-01-01T00:00:00Z": "2300-01-01T00:00:00.000000Z",
+    "9999-12-31 23:59:59.9999999999999Z": "9999-12-31T23:59:59.999999Z",
+    "0001-01-01T00:00:00Z": "0001-01-01T00:00:00.000000Z",
+    "9999-12-31T23:59:59-01:00": "invalid",
+    "0001-01-01T00:00:00+01:00": "invalid",
+    "2026-03-01x00:00:01Z": "invalid",
+    "2026-03-01T00:00:01y": "invalid",
     "1.7e9": "invalid",
     "pending": "invalid",
     "２０２６-03-01T00:00:00Z": "invalid",
@@ -66,13 +74,32 @@ def test_daylight_saving(tables):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.datetimes(datetime(1950, 1, 1), datetime(2037, 12, 31)), st.sampled_from(ZONES))
+@given(st.datetimes(datetime(1905, 1, 1), datetime(2400, 12, 31)), st.sampled_from(ZONES))
 def test_zone_tables_agree_with_zoneinfo(tables, local, zone):
     local = local.replace(microsecond=0)
     expected = local.replace(tzinfo=ZoneInfo(zone), fold=0).astimezone(timezone.utc)
     assert utc(tables, local.strftime("%Y-%m-%dT%H:%M:%S").rjust(19, "0"), zone) == expected.strftime("%Y-%m-%dT%H:%M:%S.%fZ")
 
 
+@pytest.mark.parametrize("zone", ["Europe/Berlin", "America/New_York", "Australia/Sydney"])
+def test_rules_for_ever(spark, tables, zone):
+    """Far years are the same years of the calendar's cycle."""
+    rules = spark._jvm.java.time.ZoneId.of(zone).getRules()
+    for year in (2038, 2100, 2437, 2440, 2803, 9998):
+        for month in range(1, 13):
+            local = np.array([t._days(year, month, 15) * t._DAY])
+            there = spark._jvm.java.time.LocalDateTime.of(year, month, 15, 0, 0)
+            assert tables.offset(zone, local)[0] == rules.getOffset(there).getTotalSeconds() * 1_000_000
+
+
+def test_masks(spark):
+    df = spark.createDataFrame([(" 2026-01-02",), ("Jan é",), ("soon",), (None,), (" ",)], "v string").selectExpr("v", "'x' AS k")
+    assert sorted((r.mask, r.has_parser, r.n) for r in t.mask_report(df, "v", ["k"]).collect()) == [("9999-99-99", False, 1), ("?", False, 1), ("aaaa", False, 1)]
+    zones = spark.createDataFrame([("Europe/Berlin",), ("No/Where",)], "time_zone string")
+    (a, b) = t.zones_used(spark, zones).orderBy("time_zone").collect()
+    assert a.version and a.changes > 800 and (b.version, b.changes) == (None, None)
+
+
 def test_canonical_and_blank(tables):
     values = pa.array(["2026-03-01T00:00:01Z", "2026-03-01T00:00:01.25Z", "2026-02-30T00:00:01Z", " 2026-03-01T00:00:01Z", None, " "], pa.string())
     micros, plain = t.to_utc(values, pa.nulls(6, pa.string()), tables)
