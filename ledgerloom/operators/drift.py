@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.session import written
+
 #: Members that do not drift: the token counts that ``total`` sums, with it.
 STABLE = ("input", "input_cache_creation", "output", "output_reasoning_tokens")
 TOTAL = "total"
@@ -70,50 +72,53 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     return lines.select("file_key", "line_no", obj.alias("object")).withColumn("usage", F.try_variant_get("object", "$.usage_details", "map<string,variant>"))
 
 
-def line_members(parsed: DataFrame) -> DataFrame:
-    """Rows of each line: one with a null ``member``, and one for each drifting
-    member; with what tells its quantity, the residual of ``total`` over the stable
-    token members."""
+def _residual() -> Column:
+    """What the stable token members leave of ``total``."""
     residual = F.try_variant_get(F.col("usage")[TOTAL], "$", "bigint")
     for name in STABLE:
         residual = residual - F.coalesce(F.try_variant_get(F.col("usage")[name], "$", "bigint"), F.lit(0))
-    fixed = [*STABLE, TOTAL]
-    kind = "array<struct<member:string,bit:int,text:string>>"
-    drifting = F.transform(
-        F.map_entries(F.map_filter("usage", lambda k, _: ~k.isin(fixed))),
-        lambda e: F.struct(e["key"].alias("member"), _type_bit(e["value"]).alias("bit"), F.to_json(e["value"]).alias("text")),
-    )
-    line = F.array(F.struct(F.lit(None).cast("string").alias("member"), F.lit(1).alias("bit"), F.lit(None).cast("string").alias("text")))
-    rows = parsed.filter(F.size("usage") > 0).select("file_key", residual.alias("residual"), F.explode(F.concat(line.cast(kind), drifting.cast(kind))).alias("m"))
-    return rows.select("file_key", "residual", "m.member", "m.bit", "m.text")
+    return residual
 
 
-def file_headers(lines: DataFrame) -> DataFrame:
-    """Header schema of each file: ``file_key, quantity, member, types`` (bits).
+def _entries(members: Column, inside: bool, text) -> Column:
+    return F.transform(F.map_entries(members), lambda e: F.struct(F.lit(inside).alias("inside"), e["key"].alias("member"), _type_bit(e["value"]).alias("bit"), text(e["value"]).alias("text")))
+
+
+_KIND = "array<struct<inside:boolean,member:string,bit:int,text:string>>"
+
+
+def _evidence() -> list[Column]:
+    """What tells the quantity of a member: where it has a value and what is left of ``total`` there."""
+    held, left = F.col("bit") > 0, F.col("residual") > 0
+    number = _plain_number(F.col("text"))
+    return [
+        F.bit_or("bit").cast("int").alias("types"), F.count_if(held).alias("held"), F.count_if(held & left).alias("held_left"), F.count_if(held & ~left).alias("held_none"),
+        F.count_if(held & left & (number == F.col("residual"))).alias("matches"), F.count_if(held & left & (number != F.col("residual"))).alias("differs"),
+    ]
+
+
+def drifting_counters(lines: DataFrame) -> DataFrame:
+    """Counters of each file's drifting members, and of its lines (null ``member``), from one
+    reading of the lines; a file is a few small rows, summed within map tasks."""
+    drifting = F.map_filter("usage", lambda k, _: ~k.isin(*STABLE, TOTAL))
+    line = F.array(F.struct(F.lit(True).alias("inside"), F.lit(None).cast("string").alias("member"), F.lit(1).alias("bit"), F.lit(None).cast("string").alias("text")))
+    parsed = parsed_lines(lines).filter(F.size("usage") > 0)
+    rows = parsed.select("file_key", _residual().alias("residual"), F.explode(F.concat(line.cast(_KIND), _entries(drifting, True, F.to_json).cast(_KIND))).alias("m"))
+    return rows.select("file_key", "residual", "m.*").groupBy("file_key", "member").agg(*_evidence())
+
+
+def quantities(counters: DataFrame) -> DataFrame:
+    """Header schema of each file out of its counters: ``file_key, quantity, member, types`` (bits).
 
     ``total`` counts the cached tokens and not the category: a member that has a
     value where nothing is left of ``total``, or none where something is, is not
     the counted quantity; of two members left, the one whose numbers are what is
     left of ``total`` is. A file of which nothing tells them apart takes the
-    quantity from the reading of that name in most other files.
+    quantity from the reading of that name in most other files. Members beyond two
+    have no quantity (null); the category is the one of them with most values.
     """
-    m = line_members(parsed_lines(lines))
-    held = F.col("bit") > 0
-    per_line = m.withColumn("left", F.col("residual") > 0)
-    number = _plain_number(F.col("text"))
-    counted = per_line.groupBy("file_key", "member").agg(
-        F.bit_or("bit").cast("int").alias("types"),
-        F.count_if(held & F.col("left")).alias("held_left"),
-        F.count_if(held & ~F.col("left")).alias("held_none"),
-        F.count_if(held & F.col("left") & (number == F.col("residual"))).alias("matches"),
-        F.count_if(held & F.col("left") & (number != F.col("residual"))).alias("differs"),
-    )
-    # Three rows of a file at most come together here: its lines and two members.
-    one = F.struct("member", "types", "held_left", "held_none", "matches", "differs")
-    packed = counted.groupBy("file_key").agg(
-        F.max(F.when(F.col("member").isNull(), F.col("held_left"))).alias("lines_left"), F.collect_list(F.when(F.col("member").isNotNull(), one)).alias("members")
-    )
-    c = packed.select("file_key", "lines_left", F.explode("members").alias("m")).select("file_key", "lines_left", "m.*")
+    lines_left = counters.filter("member is null").select(F.col("file_key").alias("key"), F.col("held_left").alias("lines_left"))
+    c = counters.filter("member is not null").join(lines_left, F.col("file_key") == F.col("key"))
     against = F.col("held_none") + (F.col("lines_left") - F.col("held_left"))
     votes = (
         F.when((against > 0) & (F.col("matches") == 0), UNCOUNTED)
@@ -123,34 +128,33 @@ def file_headers(lines: DataFrame) -> DataFrame:
         .when(F.col("differs") > 0, UNCOUNTED)
         .when(F.col("held_left") > 0, COUNTED)
     )
-    voted = c.withColumn("vote", votes).select("file_key", "member", "types", "vote", F.col("matches").alias("score"))
+    voted = c.withColumn("vote", votes).select("file_key", "member", "types", "vote", "held", F.col("matches").alias("score"))
     usual = voted.filter("vote is not null").groupBy("member").agg(F.mode("vote", True).alias("usual"))
     read = voted.join(usual, "member", "left").withColumn("vote", F.coalesce("vote", "usual", F.lit(UNCOUNTED)))
-    # At most two members are left of a file; if both were read as the same quantity, the one that fits worse is the other.
-    pair = read.groupBy("file_key").agg(F.collect_list(F.struct(F.when(F.col("vote") == COUNTED, 0).otherwise(1).alias("v"), (-F.col("score")).alias("s"), "member", "types")).alias("both"))
-    both = F.array_sort("both")
-    lone = F.when(F.col("both")[0]["v"] == 0, COUNTED).otherwise(UNCOUNTED)
-    two = F.size("both") > 1
-    out = pair.select("file_key", both.alias("both")).select(
-        "file_key",
-        F.explode(
-            F.when(
-                two,
-                F.array(
-                    F.struct(F.lit(COUNTED).alias("quantity"), F.col("both")[0]["member"].alias("member"), F.col("both")[0]["types"].alias("types")),
-                    F.struct(F.lit(UNCOUNTED).alias("quantity"), F.get("both", F.lit(1))["member"].alias("member"), F.get("both", F.lit(1))["types"].alias("types")),
-                ),
-            ).otherwise(F.array(F.struct(lone.alias("quantity"), F.col("both")[0]["member"].alias("member"), F.col("both")[0]["types"].alias("types"))))
-        ).alias("h"),
-    )
-    return out.select("file_key", "h.quantity", "h.member", "h.types")
+    # Of the few members of a file that fit the counted quantity the best one is it; of two that fit neither, the better one.
+    order = F.struct(F.when(F.col("vote") == COUNTED, 0).otherwise(1).alias("v"), (-F.col("score")).alias("s"), "member", "types", "held")
+    all_ = read.groupBy("file_key").agg(F.array_sort(F.collect_list(order)).alias("all"))
+    first = F.col("all")[0]
+    counted = F.when((first["v"] == 0) | (F.size("all") > 1), first["member"])
+    rest = F.array_sort(F.transform(F.filter("all", lambda e: ~e["member"].eqNullSafe(F.col("counted"))), lambda e: F.struct((-e["held"]).alias("h"), e["member"].alias("member"))))
+    split = all_.withColumn("counted", counted).withColumn("uncounted", F.get(rest, F.lit(0))["member"])
+    each = split.select("file_key", "counted", "uncounted", F.explode("all").alias("e")).select("file_key", "counted", "uncounted", "e.member", "e.types")
+    named = F.when(F.col("member") == F.col("counted"), COUNTED).when(F.col("member") == F.col("uncounted"), UNCOUNTED)
+    return each.select("file_key", named.alias("quantity"), "member", "types")
+
+
+def file_headers(lines: DataFrame) -> DataFrame:
+    """:func:`quantities` of the lines, read once; the counters are kept as a small table."""
+    return quantities(written(drifting_counters(lines)))
 
 
 def wide_headers(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """One row for each file with the header of both quantities (null: not carried)."""
+    """One row for each file with the header of both quantities (null: not carried) and of
+    further members (a map of their types)."""
     h = file_headers(lines)
     one = lambda q: F.max(F.when(F.col("quantity") == q, F.struct("member", "types")))
-    wide = h.groupBy("file_key").agg(one(COUNTED).alias("c"), one(UNCOUNTED).alias("u"))
+    more = F.collect_list(F.when(F.col("quantity").isNull(), F.struct("member", "types")))
+    wide = h.groupBy("file_key").agg(one(COUNTED).alias("c"), one(UNCOUNTED).alias("u"), F.map_from_entries(F.array_sort(more)).alias("x"))
     return files.select("project_id", "file_key", "window_start").join(wide, "file_key", "left")
 
 
@@ -179,10 +183,10 @@ def changes(lines: DataFrame, files: DataFrame) -> DataFrame:
 
     A file that lists no line has the header of no member. Files with a null
     ``window_start`` come first, ties go by ``file_key``. A file repeated in
-    ``files`` counts once. An empty table gives no row.
+    ``files`` counts once. Members beyond the two quantities are compared by name. An empty table gives no row.
     """
     wide = wide_headers(lines, files.dropDuplicates(["project_id", "file_key"]))
-    linked = with_previous(wide, "project_id", ["window_start", "file_key"], F.struct("c", "u"), F.coalesce(F.date_trunc("month", "window_start"), F.lit("0001-01-01").cast("timestamp")))
+    linked = with_previous(wide, "project_id", ["window_start", "file_key"], F.struct("c", "u", "x"), F.coalesce(F.date_trunc("month", "window_start"), F.lit("0001-01-01").cast("timestamp")))
     found = []
     for q in ("c", "u"):
         now, old = F.col(q), F.col(f"previous.{q}")
@@ -194,9 +198,17 @@ def changes(lines: DataFrame, files: DataFrame) -> DataFrame:
             F.when(both & (F.col(f"{q}.member") != F.col(f"previous.{q}.member")), entry(F.col(f"{q}.member"), "renamed")),
             F.when(both & (F.col(f"{q}.types") != F.col(f"previous.{q}.types")), entry(F.col(f"{q}.member"), "type_changed")),
         ]
+    none = F.expr("map_from_arrays(array_repeat('', 0), array_repeat(0, 0))")
+    now, old = F.coalesce("x", none), F.coalesce("previous.x", none)
+    entries = lambda keys, change: F.transform(keys, lambda k: F.struct(k.alias("member"), F.lit(change).alias("change")))
+    kept = F.array_intersect(F.map_keys(now), F.map_keys(old))
+    more = F.concat(
+        entries(F.array_except(F.map_keys(now), F.map_keys(old)), "added"), entries(F.array_except(F.map_keys(old), F.map_keys(now)), "removed"),
+        entries(F.filter(kept, lambda k: now[k] != old[k]), "type_changed"),
+    )
     return (
         linked.filter(~F.col("is_first"))
-        .select("project_id", "file_key", F.explode(F.array_compact(F.array(*found))).alias("x"))
+        .select("project_id", "file_key", F.explode(F.concat(F.array_compact(F.array(*found)), more)).alias("x"))
         .select("project_id", "file_key", "x.member", "x.change")
     )
 
@@ -220,22 +232,26 @@ def _number_size(text: Column) -> tuple[Column, Column]:
     return F.greatest(F.length(part(1)) + power, F.lit(1)), F.greatest(F.length(part(2)) - power, F.lit(0))
 
 
-def union_schema(lines: DataFrame, headers: DataFrame) -> dict[tuple[bool, str | None, str | None], str]:
-    """SQL type of each column: by whether the member is one of ``usage_details``, its
-    quantity (null: none) and its name (null for a quantity), over the headers of all files."""
-    entry = lambda own, inside: F.transform(
-        F.map_entries(own), lambda e: F.struct(F.lit(inside).alias("inside"), e["key"].alias("member"), _type_bit(e["value"]).alias("bit"), _text(e["value"]).alias("text"))
-    )
-    none = F.expr("array_repeat(named_struct('inside', true, 'member', '', 'bit', 0, 'text', ''), 0)")
-    m = _member_lines(lines).select("file_key", F.col("usage").isNotNull().alias("split"), F.explode(F.concat(entry(F.col("top"), False), F.coalesce(entry(F.col("usage"), True), none))).alias("m"))
-    m = m.select("file_key", "split", "m.*").filter(F.col("inside") | (F.col("member") != USAGE) | ~F.col("split") & (F.col("bit") > 0))
+def member_counters(lines: DataFrame) -> DataFrame:
+    """As :func:`drifting_counters`, over all members of the lines and of ``usage_details``
+    (``inside``), with the most digits of their numbers before and after the point."""
+    none = F.expr(f"cast(array() as {_KIND})")
+    line = F.array(F.struct(F.lit(None).cast("boolean").alias("inside"), F.lit(None).cast("string").alias("member"), F.lit(1).alias("bit"), F.lit(None).cast("string").alias("text")))
+    line = F.when(F.size("usage") > 0, line.cast(_KIND)).otherwise(none)
+    m = _member_lines(lines).filter("top is not null")
+    m = m.select("file_key", F.col("usage").isNotNull().alias("split"), _residual().alias("residual"), F.explode(F.concat(line, _entries(F.col("top"), False, _text).cast(_KIND), F.coalesce(_entries(F.col("usage"), True, _text).cast(_KIND), none))).alias("m"))
+    m = m.select("file_key", "split", "residual", "m.*").filter(F.col("member").isNull() | F.col("inside") | (F.col("member") != USAGE) | ~F.col("split") & (F.col("bit") > 0))
     digits, scale = _number_size(F.col("text"))
     number = F.col("bit").bitwiseAND(F.lit(_NUMERIC)) > 0
-    files = m.groupBy("file_key", "inside", "member").agg(
-        F.bit_or("bit").cast("int").alias("types"), F.coalesce(F.max(F.when(number, digits)), F.lit(0)).alias("digits"), F.coalesce(F.max(F.when(number, scale)), F.lit(0)).alias("scale")
-    )
-    named = headers.select("file_key", F.lit(True).alias("inside"), "member", "quantity")
-    joined = files.join(named, ["file_key", "inside", "member"], "left").withColumn("member", F.when(F.col("quantity").isNull(), F.col("member")))
+    most = lambda v: F.coalesce(F.max(F.when(number, v)), F.lit(0))
+    return m.groupBy("file_key", "inside", "member").agg(*_evidence(), most(digits).alias("digits"), most(scale).alias("scale"))
+
+
+def union_schema(counters: DataFrame, headers: DataFrame) -> dict[tuple[bool, str | None, str | None], str]:
+    """SQL type of each column: by whether the member is one of ``usage_details``, its
+    quantity (null: none) and its name (null for a quantity), over the headers of all files."""
+    named = headers.filter("quantity is not null").select("file_key", F.lit(True).alias("inside"), "member", "quantity")
+    joined = counters.filter("member is not null").join(named, ["file_key", "inside", "member"], "left").withColumn("member", F.when(F.col("quantity").isNull(), F.col("member")))
     rows = joined.groupBy("inside", "quantity", "member").agg(F.bit_or("types"), F.max("digits"), F.max("scale")).collect()  # one row for each column of the table
     return {(r[0], r[1], r[2]): promoted(*r[3:]) if r[3] else "" for r in rows}
 
@@ -251,8 +267,10 @@ def consistent_table(lines: DataFrame) -> DataFrame:
     number holds, arrays and objects are held as JSON text; ``usage_details`` itself
     is a column only if some line holds something else than an object there.
     """
-    headers = file_headers(lines)
-    types = union_schema(lines, headers)
+    counters = written(member_counters(lines))
+    drifting = counters.filter(F.col("member").isNull() | F.col("inside") & ~F.col("member").isin(*STABLE, TOTAL))
+    headers = written(quantities(drifting))
+    types = union_schema(counters, headers)
     names = headers.groupBy("file_key").pivot("quantity", [COUNTED, UNCOUNTED]).agg(F.max("member"))
     names = names.select("file_key", F.col(COUNTED).alias("counted_name"), F.col(UNCOUNTED).alias("uncounted_name"))
     p = _member_lines(lines).join(names, "file_key", "left")

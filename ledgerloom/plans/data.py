@@ -101,8 +101,29 @@ _TEXTS = ("request_id", "call_type", "api_key", "user", "team_id", "end_user", "
 _WHOLES = ("prompt_tokens", "completion_tokens", "total_tokens", "cache_read_input_tokens", "cache_write_input_tokens")
 _CELL = "nullif(cells[list_position(names, '{0}')], '')"
 
+_KEYS = "'input', 'input_cache_creation', 'output', 'output_reasoning_tokens'"
+_P2 = rf"""WITH j AS (SELECT file_key, line_no, CASE WHEN json_valid(raw_line) THEN json_extract(raw_line, '$.usage_details') END AS u FROM export_lines),
+l AS (SELECT *, TRY_CAST(u->>'total' AS BIGINT) - {' - '.join(f"coalesce(TRY_CAST(u->>{k.strip()} AS BIGINT), 0)" for k in _KEYS.split(','))} AS rest FROM j WHERE json_type(u) = 'OBJECT' AND len(json_keys(u)) > 0),
+m AS (SELECT file_key, rest, k AS member, json_type(u, '$."' || k || '"') AS t, CAST(json_extract(u, '$."' || k || '"') AS VARCHAR) AS v FROM l, unnest(json_keys(u)) AS x(k) WHERE k NOT IN ({_KEYS}, 'total')),
+n AS (SELECT file_key, count(*) FILTER (rest > 0) AS lines_left FROM l GROUP BY 1),
+c AS (SELECT file_key, member, coalesce(list_sort(list(DISTINCT CASE WHEN t IN ('UBIGINT', 'BIGINT') THEN 'integer' WHEN t = 'DOUBLE' THEN 'decimal' ELSE t END) FILTER (t <> 'NULL')), []) AS types,
+  count(*) FILTER (t <> 'NULL') AS held, count(*) FILTER (t <> 'NULL' AND rest > 0) AS held_left, count(*) FILTER (t <> 'NULL' AND rest <= 0) AS held_none,
+  count(*) FILTER (t <> 'NULL' AND rest > 0 AND TRY_CAST(regexp_extract(v, '-?\d+(?:\.\d+)?') AS DECIMAL(38,9)) = rest) AS matches,
+  count(*) FILTER (t <> 'NULL' AND rest > 0 AND TRY_CAST(regexp_extract(v, '-?\d+(?:\.\d+)?') AS DECIMAL(38,9)) <> rest) AS differs FROM m GROUP BY 1, 2),
+o AS (SELECT *, held_none + lines_left - held_left AS against FROM c JOIN n USING (file_key)),
+w AS (SELECT *, CASE WHEN against > 0 AND matches = 0 THEN 1 WHEN matches > 0 AND differs = 0 AND against = 0 THEN 0 WHEN against > matches THEN 1 WHEN matches > differs THEN 0 WHEN differs > 0 THEN 1 WHEN held_left > 0 THEN 0 END AS vote FROM o),
+y AS (SELECT member, arg_min(vote, (-k, vote)) AS usual FROM (SELECT member, vote, count(*) AS k FROM w WHERE vote IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+r AS (SELECT w.*, coalesce(vote, usual, 1) AS reading FROM w LEFT JOIN y USING (member)),
+p AS (SELECT *, row_number() OVER (PARTITION BY file_key ORDER BY reading, -matches, member) AS place, count(*) OVER (PARTITION BY file_key) AS members FROM r),
+h AS (SELECT file_key, max(CASE WHEN place = 1 AND (reading = 0 OR members > 1) THEN {{'m': member, 't': types}} END) AS c, max(CASE WHEN place = 2 OR (place = 1 AND reading = 1 AND members = 1) THEN {{'m': member, 't': types}} END) AS u FROM p GROUP BY 1),
+f AS (SELECT project_id, file_key, c, u, lag(c) OVER s AS c0, lag(u) OVER s AS u0, row_number() OVER s AS n FROM (SELECT DISTINCT project_id, file_key, window_start FROM export_files) LEFT JOIN h USING (file_key)
+  WINDOW s AS (PARTITION BY project_id ORDER BY window_start NULLS FIRST, file_key)),
+g AS (SELECT project_id, file_key, c AS a, c0 AS b FROM f WHERE n > 1 UNION ALL SELECT project_id, file_key, u, u0 FROM f WHERE n > 1)
+SELECT project_id, file_key, a.m AS member, 'added' AS change FROM g WHERE a IS NOT NULL AND b IS NULL UNION ALL SELECT project_id, file_key, b.m, 'removed' FROM g WHERE a IS NULL AND b IS NOT NULL
+UNION ALL SELECT project_id, file_key, a.m, 'renamed' FROM g WHERE a.m <> b.m UNION ALL SELECT project_id, file_key, a.m, 'type_changed' FROM g WHERE a IS NOT NULL AND b IS NOT NULL AND a.t <> b.t"""
 _TRIMMED = "trim(v, " + "||".join(f"chr({ord(c)})" for c in SPACES) + ")"
 SQL = {
+    "p2_found": _P2,
     "p5_masks": f"""SELECT field, mask, count(*) AS n FROM (SELECT field, CASE WHEN regexp_full_match({_TRIMMED}, '[\\x00-\\x7f]*') THEN
   regexp_replace(regexp_replace({_TRIMMED}, '[0-9]', '9', 'g'), '[A-Za-z]', 'a', 'g') ELSE '?' END AS mask FROM (SELECT 'startTime' AS field, "startTime" AS v FROM synthetic
   UNION ALL SELECT 'start_time', start_time FROM observations UNION ALL SELECT 'end_time', end_time FROM observations) WHERE {_TRIMMED} <> '') GROUP BY ALL""",

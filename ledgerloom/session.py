@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,18 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder all executors share, from ``spark.checkpoint.dir``; None where unset."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``; where that is unset, as in
+    tests, a folder of this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = os.path.join(tempfile.gettempdir(), "ledgerloom-shared")
+    return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: worked out once, whatever reads it and
+    whichever executor is lost. For small results that several branches of a plan read."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -48,6 +48,18 @@ def test_names_swapped_between_quantities(spark):
     assert ("f2", "b", "renamed") in changes(spark, files) and ("f2", "a", "renamed") in changes(spark, files)
 
 
+def test_members_beyond_two_are_reported(spark):
+    """A third member is neither dropped nor put in another's place."""
+    both = dict(cached=("c", 5, 5), category=("code", 3))
+    files = [
+        ("f1", "p", "2026-01-01", [line(**both), line(None, ("code", 2))]),
+        ("f2", "p", "2026-01-02", [line(**both, aaa=9), line(None, ("code", 2))]),
+        ("f3", "p", "2026-01-03", [line(**both, aaa="x"), line(None, ("code", 2))]),
+        ("f4", "p", "2026-01-04", [line(**both), line(None, ("code", 2))]),
+    ]
+    assert changes(spark, files) == [("f2", "aaa", "added"), ("f3", "aaa", "type_changed"), ("f4", "aaa", "removed")]
+
+
 def test_broken_lines_and_empty(spark):
     files = [("f1", "p", "2026-01-01", ["not json", None, "[1]", "{}", line(("c", 1, 1))]), ("f2", "p", "2026-01-02", ["{"])]
     assert changes(spark, files) == [("f2", "c", "removed")]
