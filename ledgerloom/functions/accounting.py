@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 #: Call types that are analysed, by operation.
 CHAT = ("completion", "acompletion", "anthropic_messages", "aanthropic_messages", "responses", "aresponses")
 COMPLETION = ("text_completion", "atext_completion")
-#: Observation levels that ask for no review, and model names that stand for none.
+#: Observation levels that ask for no review, and names that stand for no model (case matters).
 CALM_LEVELS = ("DEFAULT", "DEBUG", "WARNING")
-PLACEHOLDERS = ("unknown", "__other__", "other", "none", "null", "n/a")
+PLACEHOLDERS = ("unknown", "Unknown", "unknown_model", "__unknown__", "__other__", "__missing__", "__unmapped__", "__overflow__")
 #: Fixed value: the spelling of an amount of money.
 MONEY = r"^[0-9]{1,19}(\.[0-9]{1,20})?([eE][+-]?[0-9]{1,3})?$"
 MONEY_TYPE = "decimal(38,18)"

@@ -6,15 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.functions.accounting import PLACEHOLDERS, blank, empty, unsigned
-from ledgerloom.operators.usage import compared, supported, total_on
+from ledgerloom.functions.accounting import PLACEHOLDERS, empty, unsigned
+from ledgerloom.functions.text import strip
+from ledgerloom.operators.usage import RAW_CELLS, compared, supported, total_on
 
-FIELDS = ("route", "model", "model_id", "attempted_fallbacks", "agent_id", "status")
+#: The call type that is passed through, and the mark of a router's own calls.
+PASS_THROUGH, CLASSIFIER = "pass_through_endpoint", "autorouter_classifier"
+
+#: Routing fields, those that name a model (whose placeholders are invalid), and the most bytes of a cell.
+FIELDS = ("agent_id", "route", "attempted_fallbacks", "model", "model_id", "internal_call_origin")
+MODEL_FIELDS = ("model", "model_id")
+MOST_BYTES = 8192
 
 
 def text_state(col: Column) -> Column:
-    """known, absent (null), empty, blank or placeholder."""
-    return F.when(col.isNull(), "absent").when(col == "", "empty").when(F.trim(col) == "", "blank").when(F.lower(F.trim(col)).isin(*PLACEHOLDERS), "placeholder").otherwise("known")
+    """known, absent (null), empty (or blank) or invalid (over :data:`MOST_BYTES`)."""
+    return F.when(col.isNull(), "absent").when(F.octet_length(col) > MOST_BYTES, "invalid").when(strip(col) == "", "empty").otherwise("known")
+
+
+def model_state(col: Column) -> Column:
+    """:func:`text_state`, where names that stand for no model are invalid."""
+    state = text_state(col)
+    return F.when((state == "known") & strip(col).isin(*PLACEHOLDERS), "invalid").otherwise(state)
+
+
+def fallback_cell(col: Column) -> Column:
+    """:func:`text_state`, where what is no whole number is invalid."""
+    state = text_state(col)
+    return F.when((state == "known") & unsigned(col).isNull(), "invalid").otherwise(state)
 
 
 def fallback_state(col: Column) -> Column:
@@ -23,12 +42,21 @@ def fallback_state(col: Column) -> Column:
     return F.when(n.isNull(), "unknown").when(n == 0, "none").otherwise("some")
 
 
+def field_state(name: str) -> Column:
+    return (model_state if name in MODEL_FIELDS else fallback_cell if name == "attempted_fallbacks" else text_state)(F.col(name))
+
+
+def selected_model() -> Column:
+    """The model of a row; null unless both it and its deployment are named."""
+    return F.when((model_state(F.col("model")) == "known") & (model_state(F.col("model_id")) == "known"), F.col("model"))
+
+
 def cohorts(rows: DataFrame) -> DataFrame:
     """Routing counts at three grains in one pass: all, route and agent, route, agent and model (GROUPING SETS)."""
     x = rows.filter(compared() & supported()).select(
         "side", "total", "row_number", "amount", fallback_state(F.col("attempted_fallbacks")).alias("fallbacks"),
-        F.when(text_state(F.col("route")) == "known", F.col("route")).alias("route"), F.when(~blank(F.col("agent_id")), F.col("agent_id")).alias("agent"),
-        F.when((text_state(F.col("model")) == "known") & (text_state(F.col("model_id")) == "known"), F.col("model")).alias("chosen"),
+        F.when(text_state(F.col("route")) == "known", F.col("route")).alias("route"), F.when(text_state(F.col("agent_id")) == "known", F.col("agent_id")).alias("agent"),
+        selected_model().alias("chosen"),
     )
     keys = [F.col("route"), F.col("agent"), F.col("chosen")]
     return x.groupingSets([[], keys[:2], keys], *keys).agg(
@@ -64,14 +92,29 @@ def remainder(rows: DataFrame, top: int = 5) -> DataFrame:
 
 
 def field_coverage(rows: DataFrame) -> DataFrame:
-    """States of the routing fields, over all calls and by call type (ROLLUP)."""
-    named = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), text_state(F.col(f)).alias("state")) for f in FIELDS])).alias("x")
-    x = rows.filter(compared()).select("call_type", named).select("call_type", "x.field", "x.state")
+    """States of the routing fields, over all calls and by call type (ROLLUP); call types
+    that are neither analysed nor passed through count as 'unknown'."""
+    kind = F.when(supported() | (F.col("call_type") == PASS_THROUGH), F.col("call_type")).otherwise("unknown")
+    named = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), field_state(f).alias("state")) for f in FIELDS])).alias("x")
+    x = rows.filter(compared()).select(kind.alias("call_type"), named).select("call_type", "x.field", "x.state")
     return x.groupBy("field", "state", "call_type").agg(F.count(F.lit(1)).alias("n")).rollup("field", "state", "call_type").agg(
         F.grouping("call_type").cast("int").alias("all_types"), F.sum("n").cast("bigint").alias("n"), F.grouping("state").alias("g")
     ).filter("g = 0").drop("g")
 
 
+def overhead(rows: DataFrame) -> DataFrame:
+    """Calls that are not analysed, of each side: those a router made to classify requests
+    ('overhead') and all others, with raw sums of their cells; a sum that overflows is null."""
+    marked = (F.col("call_type") == PASS_THROUGH) & (F.col("internal_call_origin") == CLASSIFIER)
+    x = rows.filter(compared() & ~supported()).withColumn("kind", F.when(marked, "overhead").otherwise("other"))
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for n, c in RAW_CELLS.items():
+        value = unsigned(F.col(c))
+        aggs += [F.try_sum(value).alias(f"{n}_sum"), F.count_if(~empty(F.col(c)) & value.isNull()).alias(f"{n}_invalid"), F.count_if(empty(F.col(c))).alias(f"{n}_missing")]
+    spend = [F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(38,6)").alias("spend"), *[F.sum(f).cast("bigint").alias(f) for f in ("spend_missing", "spend_invalid", "spend_zero")]]
+    return x.groupBy("side", "kind").agg(*aggs, *spend)
+
+
 # Agents --------------------------------------------------------------------------
 
 
@@ -99,7 +142,7 @@ def by_agent_tag(rows: DataFrame, prefix: str = "agent:") -> DataFrame:
 
 def by_agent(rows: DataFrame) -> DataFrame:
     """The exclusive partition of requests into agents and unknown."""
-    agent = F.when(~blank(F.col("agent_id")), F.col("agent_id"))
+    agent = F.when(text_state(F.col("agent_id")) == "known", F.col("agent_id"))
     return rows.filter(compared() & supported()).groupBy(agent.alias("agent")).agg(
         total_on(0, F.lit(1)).alias("requests_before"), total_on(1, F.lit(1)).alias("requests_after"),
         total_on(0, F.col("total")).alias("tokens_before"), total_on(1, F.col("total")).alias("tokens_after"),

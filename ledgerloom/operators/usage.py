@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 from ledgerloom.functions.accounting import FLAGS, blank, empty, unsigned
 
+#: Cells whose raw sums are reported.
+RAW_CELLS = {"prompt": "prompt_tokens", "completion": "completion_tokens", "total": "total_tokens"}
 DIMENSIONS = {"key": "api_key", "team": "team_id", "user": "user", "end_user": "end_user", "session": "session_id"}
 
 
@@ -68,18 +70,26 @@ def by_model(rows: DataFrame) -> DataFrame:
 
 
 def volume_split(rows: DataFrame) -> DataFrame:
-    """The token change as an effect of request numbers and one of request sizes, for each model; null where a side has no request."""
-    m = by_model(rows)
-    n0, n1 = F.col("requests_before").cast("double"), F.col("requests_after").cast("double")
-    p0, p1 = F.col("tokens_before") / F.nullif(n0, F.lit(0.0)), F.col("tokens_after") / F.nullif(n1, F.lit(0.0))
-    return m.select("model", F.round((n1 - n0) * (p0 + p1) / 2, 4).alias("request_effect"), F.round((p1 - p0) * (n0 + n1) / 2, 4).alias("size_effect"))
+    """The token change as an effect of request numbers and one of request sizes, over all
+    and for each model (null ``model`` with ``over_all``); effects are null where a side has
+    no request, and everywhere if any compared row is unclear or of unknown status."""
+    x = rows.filter(compared() & supported())
+    n = lambda s: F.nullif(F.sum(on(s, F.lit(1))).cast("double"), F.lit(0.0))
+    t = lambda s: F.sum(on(s, F.col("total"))).cast("double")
+    g = x.rollup("model").agg(F.grouping("model").cast("int").alias("over_all"), n(0).alias("n0"), n(1).alias("n1"), t(0).alias("t0"), t(1).alias("t1"), F.sum(F.col("unclear") + F.col("unknown_status")).alias("doubt"))
+    gate = x.agg(F.coalesce(F.sum(F.col("unclear") + F.col("unknown_status")), F.lit(0)).alias("all_doubt"))
+    g = g.withColumn("one", F.lit(1)).join(F.broadcast(gate.withColumn("one", F.lit(1))), "one")  # a single row
+    clear = F.col("all_doubt") == 0
+    p0, p1 = F.col("t0") / F.col("n0"), F.col("t1") / F.col("n1")
+    return g.filter("over_all = 0 or n0 is not null or n1 is not null").select(
+        "model", "over_all", F.when(clear, F.round((F.col("n1") - F.col("n0")) * (p0 + p1) / 2, 4)).alias("request_effect"), F.when(clear, F.round((p1 - p0) * (F.col("n0") + F.col("n1")) / 2, 4)).alias("size_effect")
+    )
 
 
 def call_types(rows: DataFrame) -> DataFrame:
     """Raw sums of every call type, also of those that are not analysed; a sum that overflows is null and said so."""
-    cells = {"prompt": "prompt_tokens", "completion": "completion_tokens", "total": "total_tokens"}
     aggs = [F.count(F.lit(1)).alias("n")]
-    for n, c in cells.items():
+    for n, c in RAW_CELLS.items():
         value = unsigned(F.col(c))
         aggs += [
             F.try_sum(value).alias(f"{n}_sum"), (F.try_sum(value).isNull() & (F.count(value) > 0)).alias(f"{n}_overflow"),
@@ -158,6 +168,13 @@ def scope_counts(rows: DataFrame, column: str, wanted: str) -> DataFrame:
     return rows.filter(compared()).groupBy("side", state.alias("scope")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def scoped(rows: DataFrame, column: str, wanted: str) -> DataFrame:
+    """The rows of a scope. ``rows`` keep all calls for :func:`scope_counts`, which tells what
+    the selection leaves out and what it cannot place."""
+    value = F.col(column)
+    return rows.filter(value.isNotNull() & (value == wanted))
+
+
 def contributor_excess(rows: DataFrame, dimension: str, top: int = 20) -> DataFrame:
     """What members hold beyond their former share of the total: after - before * T1 / T0, exact to 6 places."""
     w = _weights(rows, DIMENSIONS[dimension], F.col("total"))
@@ -170,8 +187,6 @@ def contributor_excess(rows: DataFrame, dimension: str, top: int = 20) -> DataFr
     return w.withColumn("excess", excess).orderBy(F.desc(F.abs("excess")), "first_seen").limit(top)
 
 
-
-
 def daily_sketches(rows: DataFrame, column: str) -> DataFrame:
     """A mergeable HyperLogLog sketch of the members of each day."""
     x = rows.filter(F.col("start_time").isNotNull() & ~blank(F.col(column)))

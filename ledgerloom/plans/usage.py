@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,15 +43,19 @@ def _classified(spark: SparkSession, sf: str) -> DataFrame:
     return classified(_plain(spark, sf))
 
 
-def _sided(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _plain(spark, sf)
-    chosen = periods.automatic(rows)
-    c = classified(rows)
-    return c.withColumn("side", periods.side(F.col("start_time"), *chosen) if chosen else F.lit(-1))
+@lru_cache(maxsize=64)
+def _bounds(application: str, sf: str):
+    """Automatic periods, found once for each application and folder."""
+    return periods.automatic(_plain(SparkSession.active(), sf))
 
 
 def _period(spark: SparkSession, sf: str):
-    return periods.automatic(_plain(spark, sf))
+    return _bounds(spark.sparkContext.applicationId, sf)
+
+
+def _sided(spark: SparkSession, sf: str) -> DataFrame:
+    rows, chosen = _plain(spark, sf), _period(spark, sf)
+    return classified(periods.sided(rows, *chosen) if chosen else rows.limit(0).withColumn("side", F.lit(-1)))
 
 
 # Windows ---------------------------------------------------------------------------
@@ -87,12 +93,23 @@ def model_change(spark: SparkSession, sf: str) -> DataFrame:
     return usage.by_model(_sided(spark, sf))
 
 
-@query(f"""{_MODELS}, d AS (SELECT model, CAST(requests_before AS DOUBLE) AS n0, CAST(requests_after AS DOUBLE) AS n1, tokens_before / nullif(CAST(requests_before AS DOUBLE), 0) AS p0,
-tokens_after / nullif(CAST(requests_after AS DOUBLE), 0) AS p1 FROM m) SELECT model, round((n1 - n0) * (p0 + p1) / 2, 4) AS request_effect, round((p1 - p0) * (n0 + n1) / 2, 4) AS size_effect FROM d""")
+@query(f"""{_WITH}, x AS (SELECT model, side, total, unclear + unknown_status AS doubt FROM sided WHERE {_HELD}),
+d AS (SELECT model, CAST(grouping(model) AS INT) AS over_all, CAST(count(*) FILTER (side = 0) AS DOUBLE) AS n0, CAST(count(*) FILTER (side = 1) AS DOUBLE) AS n1, CAST(sum(total) FILTER (side = 0) AS DOUBLE) AS t0,
+CAST(sum(total) FILTER (side = 1) AS DOUBLE) AS t1 FROM x GROUP BY ROLLUP (model)), v AS (SELECT *, t0 / nullif(n0, 0) AS p0, t1 / nullif(n1, 0) AS p1, (SELECT sum(doubt) FROM x) = 0 AS clear FROM d)
+SELECT model, over_all, CASE WHEN clear THEN round((n1 - n0) * (p0 + p1) / 2, 4) END AS request_effect, CASE WHEN clear THEN round((p1 - p0) * (n0 + n1) / 2, 4) END AS size_effect FROM v""")
 def volume_split(spark: SparkSession, sf: str) -> DataFrame:
     return usage.volume_split(_sided(spark, sf))
 
 
+@query(f"""{_WITH}, x AS (SELECT model, side, total FROM sided WHERE {_HELD} AND unclear = 0 AND unknown_status = 0),
+d AS (SELECT model, CAST(grouping(model) AS INT) AS over_all, CAST(count(*) FILTER (side = 0) AS DOUBLE) AS n0, CAST(count(*) FILTER (side = 1) AS DOUBLE) AS n1, CAST(sum(total) FILTER (side = 0) AS DOUBLE) AS t0,
+CAST(sum(total) FILTER (side = 1) AS DOUBLE) AS t1 FROM x GROUP BY ROLLUP (model)), v AS (SELECT *, t0 / nullif(n0, 0) AS p0, t1 / nullif(n1, 0) AS p1 FROM d)
+SELECT model, over_all, round((n1 - n0) * (p0 + p1) / 2, 4) AS request_effect, round((p1 - p0) * (n0 + n1) / 2, 4) AS size_effect FROM v""")
+def volume_split_clear(spark: SparkSession, sf: str) -> DataFrame:
+    """The split over the rows that need no review, where it is defined."""
+    return usage.volume_split(_sided(spark, sf).filter("unclear = 0 and unknown_status = 0"))
+
+
 def _cell(n: str, c: str) -> str:
     v = f"CASE WHEN regexp_full_match({c}, '[0-9]+') THEN TRY_CAST({c} AS BIGINT) END"
     return (
@@ -206,8 +223,9 @@ def contributor_excess(spark: SparkSession, sf: str) -> DataFrame:
 
 # Routing and agents ------------------------------------------------------------------
 
+_NO_MODEL = "'unknown', 'Unknown', 'unknown_model', '__unknown__', '__other__', '__missing__', '__unmapped__', '__overflow__'"
 _ROUTED = f"""{_WITH}, x AS (SELECT side, total, row_number, amount, CASE WHEN NOT regexp_full_match(coalesce(attempted_fallbacks, ''), '[0-9]+') THEN 'unknown' WHEN CAST(attempted_fallbacks AS BIGINT) = 0 THEN 'none' ELSE 'some' END AS fallbacks,
-CASE WHEN trim(route) <> '' THEN route END AS route, CASE WHEN trim(agent_id) <> '' THEN agent_id END AS agent, CASE WHEN trim(model) <> '' AND model <> 'unknown' AND trim(model_id) <> '' THEN model END AS chosen FROM sided WHERE {_HELD}),
+CASE WHEN trim(route) <> '' THEN route END AS route, CASE WHEN trim(agent_id) <> '' THEN agent_id END AS agent, CASE WHEN trim(model) <> '' AND trim(model) NOT IN ({_NO_MODEL}) AND trim(model_id) <> '' AND trim(model_id) NOT IN ({_NO_MODEL}) THEN model END AS chosen FROM sided WHERE {_HELD}),
 cohorts AS (SELECT route, agent, chosen, CAST(3 - grouping(route) - grouping(agent) - grouping(chosen) AS INT) AS grain, count(*) FILTER (side = 0) AS requests_before, count(*) FILTER (side = 1) AS requests_after,
 CAST(coalesce(sum(total) FILTER (side = 0), 0) AS BIGINT) AS tokens_before, CAST(coalesce(sum(total) FILTER (side = 1), 0) AS BIGINT) AS tokens_after, count(*) FILTER (fallbacks = 'some') AS with_fallback,
 count(*) FILTER (fallbacks = 'unknown') AS fallback_unknown, CAST(coalesce(sum(amount), 0) AS DECIMAL(38,6)) AS spend, min(row_number) AS first_seen FROM x GROUP BY GROUPING SETS ((), (route, agent), (route, agent, chosen)))"""
@@ -232,15 +250,29 @@ def routing_remainder(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _state(c: str) -> str:
-    return f"CASE WHEN {c} IS NULL THEN 'absent' WHEN {c} = '' THEN 'empty' WHEN trim({c}) = '' THEN 'blank' WHEN lower(trim({c})) IN ('unknown','__other__','other','none','null','n/a') THEN 'placeholder' ELSE 'known' END"
+    more = {"model": f"WHEN trim({c}) IN ({_NO_MODEL}) THEN 'invalid'", "model_id": f"WHEN trim({c}) IN ({_NO_MODEL}) THEN 'invalid'", "attempted_fallbacks": f"WHEN NOT regexp_full_match({c}, '[0-9]+') THEN 'invalid'"}
+    return f"CASE WHEN {c} IS NULL THEN 'absent' WHEN strlen({c}) > 8192 THEN 'invalid' WHEN trim({c}) = '' THEN 'empty' {more.get(c, '')} ELSE 'known' END"
 
 
-@query(f"""{_WITH}, x AS ({' UNION ALL '.join(f"SELECT '{f}' AS field, {_state(f)} AS state, call_type FROM sided WHERE side >= 0" for f in routing.FIELDS)})
+@query(f"""{_WITH}, x AS ({' UNION ALL '.join(f"SELECT '{f}' AS field, {_state(f)} AS state, CASE WHEN operation IS NOT NULL OR call_type = 'pass_through_endpoint' THEN call_type ELSE 'unknown' END AS call_type FROM sided WHERE side >= 0" for f in routing.FIELDS)})
 SELECT field, state, call_type, CAST(grouping(call_type) AS INT) AS all_types, count(*) AS n FROM x GROUP BY GROUPING SETS ((field, state, call_type), (field, state))""")
 def routing_field_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return routing.field_coverage(_sided(spark, sf))
 
 
+@query(f"""{_WITH}, x AS (SELECT *, CASE WHEN call_type = 'pass_through_endpoint' AND internal_call_origin = 'autorouter_classifier' THEN 'overhead' ELSE 'other' END AS kind FROM sided WHERE side >= 0 AND operation IS NULL)
+SELECT side, kind, count(*) AS n, {', '.join(', '.join(p for p in _cell(n, c).split(', ') if '_overflow' not in p) for n, c in usage.RAW_CELLS.items())}, CAST(coalesce(sum(amount), 0) AS DECIMAL(38,6)) AS spend,
+{', '.join(f'CAST(sum({f}) AS BIGINT) AS {f}' for f in ('spend_missing', 'spend_invalid', 'spend_zero'))} FROM x GROUP BY side, kind""")
+def routing_overhead(spark: SparkSession, sf: str) -> DataFrame:
+    return routing.overhead(_sided(spark, sf))
+
+
+@query(f"{_WITH} SELECT side, count(*) AS requests, CAST(sum(total) AS BIGINT) AS tokens, CAST(coalesce(sum(amount), 0) AS DECIMAL(38,6)) AS spend FROM sided WHERE {_HELD} AND route = 'route1' GROUP BY side")
+def scope_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals of the rows of one scope; ``scope_counts`` tells what it leaves out."""
+    return usage.windows(usage.scoped(_sided(spark, sf), "route", "route1")).select("side", "requests", F.col("total_tokens").alias("tokens"), "spend")
+
+
 _AGENTS = f"""{_WITH}, a AS (SELECT CASE WHEN trim(agent_id) <> '' THEN agent_id END AS agent, count(*) FILTER (side = 0) AS requests_before, count(*) FILTER (side = 1) AS requests_after,
 CAST(coalesce(sum(total) FILTER (side = 0), 0) AS BIGINT) AS tokens_before, CAST(coalesce(sum(total) FILTER (side = 1), 0) AS BIGINT) AS tokens_after, CAST(sum(amount) FILTER (side = 0) AS DECIMAL(38,6)) AS spend_before,
 CAST(sum(amount) FILTER (side = 1) AS DECIMAL(38,6)) AS spend_after, count(amount) AS priced, min(row_number) AS first_seen FROM sided WHERE {_HELD} GROUP BY 1)"""

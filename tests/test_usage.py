@@ -68,9 +68,14 @@ def test_periods(spark):
     before, after = periods.automatic(rows)
     assert before == (datetime(2026, 3, 4), datetime(2026, 3, 11)) and after == (datetime(2026, 3, 11), datetime(2026, 3, 18))
     assert periods.automatic(rows.limit(0)) is None and periods.automatic(rows.filter("row_number = 0")) is None
-    assert periods.parse("2026-03-01/2026-03-02") == (datetime(2026, 3, 1), datetime(2026, 3, 2))
+    assert periods.automatic(rows, now=datetime(2026, 3, 17, 9))[1] == (datetime(2026, 3, 10), datetime(2026, 3, 17))  # today is not over
+    assert periods.parse("2026-03-01") == (datetime(2026, 3, 1), datetime(2026, 3, 2))
+    assert periods.parse("2026-03-01T00:00:00+05:00/2026-03-02T00:00:00.5Z") == (datetime(2026, 2, 28, 19), datetime(2026, 3, 2, 0, 0, 0, 500000))
+    for wrong in ("2026-03-01/2026-03-02", "2026-03-01T00:00:00/2026-03-02T00:00:00", "2026-02-30", "1969-01-01", "2026-03-01T00:00:00Z", "x"):
+        with pytest.raises(ValueError):
+            periods.parse(wrong)
     with pytest.raises(ValueError):
-        periods.parse("2026-03-02/2026-03-01")
+        periods.parse("2026-03-02T00:00:00Z/2026-03-01T00:00:00Z")
     with pytest.raises(ValueError):
         periods.validate(before, (after[0], after[1].replace(day=17)))
     sides = rows.select(periods.side(F.col("start_time"), before, (after[0], datetime(2026, 3, 18, 5)))).collect()
@@ -178,3 +183,45 @@ def test_adapter_has_every_cell(spark, data):
     rows = usage_from_events(spark.read.parquet(f"{data}/events.parquet"))
     assert {"row_number", "request_id", "spend", "request_tags", "rejection_kind"} <= set(rows.columns)
     assert rows.filter("row_number is null").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("value", "state"),
+    [(w, "invalid") for w in ("unknown", "Unknown", "unknown_model", "__unknown__", "__other__", "__missing__", "__unmapped__", "__overflow__", " unknown ", "x" * 8193)]
+    + [(w, "known") for w in ("UNKNOWN", "none", "other", "n/a", "null", "quorin", "x" * 8192)]
+    + [("", "empty"), (" \t", "empty"), (None, "absent")],
+)
+def test_model_states(spark, value, state):
+    df = spark.createDataFrame([(value,)], "v string")
+    assert df.select(routing.model_state(F.col("v"))).first()[0] == state
+
+
+def test_text_and_fallback_states(spark):
+    df = spark.createDataFrame([("unknown", "007"), ("", "-1"), (None, " ")], "v string, n string")
+    assert [tuple(r) for r in df.select(routing.text_state(F.col("v")), routing.fallback_cell(F.col("n"))).collect()] == [("known", "known"), ("empty", "invalid"), ("absent", "empty")]
+
+
+def test_volume_split_is_gated(spark):
+    good = [frame(spark, {}, {"prompt_tokens": "30", "total_tokens": "35"}).withColumn("side", F.lit(s)) for s in (0, 1)]
+    rows = good[0].union(good[1]).union(good[1])
+    got = {(r.model, r.over_all): (r.request_effect, r.size_effect) for r in usage.volume_split(classified(rows)).collect()}
+    assert got == {("m", 0): (50.0, 0.0), (None, 1): (50.0, 0.0)}
+    for doubt in ({"status": "odd", "level": "DEBUG"}, {"status": "failure"}):
+        more = rows.union(frame(spark, doubt).withColumn("side", F.lit(1)))
+        assert {r.request_effect for r in usage.volume_split(classified(more)).collect()} == {None}
+
+
+def test_overhead_and_scope(spark):
+    calls = ({"call_type": "pass_through_endpoint"}, {"call_type": "pass_through_endpoint", "route": "r"}, {"call_type": "odd", "spend": "x", "route": " "}, {"route": "r"})
+    rows = classified(frame(spark, *calls)).withColumns({"side": F.lit(1), "internal_call_origin": F.when(F.col("row_number") != 1, "autorouter_classifier")})
+    got = {r.kind: (r.n, r.prompt_sum, str(r.spend), r.spend_invalid) for r in routing.overhead(rows).collect()}
+    assert got == {"overhead": (1, 10, "0.500000", 0), "other": (2, 20, "0.500000", 1)}
+    assert [r.row_number for r in usage.scoped(rows, "route", "r").collect()] == [1, 3]
+
+
+def test_period_bounds_reach_the_scan(spark, data):
+    from ledgerloom.plans.usage import QUERIES
+
+    for name in ("window_totals", "movers_key", "cache_window", "model_change"):
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(ts," in plan and "LessThan(ts," in plan
