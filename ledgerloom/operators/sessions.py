@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +35,64 @@ def rollup(rows: DataFrame, start: datetime, end: datetime) -> DataFrame:
     return g.filter("rows > 0").withColumn("complete", (F.col("spend_unknown") == 0) & (F.col("not_analysed") == 0))
 
 
+def automatic(rows: DataFrame, now: datetime | None = None) -> tuple[datetime, datetime] | None:
+    """The whole days that the rows span, without the day of ``now`` (naive UTC) and later ones;
+    where there is none, the observed span itself with its last instant. None without rows."""
+    low, high = rows.agg(F.min("start_time"), F.max("start_time")).first()
+    if low is None:
+        return None
+    midnight = lambda t: t.replace(hour=0, minute=0, second=0, microsecond=0)
+    start = midnight(low) if low == midnight(low) else midnight(low) + timedelta(days=1)
+    end = midnight(high) if now is None else min(midnight(high), midnight(now))
+    if start < end:
+        return start, end
+    if now is not None and high > now:
+        raise ValueError("the rows start in the future")
+    return low, high + timedelta(microseconds=1)
+
+
+def _within(rows: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    return rows.filter((F.col("start_time") >= at(start)) & (F.col("start_time") < at(end)) & ~empty(F.col("session_id")))
+
+
+def memberships(rows: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """``session_id, keys, teams, agents``: how many of each a session of the period was seen
+    under; pairs are made distinct in a shuffled aggregation, not gathered."""
+    kinds = {"keys": "api_key", "teams": "team_id", "agents": "agent_id"}
+    pair = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("member")) for k, c in kinds.items()])).alias("x")
+    x = _within(rows, start, end).select("session_id", pair).select("session_id", "x.kind", F.when(~empty(F.col("x.member")), F.col("x.member")).alias("member")).distinct()
+    return x.groupBy("session_id").agg(*[F.count(F.when(F.col("kind") == k, F.col("member"))).alias(k) for k in kinds])
+
+
+def activity(rows: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """``session_id, first_activity, last_activity, rejections`` (a map of kinds to counts), over
+    all rows of a session in the period."""
+    kind = F.when(~empty(F.col("rejection_kind")), F.col("rejection_kind"))
+    g = _within(rows, start, end).groupBy("session_id", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("start_time").alias("first"), F.max("start_time").alias("last"))
+    entries = F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", "n"))))  # kinds are few
+    return g.groupBy("session_id").agg(F.min("first").alias("first_activity"), F.max("last").alias("last_activity"), F.map_from_entries(entries).alias("rejections"))
+
+
+def rejection_totals(rows: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """Recorded rejections of the period by kind, with the sessions they fell on."""
+    x = _within(rows, start, end).filter(~empty(F.col("rejection_kind"))).groupBy("rejection_kind", "session_id").agg(F.count(F.lit(1)).alias("n"))
+    return x.groupBy(F.col("rejection_kind").alias("kind")).agg(F.sum("n").cast("bigint").alias("n"), F.count(F.lit(1)).alias("sessions"))
+
+
+def shared(sessions: DataFrame, members: DataFrame, top: int = 20) -> DataFrame:
+    """The ``top`` sessions by spend that were seen under several keys, teams or agents."""
+    several = members.filter("keys > 1 or teams > 1 or agents > 1")
+    return sessions.select("session_id", "spend", "first_seen").join(several, "session_id").orderBy(F.desc("spend"), "first_seen").limit(top)
+
+
+def long_spans(sessions: DataFrame, long_seconds: int, top: int = 20) -> DataFrame:
+    """The ``top`` sessions by spend whose paid calls lie farther apart than a counter's window."""
+    span = F.unix_micros(F.col("last_paid").cast("timestamp")) - F.unix_micros(F.col("first_paid").cast("timestamp"))
+    x = sessions.select("session_id", "spend", F.floor(span / 1_000_000).cast("bigint").alias("seconds"), "first_seen").filter(span > long_seconds * 1_000_000)
+    return x.orderBy(F.desc("spend"), "first_seen").limit(top)
+
+
 def quantiles(sessions: DataFrame, shares: tuple[float, ...] = (0.5, 0.95, 1.0)) -> DataFrame:
     """Nearest-rank quantiles of the spend of complete sessions, exact decimals.
 

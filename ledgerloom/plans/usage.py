@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.accounting import COUNTS, FLAGS, classified
 from ledgerloom.functions.accounting import SQL as CLASSIFIED
 from ledgerloom.functions.text import sql_fold
-from ledgerloom.operators import coverage, observations, periods, routing, scan, sessions, snapshots, stats, usage
+from ledgerloom.operators import coverage, observations, periods, providers, routing, scan, sessions, snapshots, stats, usage
 from ledgerloom.operators.periods import SQL as SIDED
 from ledgerloom.session import read
 from ledgerloom.sources.adapters import EVENT_SQL, usage_from_events, usage_from_requests
@@ -342,9 +342,87 @@ def session_unattributed(spark: SparkSession, sf: str) -> DataFrame:
     return sessions.unattributed(_classified(spark, sf))
 
 
+_INSIDE = f"""{_SESSIONS}, w AS (SELECT * FROM y WHERE within)"""
+
+
+@query(f"""{_INSIDE} SELECT session_id, count(DISTINCT nullif(api_key, '')) AS keys, count(DISTINCT nullif(team_id, '')) AS teams, count(DISTINCT nullif(agent_id, '')) AS agents FROM w GROUP BY 1""")
+def session_members(spark: SparkSession, sf: str) -> DataFrame:
+    return sessions.memberships(_classified(spark, sf), *_period(spark, sf)[1])
+
+
+@query(f"""{_INSIDE}, k AS (SELECT session_id, rejection_kind AS kind, count(*) AS n FROM w WHERE rejected GROUP BY ALL), t AS (SELECT session_id, string_agg(kind || '=' || n, ',' ORDER BY kind) AS rejections FROM k GROUP BY 1)
+SELECT session_id, CAST(min(start_time) AS VARCHAR) AS first_activity, CAST(max(start_time) AS VARCHAR) AS last_activity, coalesce(any_value(rejections), '') AS rejections FROM w LEFT JOIN t USING (session_id) GROUP BY 1""")
+def session_activity(spark: SparkSession, sf: str) -> DataFrame:
+    """First and last activity and rejections by kind of each session."""
+    a = sessions.activity(_classified(spark, sf), *_period(spark, sf)[1])
+    kinds = F.array_join(F.transform(F.array_sort(F.map_entries("rejections")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return a.select("session_id", *[F.col(c).cast("string").alias(c) for c in ("first_activity", "last_activity")], kinds.alias("rejections"))
+
+
+@query(f"{_INSIDE} SELECT rejection_kind AS kind, count(*) AS n, count(DISTINCT session_id) AS sessions FROM w WHERE rejected GROUP BY 1")
+def session_rejections(spark: SparkSession, sf: str) -> DataFrame:
+    return sessions.rejection_totals(_classified(spark, sf), *_period(spark, sf)[1])
+
+
+@query(f"""{_INSIDE}, m AS (SELECT session_id, count(DISTINCT nullif(api_key, '')) AS keys, count(DISTINCT nullif(team_id, '')) AS teams, count(DISTINCT nullif(agent_id, '')) AS agents FROM w GROUP BY 1)
+SELECT session_id, spend, first_seen, m.keys, m.teams, m.agents FROM z JOIN m USING (session_id) WHERE m.keys > 1 OR m.teams > 1 OR m.agents > 1 ORDER BY spend DESC, first_seen LIMIT 20""")
+def session_shared_review(spark: SparkSession, sf: str) -> DataFrame:
+    return sessions.shared(_sessions(spark, sf), sessions.memberships(_classified(spark, sf), *_period(spark, sf)[1]))
+
+
+@query(f"""{_INSIDE} SELECT session_id, spend, CAST(floor((epoch_us(last_paid) - epoch_us(first_paid)) / 1000000) AS BIGINT) AS seconds, first_seen FROM z WHERE epoch_us(last_paid) - epoch_us(first_paid) > 3600000000 ORDER BY spend DESC, first_seen LIMIT 20""")
+def session_span_review(spark: SparkSession, sf: str) -> DataFrame:
+    return sessions.long_spans(_sessions(spark, sf), 3600)
+
+
+@query(f"WITH {EVENT_SQL} SELECT CAST(date_trunc('day', min(start_time)) + CASE WHEN min(start_time) = date_trunc('day', min(start_time)) THEN INTERVAL 0 DAY ELSE INTERVAL 1 DAY END AS TIMESTAMP) AS period_start, CAST(date_trunc('day', max(start_time)) AS TIMESTAMP) AS period_end FROM usage")
+def session_auto_period(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([sessions.automatic(_plain(spark, sf))], "period_start timestamp_ntz, period_end timestamp_ntz")
+
+
 # Coverage ----------------------------------------------------------------------------
 
 
+_PROVIDER_COUNTS = """c AS (SELECT CAST(exported_at AS DATE) AS day, 'northlight' AS provider, CASE WHEN contains(model, '/') THEN substr(model, strpos(model, '/') + 1) ELSE model END AS provider_model,
+CASE WHEN dayofmonth(CAST(exported_at AS DATE)) = 9 THEN NULL ELSE count(*) END AS requests, CASE WHEN dayofmonth(CAST(exported_at AS DATE)) % 5 <> 0 THEN CAST(sum(prompt_tokens) AS BIGINT) END AS input_tokens, CAST(sum(completion_tokens) AS BIGINT) + 1 AS output_tokens
+FROM synthetic WHERE model IS NOT NULL GROUP BY CAST(exported_at AS DATE), 3)"""
+
+
+@query(f"""WITH {_PROVIDER_COUNTS}, t AS (SELECT DISTINCT provider, provider_model FROM c),
+r AS (SELECT CAST(exported_at AS DATE) AS day, s.*, pm.provider AS p, pm.provider_model AS m, t.provider IS NOT NULL AS own FROM synthetic s LEFT JOIN provider_model_map pm ON pm.source_provider = s.custom_llm_provider AND pm.source_model = s.model
+  LEFT JOIN t ON strpos(s.model, '/') > 1 AND t.provider = split_part(s.model, '/', 1) AND t.provider = s.custom_llm_provider AND t.provider_model = substr(s.model, strpos(s.model, '/') + 1)),
+a AS (SELECT day, p IS NOT NULL OR own AS mapped, CASE WHEN p IS NOT NULL THEN p ELSE custom_llm_provider END AS provider, CASE WHEN p IS NOT NULL THEN m WHEN own THEN substr(model, strpos(model, '/') + 1) ELSE model END AS provider_model, count(*) AS rows,
+  count(*) FILTER (status = 'failure') AS failed, count(*) FILTER (coalesce(status NOT IN ('success', 'failure'), true)) AS unknown_status, CASE WHEN count(*) FILTER (prompt_tokens IS NULL OR prompt_tokens < 0) = 0 THEN CAST(sum(prompt_tokens) AS BIGINT) END AS li,
+  CASE WHEN count(*) FILTER (completion_tokens IS NULL OR completion_tokens < 0) = 0 THEN CAST(sum(completion_tokens) AS BIGINT) END AS lo FROM r GROUP BY 1, 2, 3, 4),
+j AS (SELECT coalesce(a.day, c.day) AS day, coalesce(a.provider, c.provider) AS provider, coalesce(a.provider_model, c.provider_model) AS provider_model, coalesce(mapped, true) AS mapped, coalesce(rows, 0) AS rows, coalesce(failed, 0) AS failed,
+  coalesce(unknown_status, 0) AS unknown_status, CASE WHEN rows IS NULL THEN 0 ELSE li END AS li, CASE WHEN rows IS NULL THEN 0 ELSE lo END AS lo, c.day IS NOT NULL AS counted, requests, input_tokens, output_tokens
+  FROM a FULL JOIN c ON a.mapped AND a.day = c.day AND a.provider = c.provider AND a.provider_model = c.provider_model),
+d AS (SELECT *, sum(CASE WHEN mapped THEN 0 ELSE rows END) OVER (PARTITION BY day) AS unmapped, CASE WHEN NOT (day >= DATE '2026-03-02' AND day < DATE '2026-11-01') THEN 'partial_day' WHEN day >= DATE '2026-10-30' THEN 'unsettled_day' ELSE 'complete_day' END AS ds
+  FROM j WHERE day >= DATE '2026-03-01' AND day < DATE '2026-11-01'),
+e AS (SELECT *, CASE WHEN ds <> 'complete_day' THEN ds WHEN NOT mapped THEN 'unmapped_spend_model' WHEN NOT counted THEN 'provider_counts_missing' WHEN requests IS NULL THEN 'request_count_unavailable' WHEN requests > rows THEN 'provider_exceeds_logged_rows'
+  WHEN requests < rows THEN 'logged_rows_exceed_provider' ELSE 'matched' END AS status, CASE WHEN ds = 'complete_day' THEN CAST(requests - rows AS BIGINT) END AS request_difference FROM d)
+SELECT day, provider, provider_model, rows, failed, unknown_status, requests, status, request_difference, request_difference IS NOT NULL AND unmapped = 0 AS comparable,
+CASE WHEN ds = 'complete_day' AND unmapped = 0 THEN CAST(input_tokens - li AS BIGINT) END AS input_difference, CASE WHEN ds = 'complete_day' AND unmapped = 0 THEN CAST(output_tokens - lo AS BIGINT) END AS output_difference FROM e""")
+def provider_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests, failures and tokens against a provider's counts under a contract that is settled up to 29 October."""
+    from datetime import datetime
+
+    s = read(spark, sf, "synthetic")
+    day = F.to_date("exported_at").alias("day")
+    cells = [F.col(c).cast("string").alias(c) for c in ("prompt_tokens", "completion_tokens")]
+    rows = s.select(day, F.col("custom_llm_provider").alias("source_provider"), F.col("model").alias("source_model"), "status", *cells)
+    bare = F.when(F.contains("model", F.lit("/")), F.split("model", "/", 2)[1]).otherwise(F.col("model"))
+    counts = s.filter(F.col("model").isNotNull()).groupBy(day, bare.alias("provider_model")).agg(F.count(F.lit(1)).alias("n"), F.sum("prompt_tokens").cast("bigint").alias("i"), F.sum("completion_tokens").cast("bigint").alias("o"))
+    counts = counts.select(
+        "day", F.lit("northlight").alias("provider"), "provider_model", F.when(F.dayofmonth("day") != 9, F.col("n")).alias("requests"),
+        F.when(F.dayofmonth("day") % 5 != 0, F.col("i")).alias("input_tokens"), (F.col("o") + 1).alias("output_tokens"),
+    )
+    at = datetime
+    contract = providers.Contract(at(2026, 3, 1), at(2026, 11, 1), at(2026, 11, 1), True, ("matched",) * 5, "primary_requests", True, True, 2 * 86_400)
+    periods_ = [(at(2026, 3, 1, 12), at(2026, 3, 2)), (at(2026, 3, 2), at(2026, 11, 1))]
+    return providers.compared(rows, read(spark, sf, "provider_model_map"), counts, periods_, contract, at(2026, 11, 20))
+
+
 @query(f"""WITH {EVENT_SQL}, b AS (SELECT date_trunc('day', max(start_time)) - INTERVAL 14 DAY + INTERVAL 6 HOUR AS s, date_trunc('day', max(start_time)) AS e FROM usage),
 d AS (SELECT CAST(t AS DATE) AS day, t >= s AND t + INTERVAL 1 DAY <= e AS whole FROM b, unnest(generate_series(date_trunc('day', s), e - INTERVAL 1 DAY, INTERVAL 1 DAY)) u(t)),
 x AS (SELECT CAST(start_time AS DATE) AS day, count(*) AS exported FROM usage, b WHERE start_time >= s AND start_time < e GROUP BY 1),

@@ -46,7 +46,7 @@ def canonical(rows: DataFrame) -> DataFrame:
     return x
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
+def header_of(spark: SparkSession, path: str) -> list[str]:
     from ledgerloom.operators.rejects import header_names
 
     first = spark.read.option("lineSep", "\n").text(path).filter("value <> ''").head(1)
@@ -58,7 +58,7 @@ def _header(spark: SparkSession, path: str) -> list[str]:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Rows of RFC 4180 files with one header; a record with another number of cells fails the read."""
-    names = _header(spark, path)
+    names = header_of(spark, path)
     check_columns(names)
     schema = ", ".join(f"`{n}` string" for n in names)
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "FAILFAST").option("enforceSchema", True).option("emptyValue", "").option("nullValue", "\u0000")
@@ -110,7 +110,7 @@ DAILY = ("date", "api_requests", "successful_requests", "failed_requests")
 
 def read_daily_counts(spark: SparkSession, path: str) -> DataFrame:
     """Daily counts: four columns, dates named once, digits only."""
-    names = _header(spark, path)
+    names = header_of(spark, path)
     if sorted(names) != sorted(DAILY):
         raise ExportError("daily counts need the columns " + ", ".join(DAILY))
     raw = spark.read.option("header", True).schema(", ".join(f"`{n}` string" for n in names)).csv(path)
