@@ -43,6 +43,97 @@ def readiness(daily: DataFrame, baseline: int = BASELINE) -> DataFrame:
     return x.select("day", F.col("seen").cast("bigint").alias("seen"), state.alias("state"))
 
 
+def history(frames: DataFrame, now: Column, max_age: int = 3, baseline: int = BASELINE) -> DataFrame:
+    """``day, state`` of each window against the ``baseline`` windows before it.
+
+    ``frames``: day, complete, emitted_at. The first that holds: too_few, stale (the last
+    window of all ended more than ``max_age`` days before ``now``), emitted_in_future (it or
+    its baseline), gap, incomplete_baseline, incomplete (the window itself), ready.
+    """
+    w = Window.orderBy("day")  # one row for each window
+    past = w.rowsBetween(-baseline, -1)
+    near = w.rowsBetween(-baseline, 0)
+    x = frames.select(
+        "day", "complete", F.lag("day", baseline).over(w).alias("first"), F.min(F.col("complete").cast("int")).over(past).alias("whole"), F.max("emitted_at").over(near).alias("emitted"),
+        F.max("day").over(Window.partitionBy()).alias("last"),
+    )
+    state = (
+        F.when(F.col("first").isNull(), "too_few").when(F.date_add("last", 1 + max_age).cast("timestamp_ntz") < now, "stale").when(F.col("emitted") > now, "emitted_in_future")
+        .when(F.datediff("day", "first") != baseline, "gap").when(F.col("whole") == 0, "incomplete_baseline").when(~F.col("complete"), "incomplete").otherwise("ready")
+    )
+    return x.select("day", state.alias("state"))
+
+
+def error_surges(counts: DataFrame, days: DataFrame, least: int = 10, baseline: int = BASELINE) -> DataFrame:
+    """Members (tools) whose errors of a day exceed every day of the baseline, and its median by
+    the usual margin and by ``least`` at least: ``day, member, errors, threshold``.
+
+    ``counts``: day, member, errors; ``days``: the windows there are, as a member without
+    errors has no row. Only days with a whole baseline are looked at.
+    """
+    number = F.datediff("day", F.lit("1970-01-01").cast("date"))
+    w = Window.orderBy("n")  # one row for each window
+    ready = days.select("day", number.alias("n")).withColumn("first", F.lag("n", baseline).over(w)).filter(F.col("n") - F.col("first") == baseline).select("day")
+    past = F.collect_list("errors").over(Window.partitionBy("member").orderBy("n").rangeBetween(-baseline, -1))
+    x = counts.withColumn("n", number).withColumn("past", past).join(ready, "day", "left_semi")
+    x = x.withColumn("past", F.transform(F.concat("past", F.array_repeat(F.lit(0).cast("bigint"), F.lit(baseline) - F.size("past"))), lambda v: v.cast("double")))
+    m, scale = robust(F.col("past"), 1.0)
+    threshold = F.greatest(m + F.greatest(F.lit(Z) * scale, F.lit(RELATIVE) * F.abs(m), F.lit(float(least))), F.array_max("past"))
+    return x.withColumn("threshold", threshold).filter(F.col("errors") > F.col("threshold")).select("day", "member", "errors", F.round("threshold", 6).alias("threshold"))
+
+
+def identified(findings: DataFrame, key: list[str], context: str, persist: int = 1, top: int | None = None) -> DataFrame:
+    """Findings with a stable ``id`` (of the context, the day and the key), of those that have
+    held on ``persist`` days running; with ``top`` the first of each day by key, and ``omitted``,
+    how many more there are."""
+    n = F.datediff("day", F.lit("1970-01-01").cast("date"))
+    by = Window.partitionBy(*key)
+    x = findings.withColumn("island", n - F.row_number().over(by.orderBy("day")))
+    x = x.withColumn("held", F.row_number().over(Window.partitionBy(*key, "island").orderBy("day"))).filter(F.col("held") >= persist)
+    text = F.concat_ws("/", F.lit(context), F.col("day").cast("string"), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
+    x = x.withColumn("id", F.substring(F.sha2(text, 256), 1, 32)).drop("island")
+    day = Window.partitionBy("day")
+    if top is None:
+        return x.withColumn("omitted", F.lit(0).cast("bigint"))
+    # The size of a day by a partial aggregate; only its first findings go into one window.
+    sizes = x.groupBy("day").agg(F.count(F.lit(1)).alias("all"))
+    first = x.withColumn("place", F.row_number().over(day.orderBy(*key))).filter(F.col("place") <= top).drop("place")
+    return first.join(sizes, "day").withColumn("omitted", F.greatest(F.col("all") - top, F.lit(0)).cast("bigint")).drop("all")
+
+
+#: States of token observations that a source reports for input and output.
+OBSERVATION_STATES = ("reported", "missing", "invalid", "conflict")
+#: Fixed value: the greatest integer up to which doubles are exact.
+EXACT = 1 << 53
+
+
+def token_eligibility(latest: DataFrame, expected: list[str]) -> DataFrame:
+    """``window_start, total, reason`` of each window: its token total, and why it may not enter
+    the CUSUM (null: it may).
+
+    ``latest``: the latest snapshot of each producer and epoch of a window. Every source is
+    checked by itself, so errors of two sources cannot cancel: its input and output must be
+    reported for all requests, with no key missing that tells repeats apart.
+    """
+    c = lambda name: F.try_element_at("counters", F.lit(name))
+    clean = (F.coalesce(c("dedup_key_missing"), F.lit(0)) == 0) & ~((c("requests") == 0) & ((c("input_tokens") != 0) | (c("output_tokens") != 0)))
+    for field in ("input", "output"):
+        for state in OBSERVATION_STATES:
+            clean = clean & F.coalesce(c(f"token_observations.{field}.{state}") == (c("requests") if state == "reported" else F.lit(0)), F.lit(False))
+        clean = clean & (F.coalesce(c(f"token_observations.{field}.subset_violation"), F.lit(0)) == 0)
+    explicit = c("requests").isNotNull() & c("missing_token_usage").isNotNull() & c("input_tokens").isNotNull() & c("output_tokens").isNotNull()
+    wide = lambda name: F.sum(c(name).cast("decimal(38,0)")).alias(name)
+    g = latest.groupBy("window_start").agg(
+        F.count_distinct(F.when(F.col("producer").isin(expected), F.col("producer"))).alias("seen"), F.min(explicit.cast("int")).alias("explicit"), F.min(F.coalesce(clean, F.lit(False)).cast("int")).alias("clean"),
+        wide("requests"), wide("missing_token_usage"), wide("input_tokens"), wide("output_tokens"),
+    ).withColumn("sum", F.col("input_tokens") + F.col("output_tokens"))
+    reason = (
+        F.when(F.col("seen") < len(set(expected)), "missing_producers").when((F.col("explicit") == 0) | (F.col("missing_token_usage") != 0), "incomplete_usage")
+        .when((F.col("requests") == 0) & (F.col("sum") != 0), "tokens_without_requests").when(F.col("sum") > EXACT, "beyond_exact_range").when(F.col("clean") == 0, "source_not_clean")
+    )
+    return g.select("window_start", F.when(F.col("explicit") == 1, F.col("sum")).cast("decimal(38,0)").alias("total"), reason.alias("reason"))
+
+
 def scalar_signals(daily: DataFrame, baseline: int = BASELINE) -> DataFrame:
     """Volume, size and missing share of each day against its baseline.
 

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.accounting import COUNTS, empty
+from ledgerloom.operators.usage import supported
+
 KEY = ["producer", "epoch", "window_start"]
 
 
@@ -89,3 +92,88 @@ def retained(snapshots: DataFrame, windows: int) -> DataFrame:
     """The latest snapshots of the last ``windows`` windows, for an archive that forgets older ones."""
     last = snapshots.select("window_start").distinct().orderBy(F.desc("window_start")).limit(windows)
     return latest(snapshots).join(last, "window_start", "left_semi")
+
+
+def quality_snapshots(rows: DataFrame) -> DataFrame:
+    """Daily snapshots of classified usage rows by team with the counters of token quality."""
+    part = lambda n: {
+        "reported": F.count_if(F.col(n).isNotNull()), "missing": F.count_if(F.col(n).isNull() & empty(F.col(COUNTS[n]))),
+        "invalid": F.count_if(F.col(n).isNull() & ~empty(F.col(COUNTS[n]))), "conflict": F.lit(0),
+    }
+    counters = {
+        "requests": F.count(F.lit(1)), "missing_token_usage": F.sum("missing"), "input_tokens": F.coalesce(F.sum("input"), F.lit(0)), "output_tokens": F.coalesce(F.sum("output"), F.lit(0)),
+        "dedup_key_missing": F.count_if(empty(F.col("request_id"))), **{f"token_observations.{n}.{s}": v for n in ("input", "output") for s, v in part(n).items()},
+    }
+    g = rows.filter(F.col("team_id").isNotNull() & F.col("start_time").isNotNull()).groupBy(F.col("team_id").alias("producer"), F.to_date("start_time").alias("window_start"))
+    held = g.agg(*[v.cast("bigint").alias(f"c{i}") for i, v in enumerate(counters.values())], F.max("start_time").alias("emitted_at"))
+    pairs = F.create_map(*[v for i, n in enumerate(counters) for v in (F.lit(n), F.col(f"c{i}"))])
+    return held.select("producer", F.lit(0).alias("epoch"), "window_start", F.lit(0).alias("sequence"), "emitted_at", pairs.alias("counters"))
+
+
+#: Sources that usage may be declared to come from.
+ORIGINS = ("provider_reported", "inferred", "unavailable", "unknown")
+
+
+def with_provenance(snapshots: DataFrame) -> DataFrame:
+    """``snapshots`` with counters of where usage comes from: one that declares nothing has all
+    its requests of unknown origin; declarations, also partial ones, stay as they are."""
+    declared = F.exists(F.map_keys("counters"), lambda k: k.startswith("usage_provenance."))
+    requests = F.coalesce(F.try_element_at("counters", F.lit("requests")), F.lit(0)).cast("bigint")
+    more = F.create_map(*[v for f in ("input", "output") for o in ORIGINS for v in (F.lit(f"usage_provenance.v1.{f}.{o}"), requests if o == "unknown" else F.lit(0).cast("bigint"))])
+    return snapshots.withColumn("counters", F.when(declared, F.col("counters")).otherwise(F.map_concat("counters", more)))
+
+
+def one_window(snapshots: DataFrame, chosen: object = None) -> DataFrame:
+    """The snapshots of one window: the chosen one, or the only one there is."""
+    if chosen is not None:
+        return snapshots.filter(F.col("window_start") == F.lit(chosen))
+    if len(snapshots.select("window_start").distinct().head(2)) > 1:
+        raise ValueError("the snapshots are of several windows; choose one")
+    return snapshots
+
+
+def frames(snapshots: DataFrame, expected: list[str]) -> DataFrame:
+    """``day, complete, emitted_at`` of each window: whether all expected producers sent something, and the last emission."""
+    seen = F.count_distinct(F.when(F.col("producer").isin(expected), F.col("producer")))
+    return snapshots.groupBy(F.col("window_start").alias("day")).agg((seen == len(set(expected))).alias("complete"), F.max("emitted_at").alias("emitted_at"))
+
+
+def merged_items(sketches: DataFrame) -> DataFrame:
+    """Frequent items of several summaries as one: ``window_start, item, lower, upper, total``.
+
+    ``sketches``: window_start, total, max_error, items (array of item, lower, upper). An item
+    that a summary does not hold may still count up to its ``max_error`` there; no bound
+    exceeds the total.
+    """
+    all_of = sketches.groupBy("window_start").agg(F.sum("total").cast("bigint").alias("total"), F.sum("max_error").cast("bigint").alias("errors"))
+    x = sketches.select("window_start", "max_error", F.explode("items").alias("e"))
+    g = x.groupBy("window_start", F.col("e.item").alias("item")).agg(F.sum("e.lower").alias("lower"), F.sum("e.upper").alias("held"), F.sum("max_error").alias("own"))
+    upper = F.least(F.col("total"), F.col("held") + F.col("errors") - F.col("own"))
+    return g.join(all_of, "window_start").select("window_start", "item", F.col("lower").cast("bigint").alias("lower"), upper.cast("bigint").alias("upper"), "total")
+
+
+def inconsistent_items(sketches: DataFrame) -> DataFrame:
+    """Summaries that contradict themselves, with the first reason: an upper bound above the
+    total or below the lower, lower bounds that add up to more than the total, or an exact
+    summary (no error) that does not add up to it."""
+    add = lambda name: F.aggregate("items", F.lit(0).cast("decimal(38,0)"), lambda a, e: (a + e[name]).cast("decimal(38,0)"))
+    reason = (
+        F.when(F.exists("items", lambda e: (e["upper"] > F.col("total")) | (e["upper"] < e["lower"]) | (e["lower"] < 0)), "bound")
+        .when(add("lower") > F.col("total"), "lower_sum").when((F.col("max_error") == 0) & (add("lower") != F.col("total")), "exact_sum")
+    )
+    return sketches.withColumn("reason", reason).filter("reason is not null")
+
+
+def usage_histogram(rows: DataFrame) -> DataFrame:
+    """Requests of each model by size of input: bins by powers of two, each with its sums and
+    the least and greatest input; rows without complete usage make a bin of their own (-1)."""
+    whole = F.col("missing") + F.col("invalid") == 0
+    size = F.when(~whole, -1).when(F.col("input") == 0, 0).otherwise(F.floor(F.log2(F.col("input").cast("double"))).cast("int") + 1)
+    # Where the logarithm is rounded across a power of two, the power itself decides.
+    exact = F.expr("CASE WHEN bin > 0 AND input < shiftleft(1L, bin - 1) THEN bin - 1 WHEN bin > 0 AND bin < 63 AND input >= shiftleft(1L, bin) THEN bin + 1 ELSE bin END")
+    rows = rows.withColumn("bin", size.cast("int")).withColumn("bin", exact)
+    kept = lambda c: F.when(whole, F.col(c))
+    return rows.filter(supported()).groupBy("model", "bin").agg(
+        F.count(F.lit(1)).alias("requests"), F.sum(kept("input")).cast("bigint").alias("input_tokens"), F.sum(kept("output")).cast("bigint").alias("output_tokens"),
+        F.min(kept("input")).alias("input_min"), F.max(kept("input")).alias("input_max"),
+    )

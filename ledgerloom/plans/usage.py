@@ -544,6 +544,102 @@ def snapshot_retained(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.retained(_snapshots(spark, sf), 7).select("producer", "epoch", "window_start", "sequence")
 
 
+_QUALITY = f"""WITH {EVENT_SQL}, {CLASSIFIED}, q AS (SELECT team_id AS producer, CAST(start_time AS DATE) AS window_start, max(start_time) AS emitted_at, count(*) AS requests, sum(missing) AS missing, coalesce(sum(input), 0) AS input_tokens, coalesce(sum(output), 0) AS output_tokens,
+count(*) FILTER (coalesce(request_id, '') = '') AS keyless, count(input) AS input_reported, count(output) AS output_reported FROM classified WHERE team_id IS NOT NULL AND start_time IS NOT NULL GROUP BY 1, 2)"""
+_TEAMS = [f"t{i}" for i in range(5)]
+
+
+def _quality(spark: SparkSession, sf: str) -> DataFrame:
+    return snapshots.quality_snapshots(_classified(spark, sf))
+
+
+@query(f"""{_QUALITY}, g AS (SELECT window_start, count(DISTINCT producer) AS seen, sum(missing) AS missing, sum(requests) AS requests, CAST(sum(input_tokens) + sum(output_tokens) AS DECIMAL(38,0)) AS total, bool_and(keyless = 0 AND input_reported = requests AND output_reported = requests) AS clean FROM q GROUP BY 1)
+SELECT window_start, total, CASE WHEN seen < 5 THEN 'missing_producers' WHEN missing <> 0 THEN 'incomplete_usage' WHEN total > 9007199254740992 THEN 'beyond_exact_range' WHEN NOT clean THEN 'source_not_clean' END AS reason FROM g""")
+def cusum_eligibility(spark: SparkSession, sf: str) -> DataFrame:
+    return scan.token_eligibility(_quality(spark, sf), _TEAMS)
+
+
+@query(f"""{_QUALITY}, f AS (SELECT window_start AS day, count(DISTINCT producer) = 5 AS complete, max(emitted_at) AS emitted FROM q GROUP BY 1), n AS (SELECT max(day) + INTERVAL 1 DAY AS now FROM f),
+x AS (SELECT *, lag(day, 6) OVER w AS first, bool_and(complete) OVER (w ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS whole, max(emitted) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS sent, max(day) OVER () AS last FROM f, n WINDOW w AS (ORDER BY day))
+SELECT day, CASE WHEN first IS NULL THEN 'too_few' WHEN last + INTERVAL 4 DAY < now THEN 'stale' WHEN sent > now THEN 'emitted_in_future' WHEN day - first <> 6 THEN 'gap' WHEN NOT whole THEN 'incomplete_baseline' WHEN NOT complete THEN 'incomplete' ELSE 'ready' END AS state FROM x""")
+def scan_history(spark: SparkSession, sf: str) -> DataFrame:
+    f = snapshots.frames(_quality(spark, sf), _TEAMS)
+    now = f.agg(F.date_add(F.max("day"), 1).cast("timestamp_ntz")).first()[0]
+    return scan.history(f, F.lit(now).cast("timestamp_ntz"))
+
+
+_ERRORS = """WITH c AS (SELECT CAST(ts AS DATE) AS day, concat('tool', CAST(user_id % 40 AS VARCHAR)) AS member, count(*) * CASE WHEN dayofmonth(CAST(ts AS DATE)) = 20 THEN 9 ELSE 1 END AS errors FROM events WHERE event_type = 'error' AND user_id % 40 < 30 GROUP BY 1, 2),
+d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), r AS (SELECT day FROM (SELECT day, lag(day, 6) OVER (ORDER BY day) AS first FROM d) WHERE day - first = 6),
+p AS (SELECT c.day, c.member, c.errors, list(coalesce(b.errors, 0)::DOUBLE) AS past FROM c JOIN r USING (day) JOIN d e ON e.day < c.day AND e.day >= c.day - 6 LEFT JOIN c b ON b.day = e.day AND b.member = c.member GROUP BY ALL),
+m AS (SELECT *, list_median(past) AS m, list_median(list_transform(past, lambda q: abs(q - list_median(past)))) AS mad FROM p),
+t AS (SELECT *, greatest(m + greatest(4 * greatest(1.4826 * mad, 1.0), 0.5 * m, 10.0), list_max(past)) AS threshold FROM m), surges AS (SELECT day, member, errors, round(threshold, 6) AS threshold FROM t WHERE errors > threshold)"""
+
+
+def _surges(spark: SparkSession, sf: str) -> DataFrame:
+    e = read(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    many = F.when(F.dayofmonth("day") == 20, 9).otherwise(1)
+    counts = e.filter((F.col("event_type") == "error") & (F.col("user_id") % 40 < 30)).groupBy("day", F.concat(F.lit("tool"), (F.col("user_id") % 40).cast("string")).alias("member")).agg(F.count(F.lit(1)).alias("n"))
+    return scan.error_surges(counts.select("day", "member", (F.col("n") * many).alias("errors")), e.select("day").distinct())
+
+
+@query(f"{_ERRORS} SELECT * FROM surges")
+def scan_error_surges(spark: SparkSession, sf: str) -> DataFrame:
+    return _surges(spark, sf)
+
+
+@query(f"""{_ERRORS}, n AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY member) AS place, count(*) OVER (PARTITION BY day) AS everything FROM surges)
+SELECT day, member, errors, threshold, 1 AS held, left(sha256(concat_ws('/', 'demo', CAST(day AS VARCHAR), member)), 32) AS id, greatest(everything - 3, 0) AS omitted FROM n WHERE place <= 3""")
+def scan_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Surges with stable ids, three a day."""
+    return scan.identified(_surges(spark, sf), ["member"], "demo", top=3)
+
+
+_SUMMARIES = """WITH c AS (SELECT CAST(exported_at AS DATE) AS window_start, custom_llm_provider AS source, model AS item, count(*) AS n FROM synthetic WHERE model IS NOT NULL GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY window_start, source ORDER BY n DESC, item) AS place FROM c), s AS (SELECT window_start, source, CAST(sum(n) AS BIGINT) AS total, coalesce(max(n) FILTER (place > 4), 0) AS max_error FROM k GROUP BY 1, 2),
+i AS (SELECT k.window_start, k.source, item, n, max_error FROM k JOIN s ON k.window_start = s.window_start AND k.source IS NOT DISTINCT FROM s.source WHERE place <= 4)"""
+
+
+def _summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """The four most frequent models of each day and provider, as summaries with error bounds."""
+    s = read(spark, sf, "synthetic").filter("model is not null")
+    c = s.groupBy(F.to_date("exported_at").alias("window_start"), F.col("custom_llm_provider").alias("source"), F.col("model").alias("item")).agg(F.count(F.lit(1)).alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "item")))  # models are few
+    g = c.groupBy("window_start", "source").agg(F.sum("n").cast("bigint").alias("total"), ordered.alias("all"))
+    items = F.transform(F.slice("all", 1, 4), lambda e: F.struct(e["item"].alias("item"), (-e["m"]).alias("lower"), (-e["m"]).alias("upper")))
+    return g.select("window_start", "source", "total", F.coalesce(-F.get("all", F.lit(4))["m"], F.lit(0)).alias("max_error"), items.alias("items"))
+
+
+@query(f"""{_SUMMARIES}, t AS (SELECT window_start, CAST(sum(total) AS BIGINT) AS total, CAST(sum(max_error) AS BIGINT) AS errors FROM s GROUP BY 1)
+SELECT i.window_start, item, CAST(sum(n) AS BIGINT) AS lower, CAST(least(any_value(total), sum(n) + any_value(errors) - sum(max_error)) AS BIGINT) AS upper, any_value(total) AS total FROM i JOIN t ON t.window_start = i.window_start GROUP BY i.window_start, item""")
+def frequent_item_merge(spark: SparkSession, sf: str) -> DataFrame:
+    return snapshots.merged_items(_summaries(spark, sf))
+
+
+@query(f"""{_SUMMARIES}, x AS (SELECT s.*, CASE WHEN total % 7 = 3 THEN total - 1 ELSE total END AS stated FROM s), a AS (SELECT x.window_start, x.source, stated, x.max_error, CAST(sum(n) AS BIGINT) AS held, max(n) AS most FROM x JOIN i ON i.window_start = x.window_start AND i.source IS NOT DISTINCT FROM x.source GROUP BY 1, 2, 3, 4)
+SELECT window_start, source, CASE WHEN most > stated THEN 'bound' WHEN held > stated THEN 'lower_sum' ELSE 'exact_sum' END AS reason FROM a WHERE most > stated OR held > stated OR (max_error = 0 AND held <> stated)""")
+def frequent_item_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Summaries whose stated total (made wrong for some) their items contradict."""
+    stated = _summaries(spark, sf).withColumn("total", F.when(F.col("total") % 7 == 3, F.col("total") - 1).otherwise(F.col("total")))
+    return snapshots.inconsistent_items(stated).select("window_start", "source", "reason")
+
+
+@query(f"""{_QUALITY}, d AS (SELECT *, producer IN ('t1', 't3') AS declared FROM q), x AS (SELECT window_start, unnest(['provider_reported', 'inferred', 'unavailable', 'unknown']) AS origin, unnest([CASE WHEN declared THEN requests ELSE 0 END, 0, 0, CASE WHEN declared THEN 0 ELSE requests END]) AS n FROM d)
+SELECT window_start, origin, CAST(sum(n) AS BIGINT) AS requests FROM x GROUP BY ALL""")
+def usage_origins(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests of each window by the declared origin of their input counts; two producers declare theirs."""
+    q = _quality(spark, sf)
+    said = F.map_concat("counters", F.create_map(*[v for o in snapshots.ORIGINS for v in (F.lit(f"usage_provenance.v1.input.{o}"), F.col("counters")["requests"] if o == "provider_reported" else F.lit(0).cast("bigint"))]))
+    q = q.withColumn("counters", F.when(F.col("producer").isin("t1", "t3"), said).otherwise(F.col("counters")))
+    c = snapshots.combined(snapshots.with_provenance(q)).filter(F.col("counter").startswith("usage_provenance.v1.input."))
+    return c.select("window_start", F.substring_index("counter", ".", -1).alias("origin"), F.col("value").alias("requests"))
+
+
+@query(f"""WITH {EVENT_SQL}, {CLASSIFIED}, b AS (SELECT *, CASE WHEN missing + invalid > 0 THEN -1 WHEN input = 0 THEN 0 ELSE length(ltrim(bin(input), '0')) END AS bin FROM classified WHERE operation IS NOT NULL)
+SELECT model, CAST(bin AS INT) AS bin, count(*) AS requests, CAST(sum(input) FILTER (bin >= 0) AS BIGINT) AS input_tokens, CAST(sum(output) FILTER (bin >= 0) AS BIGINT) AS output_tokens, min(input) FILTER (bin >= 0) AS input_min, max(input) FILTER (bin >= 0) AS input_max FROM b GROUP BY model, bin""")
+def usage_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return snapshots.usage_histogram(_classified(spark, sf))
+
+
 # Scan and CUSUM -------------------------------------------------------------------------
 
 _FRAMES = f"""WITH {EVENT_SQL}, {CLASSIFIED}, frames AS (SELECT CAST(start_time AS DATE) AS day, count(*) AS attempts, CAST(sum(total) AS BIGINT) AS tokens, CAST(sum(missing) AS BIGINT) AS missing FROM classified WHERE start_time IS NOT NULL GROUP BY 1)"""
