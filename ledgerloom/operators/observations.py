@@ -32,6 +32,26 @@ def components(observations: DataFrame) -> DataFrame:
     return x.withColumn("unknown_members", F.when(F.col("usage_details").isNull(), 0).otherwise(others))
 
 
+def usage_rows(observations: DataFrame) -> DataFrame:
+    """Canonical usage rows (cells as text) of observations, one for each message: generations
+    are calls to a model, other types are not analysed. Counts include their parts; a count
+    below 0 is 'invalid'. ``request_id`` is a digest of project and id; identities are those of
+    the project. Times are not looked at here (``start_time`` and ``end_time`` stay as they are).
+    """
+    x = components(observations)
+    bad = F.exists(F.map_values("usage_details"), lambda v: v < 0)
+    text = lambda c: F.when(F.coalesce(bad, F.lit(False)), "invalid").otherwise(F.col(c).cast("string"))
+    generation = F.col("type") == "GENERATION"
+    cell = lambda c: F.when(generation, text(c))
+    framed = F.concat(F.length("project_id").cast("string"), F.lit(":"), "project_id", F.length("id").cast("string"), F.lit(":"), "id")  # no two pairs share a text
+    return x.select(
+        F.sha2(framed, 256).alias("request_id"), F.when(generation, "completion").otherwise("observation_other").alias("call_type"), "start_time", "end_time", F.lit("").alias("status"), F.coalesce("level", F.lit("")).alias("level"),
+        F.col("project_id").alias("api_key"), F.col("user_id").alias("user"), F.lit(None).cast("string").alias("team_id"), F.lit(None).cast("string").alias("end_user"), "session_id", F.col("provided_model_name").alias("model"),
+        cell("prompt").alias("prompt_tokens"), cell("completion").alias("completion_tokens"), cell("stated_total").alias("total_tokens"), cell("cache_read").alias("cache_read_input_tokens"),
+        cell("cache_write").alias("cache_write_input_tokens"), cell("reasoning").alias("reasoning_output_tokens"), F.when(generation, F.col("total_cost").cast("decimal(38,12)").cast("string")).alias("spend"),
+    )
+
+
 def report(observations: DataFrame) -> DataFrame:
     """Component sums and completeness of each project."""
     x = components(observations)

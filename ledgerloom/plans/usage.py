@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.accounting import COUNTS, FLAGS, classified
 from ledgerloom.functions.accounting import SQL as CLASSIFIED
 from ledgerloom.functions.text import sql_fold
-from ledgerloom.operators import coverage, observations, periods, providers, routing, scan, sessions, snapshots, stats, usage
+from ledgerloom.operators import coverage, delivery, observations, periods, providers, routing, scan, sessions, snapshots, stats, usage
 from ledgerloom.operators.periods import SQL as SIDED
 from ledgerloom.session import read
 from ledgerloom.sources.adapters import EVENT_SQL, usage_from_events, usage_from_requests
@@ -743,6 +743,22 @@ def observation_report(spark: SparkSession, sf: str) -> DataFrame:
     return observations.report(read(spark, sf, "observations"))
 
 
+@query(f"""{_OBS}, k AS (SELECT *, row_number() OVER (PARTITION BY {sql_fold('id')}, {sql_fold('project_id')} ORDER BY delivery_id) AS copy_no FROM y),
+u AS (SELECT sha256(concat(length(project_id), ':', project_id, length(id), ':', id)) AS request_id, type = 'GENERATION' AS call, project_id AS api_key, provided_model_name AS model, prompt, completion, t, c, d, e, total_cost,
+  coalesce(len(list_filter(map_values(usage_details), lambda v: v < 0)) > 0, false) AS bad FROM k WHERE id IS NOT NULL AND copy_no = 1)
+SELECT api_key, coalesce(call, false) AS analysed, count(*) AS requests, count(DISTINCT request_id) AS ids, CAST(coalesce(sum(prompt) FILTER (call AND NOT bad), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(completion) FILTER (call AND NOT bad), 0) AS BIGINT) AS output_tokens,
+count(*) FILTER (NOT coalesce(call, false) OR bad OR prompt IS NULL) AS missing, count(*) FILTER (call AND total_cost IS NOT NULL) AS priced FROM u GROUP BY ALL""")
+def observation_usage(spark: SparkSession, sf: str) -> DataFrame:
+    """Observations, each message once, as usage rows."""
+    obs = read(spark, sf, "observations").filter("id is not null")
+    once = delivery.deduplicated(obs, "delivery_id", delivery.observation_identity(), delivery.observation_order())
+    rows = classified(observations.usage_rows(once))
+    return rows.groupBy("api_key", usage.supported().alias("analysed")).agg(
+        F.count(F.lit(1)).alias("requests"), F.count_distinct("request_id").alias("ids"), F.coalesce(F.sum("input"), F.lit(0)).cast("bigint").alias("input_tokens"),
+        F.coalesce(F.sum("output"), F.lit(0)).cast("bigint").alias("output_tokens"), F.sum("missing").cast("bigint").alias("missing"), F.count("amount").alias("priced"),
+    )
+
+
 @query("SELECT member, count(*) AS n, CAST(coalesce(sum(value), 0) AS BIGINT) AS tokens FROM (SELECT unnest(map_keys(usage_details)) AS member, unnest(map_values(usage_details)) AS value FROM observations) GROUP BY member")
 def usage_members(spark: SparkSession, sf: str) -> DataFrame:
     return observations.member_counts(read(spark, sf, "observations"))

@@ -1,4 +1,6 @@
+import csv
 import gzip
+import io
 import json
 from datetime import datetime
 
@@ -82,17 +84,74 @@ def manifest(files, **more):
     return json.dumps(m | more)
 
 
-def test_observation_export(spark, tmp_path):
-    ok = [{"id": "a", "project_id": "p", "usage_details": {"input": 5}, "payload": "never read"}, {"id": "b"}]
-    (tmp_path / "p").mkdir()
-    (tmp_path / "p/ok.jsonl").write_text("\n".join(map(json.dumps, ok)))
-    (tmp_path / "p/short.jsonl").write_text(json.dumps(ok[0]))
-    (tmp_path / "p/bad.jsonl").write_text('{"id": "c"}\n{')
-    files = [{"key": f"p/{n}.jsonl", "format": "jsonl-raw", "sizeBytes": 1, "rowCount": 2} for n in ("ok", "short", "bad", "gone")]
-    m = exports.parse_manifest(manifest(files))
-    got, status = exports.read_observations(spark, str(tmp_path), m)
-    assert sorted((r.id, (r.usage_details or {}).get("input")) for r in got.collect()) == [("a", 5), ("b", None)]
-    assert {r.file_key: r.status for r in status.collect()} == {"p/ok.jsonl": "complete", "p/short.jsonl": "row_count_differs", "p/bad.jsonl": "does_not_parse", "p/gone.jsonl": "missing"}
+def observation(i, **more):
+    return {"id": i, "project_id": "p", "type": "GENERATION", "start_time": "2026-03-01 10:00:00.250", "usage_details": {"input": 5}, "payload": "never read"} | more
+
+
+def encoded_file(kind, rows):
+    if kind == "csv":
+        out = io.StringIO()
+        w = csv.writer(out)
+        w.writerow(["id", "project_id", "type", "start_time", "usage_details", "payload", "tags"])
+        for r in rows:
+            w.writerow([r["id"], r["project_id"], r["type"], r["start_time"], json.dumps(r["usage_details"]), "a\n\"b\", c", json.dumps(r.get("tags"))])
+        return out.getvalue().encode()
+    return (json.dumps(rows) if kind == "json" else "\n".join(map(json.dumps, rows))).encode()
+
+
+@pytest.mark.parametrize("kind", ["csv", "json", "jsonl"])
+@pytest.mark.parametrize("packed", [False, True])
+def test_observation_export_formats(spark, tmp_path, kind, packed):
+    rows_ = [observation("a", tags=["x", "y"]), observation("b", usage_details={"input": 7, "output": None})]
+    data = encoded_file(kind, rows_)
+    data = gzip.compress(data) if packed else data
+    key = f"p/observations_v2/one.{kind}" + (".gz" if packed else "")
+    (tmp_path / "p/observations_v2").mkdir(parents=True)
+    (tmp_path / key).write_bytes(data)
+    files = [{"key": key, "table": "observations_v2", "format": f"{kind}-{'gzip' if packed else 'raw'}", "sizeBytes": len(data), "rowCount": 2}]
+    got, status = exports.read_observations(spark, str(tmp_path), exports.parse_manifest(manifest(files)))
+    assert [r.status for r in status.collect()] == ["complete"]
+    assert sorted((r.id, r.usage_details, r.tags) for r in got.collect()) == [("a", {"input": 5}, ["x", "y"]), ("b", {"input": 7, "output": None}, None)]
+
+
+def test_incomplete_files_give_no_rows(spark, tmp_path):
+    texts = {
+        "ok": [observation("a"), observation("b")], "short": [observation("a")], "other": [observation("a"), observation("b", project_id="q")], "late": [observation("a"), observation("b", start_time="2026-03-02 00:00:00.001")],
+        "edge": [observation("c"), observation("d", start_time="2026-03-02 00:00:00")], "sized": [observation("a"), observation("b")],
+    }
+    sizes = {}
+    for n, rows_ in texts.items():
+        data = encoded_file("jsonl", rows_)
+        (tmp_path / f"{n}.jsonl").write_bytes(data)
+        sizes[n] = len(data) + (n == "sized")
+    for n, text in (("bad", json.dumps(observation("c")) + "\n{"), ("twice", '{"id": "a", "id": "b"}\n' + json.dumps(observation("c")))):
+        (tmp_path / f"{n}.jsonl").write_text(text)
+        sizes[n] = len(text)
+    files = [{"key": f"{n}.jsonl", "format": "jsonl-raw", "sizeBytes": k, "rowCount": 2} for n, k in (sizes | {"gone": 5}).items()]
+    got, status = exports.read_observations(spark, str(tmp_path), exports.parse_manifest(manifest(files)))
+    assert sorted(r.id for r in got.collect()) == ["a", "b", "c", "d"]
+    assert {r.file_key.split(".")[0]: r.status for r in status.collect()} == {
+        "ok": "complete", "edge": "complete", "short": "row_count_differs", "other": "outside", "late": "outside", "sized": "size_differs", "bad": "does_not_parse", "twice": "does_not_parse", "gone": "missing",
+    }
+
+
+@pytest.mark.parametrize("key", ["../a.jsonl", "/a.jsonl", "a/./b.jsonl", "a//b.jsonl", "a\\b.jsonl", "a.csv", ""])
+def test_keys_stay_in_their_folder(key):
+    with pytest.raises(rows.ExportError):
+        exports.parse_manifest(manifest([{"key": key, "format": "jsonl-raw", "sizeBytes": 1, "rowCount": 1}]))
+
+
+def test_observations_as_usage_rows(spark):
+    from ledgerloom.functions.accounting import classified
+    from ledgerloom.operators.observations import usage_rows
+
+    data = [("a", "p", "GENERATION", {"input": 5, "input_cached_tokens": 2, "output": 3, "output_reasoning_tokens": 1, "total": 11}, 0.5), ("a", "q", "GENERATION", {"input": -1}, None), ("c", "p", "SPAN", {"input": 9}, 1.0), ("d", "p", "GENERATION", None, None)]
+    df = spark.createDataFrame(data, "id string, project_id string, type string, usage_details map<string,bigint>, total_cost double").selectExpr("*", "'' AS start_time", "CAST(NULL AS timestamp) AS end_time", "'ERROR' AS level", "'u' AS user_id", "'s' AS session_id", "'m' AS provided_model_name")
+    got = classified(usage_rows(df)).collect()
+    assert [(r.call_type, r.prompt_tokens, r.completion_tokens, r.cache_read, r.total_mismatch, None if r.amount is None else float(r.amount)) for r in got] == [
+        ("completion", "7", "4", 2, 0, 0.5), ("completion", "invalid", "invalid", None, 0, None), ("observation_other", None, None, None, 0, None), ("completion", None, None, None, 0, None),
+    ]
+    assert len({r.request_id for r in got}) == 4
 
 
 @pytest.mark.parametrize("text", ["", "[]", "{}", manifest([], version=2), manifest([{"key": "a", "format": "x", "sizeBytes": 1, "rowCount": -1}]), '{"version": 1, "version": 1}'])
@@ -117,3 +176,19 @@ def test_snapshots_and_traces(spark, tmp_path):
     assert [r.attributes for r in spans.collect()] == [{"k": "own", "r": "true"}]
     assert {r.label: r.n for r in exports.attribute_cardinality(spans).collect()} == {"k": 1, "r": 1}
     assert [r.kind for r in exports.operation_mix(spans).collect()] == ["other"]
+    for value in ("v", "w"):  # a key twice, alike or not
+        (tmp_path / "t.json").write_text(json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [span("cd" * 8) | {"attributes": [{"key": "k", "value": {"stringValue": v}} for v in ("v", value)]}]}]}]}))
+        with pytest.raises(rows.ExportError):
+            exports.read_traces(spark, str(tmp_path / "t.json"))
+
+
+def test_trace_identities_and_readiness(spark):
+    model = {"gen_ai.operation.name": "chat"}
+    spans = [model | {"user.id": "u1", "gen_ai.usage.input_tokens": "5", "gen_ai.usage.output_tokens": "2"}, model | {"enduser.id": "u2", "user.id": "u1", "gen_ai.usage.input_tokens": "x"}, {"gen_ai.request.model": "m", "session.id": ""}, {"gen_ai.operation.name": "execute_tool", "user.id": "u9"}]
+    df = spark.createDataFrame([(s,) for s in spans], "attributes map<string,string>")
+    got = {r.identity: (r.attempts, r.present, r.members, r.with_tokens, r.tokens) for r in exports.identity_coverage(df).collect()}
+    assert got == {"user": (3, 2, 2, 1, 7), "session": (3, 0, 0, 0, 0), "prompt": (3, 0, 0, 0, 0)}
+    ready = {r.question: (r.covered, r.status) for r in exports.readiness(df).collect()}
+    assert ready["model_activity"] == (3, "ready") and ready["token_usage"] == (1, "partial") and ready["prompt_rankings"] == (0, "cannot_determine") and len(ready) == 7
+    assert {r.status for r in exports.readiness(df.limit(0)).collect()} == {"cannot_determine"}
+    assert {r.label: r.risk for r in exports.attribute_cardinality(df).collect()}["user.id"] == "sensitive_identifier"
