@@ -37,12 +37,16 @@ STARTER_SHARE = 1e-3
 SPEAKER_SHARE = 0.02
 #: A token followed by starters less often than this stands before names; one followed by lower case more often is a suffix.
 BEFORE_NAME, SUFFIX = 0.2, 0.3
+#: Most characters of a word; longer runs without white space are none.
+LONGEST = 200
 #: Most letters of a token that a page alone shows to be a title.
 TITLE = 5
 #: A line end of Thai needs its last characters before this share of the spaces within lines.
 THAI_SHARE, THAI_TAIL = 2e-4, 3
 
-# Words of speaker clauses after a quotation, in scripts without letter case; months as after ordinals.
+#: A word of speaker clauses is this much more frequent after closed quotations than at other sentence starts.
+SPEAKER_RATIO = 10
+# Words of speaker clauses after a quotation, in scripts without letter case, for corpora that show none; months as after ordinals.
 SPEAKERS = {"hi": ("पूछा", "कहा", "बोला", "बोली", "चिल्लाया"), "ar": ("سأل", "قال", "صاح", "هتف"), "ja": ("と",), "zh": ("问", "問", "说", "說", "喊", "道", "答", "叫")}
 MONTHS = frozenset(
     "januar jänner februar märz april mai juni juli august september oktober november dezember jan feb mär apr jun jul aug sept okt nov dez".split()
@@ -59,8 +63,10 @@ _PLAIN_DOTS = re.compile(r"(?:\.\.\.+|…+)\Z")
 _HYPHEN = re.compile(r"[-­=¬] ?\n")
 _SPACE = " \n\t\xa0  　"
 _LEAD = _QUOTES + "([¿¡" + _SPACE
-_AFTER = re.compile(r"([.!?؟])([\xa0\"”»“’)]*)\s+[\"“„«‘»(¿¡\s]*([^\s\"“„«‘»(¿¡.,!?]{1,24})")
+_AFTER = re.compile(r"([.!?؟])([\xa0\"”»“’)]*)\s+[\"“„«‘»(¿¡\s]*([^\s\"“„«‘»(¿¡.,!?]+)")
+_SAID = re.compile(r"[!?؟。！？।]([”“»«’」』\"]+|\s[”»’」』])?\s*[“„«‘「『\"]?(\S*)")
 _WORD = re.compile(rf"[{re.escape(_LEAD)}]*([^\s\"“„«»‘’”(.,!?…]+)")
+_WORD_REST = re.compile(r"[^\s\"“„«»‘’”(.,!?…]+")
 _DIGIT = re.compile(r"\d")
 _PLAIN = re.compile(r"\w+(?![\w.])")
 _NAME = re.compile(r"(?<=[a-zß-öø-ÿа-яё])\s([A-ZÀ-ÞА-ЯЁ]\w+)(?![\w.])")
@@ -104,14 +110,15 @@ def script_of(text: str) -> str:
 @dataclass(frozen=True)
 class Statistics:
     """What the corpus tells: starters, tokens before names, suffixes (by script), the shapes
-    of tokens before names apart from misread letters, words of speaker clauses, and
-    tails of Thai sentences."""
+    of tokens before names apart from misread letters, words of speaker clauses (small
+    after a quotation, or by their place in scripts without case), and tails of Thai sentences."""
 
     starters: dict[str, frozenset] = field(default_factory=dict)
     before_names: dict[str, frozenset] = field(default_factory=dict)
     suffixes: dict[str, frozenset] = field(default_factory=dict)
     shapes: dict[str, frozenset] = field(default_factory=dict)
     says: dict[str, frozenset] = field(default_factory=dict)
+    speakers: dict[str, tuple] = field(default_factory=dict)
     tails: frozenset = frozenset()
 
 
@@ -121,6 +128,11 @@ def _count(texts: list[str | None]) -> Counter:
         if not text or text.isspace():
             continue
         script = script_of(text)
+        if script in SPEAKERS:
+            for m in _SAID.finditer(text):
+                word = m[2][:1] if script in ("zh", "ja") else m[2]
+                if word and len(word) <= LONGEST:
+                    seen[script, "said" if m[1] else "begin", word, ""] += 1
         if script == "th":
             seen.update(("th", "tail", m, "") for m in re.findall(rf"(\S{{{THAI_TAIL}}}) (?=\S)", text))
         elif script not in ("hi", "zh", "ja"):
@@ -132,8 +144,7 @@ def _count(texts: list[str | None]) -> Counter:
                     elif closer.strip() and word[0].islower():
                         seen[script, "say", word, ""] += 1
                     continue
-                token = text[max(0, m.start() - 16) : m.start()].split()[-1:]
-                token = token[0].lstrip(_LEAD) if token else ""
+                token = _last(text, m.start()).lstrip(_LEAD)
                 if token and token[-1] != "." and not _DIGIT.search(token):
                     upper = word[0].isupper() or script == "ar"
                     seen[script, "upper" if upper else "lower", token.casefold(), word.casefold() if upper else ""] += 1
@@ -145,7 +156,7 @@ def corpus_statistics(documents: DataFrame) -> Statistics:
 
     Counts are summed within map tasks and then by Spark. What is fetched is
     bounded by the shares above: 1/STARTER_SHARE starters and 1/TOKEN_SHARE tokens of
-    a script, 1/THAI_SHARE tails.
+    a script, 1/SPEAKER_SHARE words after quotations, 1/THAI_SHARE tails.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,6 +203,13 @@ def _judged(counted: DataFrame) -> Statistics:
     says: dict[str, set] = {}
     for r in at_least(counted.filter("kind = 'say'"), share("say", SPEAKER_SHARE)).collect():
         says.setdefault(r.script, set()).add(r.token)
+    said = [tuple(r) for r in at_least(counted.filter("kind = 'said'"), share("said", SPEAKER_SHARE)).select("script", "token", "n").collect()]  # 1/SPEAKER_SHARE of a script
+    begin = counted.filter((F.col("kind") == "begin") & F.col("token").isin(sorted({t for _, t, _ in said}))).select("script", "token", "n").collect() if said else []
+    begins = {(r.script, r.token): r.n for r in begin}
+    speakers: dict[str, tuple] = {}
+    for script, token, n in sorted(said):
+        if n * sums.get((script, "begin"), 0) >= SPEAKER_RATIO * begins.get((script, token), 0) * sums[script, "said"]:
+            speakers[script] = (*speakers.get(script, ()), token)
     tails = {r.token for r in at_least(counted.filter("kind = 'tail'"), share("tail", THAI_SHARE)).collect()}
     known = F.lit(False)
     for script, words in starters.items():
@@ -211,7 +229,7 @@ def _judged(counted: DataFrame) -> Statistics:
             suffix.setdefault(r.script, set()).add(r.token)
     frozen = lambda d: {k: frozenset(v) for k, v in d.items()}
     shapes = {k: {_shape(w) for w in v if len(w) > 1} for k, v in before.items()}
-    return Statistics(frozen(starters), frozen(before), frozen(suffix), frozen(shapes), frozen(says), frozenset(tails))
+    return Statistics(frozen(starters), frozen(before), frozen(suffix), frozen(shapes), frozen(says), speakers, frozenset(tails))
 
 
 @dataclass(frozen=True)
@@ -236,8 +254,8 @@ def page_evidence(texts: list[str], script: str) -> Evidence:
     followed: dict[str, list[str]] = {}
     for m in _DOTTED.finditer(text):
         i = m.start()
-        token = text[max(0, i - 24) : i].split()[-1:]
-        token = token[0].lstrip(_LEAD).casefold() if token and token[0][-1].isalpha() else ""
+        token = _last(text, i)
+        token = token.lstrip(_LEAD).casefold() if token and token[-1].isalpha() else ""
         if not token:
             continue
         word = m[2] or ","
@@ -257,22 +275,38 @@ def page_evidence(texts: list[str], script: str) -> Evidence:
     )
 
 
+def _last(text: str, i: int) -> str:
+    """What stands before ``i`` since the last white space; '' if that is more than :data:`LONGEST`
+    characters, which is no word, and so no abbreviation."""
+    piece = text[max(0, i - LONGEST - 1) : i]
+    last = "" if piece[-1:].isspace() else piece.rsplit(None, 1)[-1] if piece else ""
+    return last if len(last) <= LONGEST else ""
+
+
 def _token_before(s: str, i: int) -> str:
-    piece = s[max(0, i - 40) : i]
+    """The word before a mark, also where a line break parts it."""
+    piece = s[max(0, i - LONGEST - 1) : i]
     if "\n" in piece:
         piece = _HYPHEN.sub("", piece)
-    last = piece.split()[-1:]
-    return _INNER.split(last[0])[-1] if last else ""
+    last = piece.rsplit(None, 1)[-1:]
+    return _INNER.split(last[0].rstrip())[-1] if last and len(last[0].rstrip()) <= LONGEST else ""
 
 
 def _word_after(s: str, i: int) -> str:
+    """The first word after a mark, also where a line break parts it."""
     m = _WORD.match(s, i)
     if m is None:
-        return s[i : i + 60].lstrip(_LEAD)[:1]
+        k = i
+        while k < len(s) and s[k] in _LEAD:
+            k += 1
+        return s[k : k + 1]
     word = m[1]
     if word[-1] in "-\xad=¬":
-        m = _WORD.match(_HYPHEN.sub("", s[i : i + 80]))
-        return m[1] if m else word
+        rest = _HYPHEN.match(s, m.end() - 1)
+        if rest is None:
+            return word
+        more = _WORD_REST.match(s, rest.end())
+        return word[:-1] + more[0] if more else word
     return word
 
 
@@ -371,7 +405,7 @@ def _ends(text: str, script: str, stats: Statistics, page: Evidence | None = Non
         return
     opened = ""
     after_mark = -1
-    speakers = SPEAKERS.get(script)
+    speakers = stats.speakers.get(script) or SPEAKERS.get(script)
     for m in _SCAN[script].finditer(text):
         if m["m"] is None:
             q, at = m[0], m.start()

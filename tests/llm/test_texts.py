@@ -125,6 +125,23 @@ def cut(text, stats, script=None):
     return [text[a:b].strip() for a, b in zip([0, *found], found)]
 
 
+def test_speaker_words_are_learned(spark):
+    """From what follows closed quotations, and hardly any other sentence."""
+    zh = "「船走了吗？」查市长。本地港口很大。海上起风了！市长来了？「你好！」查他。星期天开会。" * 8
+    hi = "“कौन है?” बताया उसने। नगर बड़ा है। नगर सुंदर है! “चलो!” बताया राम ने। आज वर्षा हुई। " * 8
+    got = sentences.corpus_statistics(docs(spark, (zh, None), (hi, None))).speakers
+    assert got == {"zh": ("查",), "hi": ("बताया",)}
+    learned = sentences.Statistics(speakers=got)
+    assert cut("「船走了吗？」查市长。海上起风了！", learned, "zh") == ["「船走了吗？」查市长。", "海上起风了！"]
+    assert cut("「船走了吗？」问市长。", sentences.Statistics(), "zh") == ["「船走了吗？」问市长。"]  # a corpus without quotations
+
+
+def test_words_of_any_length():
+    word = "Bundes" * 20
+    assert sentences._last(f"das {word}", 4 + len(word)) == word and sentences._last("a " + "x" * 201, 203) == "" and sentences._last("", 0) == ""
+    assert sentences._word_after(f" {word}-\n{word} x", 0) == word + word and sentences._word_after(" (", 0) == ""
+
+
 def test_titles_come_from_the_corpus(stats):
     assert "capt" in stats.before_names["en"] and "prof" in stats.before_names["de"] and "the" in stats.starters["en"]
     assert "port" not in stats.before_names["en"]
