@@ -44,8 +44,8 @@ TITLE = 5
 #: A line end of Thai needs its last characters before this share of the spaces within lines.
 THAI_SHARE, THAI_TAIL = 2e-4, 3
 
-#: A word of speaker clauses is this much more frequent after closed quotations than at other sentence starts.
-SPEAKER_RATIO = 10
+#: A word of speaker clauses is this much more frequent after closed quotations than at other sentence starts, and stands there so often at least.
+SPEAKER_RATIO, SPEAKER_COUNT = 10, 5
 # Words of speaker clauses after a quotation, in scripts without letter case, for corpora that show none; months as after ordinals.
 SPEAKERS = {"hi": ("पूछा", "कहा", "बोला", "बोली", "चिल्लाया"), "ar": ("سأل", "قال", "صاح", "هتف"), "ja": ("と",), "zh": ("问", "問", "说", "說", "喊", "道", "答", "叫")}
 MONTHS = frozenset(
@@ -208,7 +208,7 @@ def _judged(counted: DataFrame) -> Statistics:
     begins = {(r.script, r.token): r.n for r in begin}
     speakers: dict[str, tuple] = {}
     for script, token, n in sorted(said):
-        if n * sums.get((script, "begin"), 0) >= SPEAKER_RATIO * begins.get((script, token), 0) * sums[script, "said"]:
+        if n >= SPEAKER_COUNT and n * sums.get((script, "begin"), 0) >= SPEAKER_RATIO * (begins.get((script, token), 0) + 1) * sums[script, "said"]:
             speakers[script] = (*speakers.get(script, ()), token)
     tails = {r.token for r in at_least(counted.filter("kind = 'tail'"), share("tail", THAI_SHARE)).collect()}
     known = F.lit(False)

@@ -127,8 +127,8 @@ def cut(text, stats, script=None):
 
 def test_speaker_words_are_learned(spark):
     """From what follows closed quotations, and hardly any other sentence."""
-    zh = "「船走了吗？」查市长。本地港口很大。海上起风了！市长来了？「你好！」查他。星期天开会。" * 8
-    hi = "“कौन है?” बताया उसने। नगर बड़ा है। नगर सुंदर है! “चलो!” बताया राम ने। आज वर्षा हुई। " * 8
+    zh = "「船走了吗？」查市长。本地港口很大。海上起风了！市长来了？「你好！」查他。星期天开会。" * 20
+    hi = "“कौन है?” बताया उसने। नगर बड़ा है। नगर सुंदर है! “चलो!” बताया राम ने। आज वर्षा हुई। " * 20
     got = sentences.corpus_statistics(docs(spark, (zh, None), (hi, None))).speakers
     assert got == {"zh": ("查",), "hi": ("बताया",)}
     learned = sentences.Statistics(speakers=got)
