@@ -64,7 +64,8 @@ _HYPHEN = re.compile(r"[-­=¬] ?\n")
 _SPACE = " \n\t\xa0  　"
 _LEAD = _QUOTES + "([¿¡" + _SPACE
 _AFTER = re.compile(r"([.!?؟])([\xa0\"”»“’)]*)\s+[\"“„«‘»(¿¡\s]*([^\s\"“„«‘»(¿¡.,!?]+)")
-_SAID = re.compile(r"[!?؟。！？।]([”“»«’」』\"]+|\s[”»’」』])?\s*[“„«‘「『\"]?(\S*)")
+_AFTER_MARK = r"[!?؟。！？।]([”“»«’」』\"]+|\s[”»’」』])?\s*[“„«‘「『\"]?"
+_SAID = {"hi": re.compile(_AFTER_MARK + r"(\S*)"), "ar": re.compile(_AFTER_MARK + r"(\S*)"), "zh": re.compile(_AFTER_MARK + r"(\S?)"), "ja": re.compile(_AFTER_MARK + r"(\S?)")}
 _WORD = re.compile(rf"[{re.escape(_LEAD)}]*([^\s\"“„«»‘’”(.,!?…]+)")
 _WORD_REST = re.compile(r"[^\s\"“„«»‘’”(.,!?…]+")
 _DIGIT = re.compile(r"\d")
@@ -129,8 +130,8 @@ def _count(texts: list[str | None]) -> Counter:
             continue
         script = script_of(text)
         if script in SPEAKERS:
-            for m in _SAID.finditer(text):
-                word = m[2][:1] if script in ("zh", "ja") else m[2]
+            for m in _SAID[script].finditer(text):
+                word = m[2]
                 if word and len(word) <= LONGEST:
                     seen[script, "said" if m[1] else "begin", word, ""] += 1
         if script == "th":
