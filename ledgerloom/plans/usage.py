@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from ledgerloom.functions.text import sql_fold
 from ledgerloom.operators import coverage, delivery, observations, periods, providers, routing, scan, sessions, snapshots, stats, usage
 from ledgerloom.operators.periods import SQL as SIDED
 from ledgerloom.session import read
-from ledgerloom.sources.adapters import EVENT_SQL, usage_from_events, usage_from_requests
+from ledgerloom.sources.adapters import EVENT_SQL, REQUEST_SQL, usage_from_events, usage_from_exports, usage_from_requests
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -35,7 +36,13 @@ _WITH = f"WITH {EVENT_SQL}, {CLASSIFIED}, {SIDED}"
 _HELD = "side >= 0 AND operation IS NOT NULL"
 
 
+#: Whether the queries run over events or over exported requests.
+_SOURCE: ContextVar[str] = ContextVar("source", default="events")
+
+
 def _plain(spark: SparkSession, sf: str) -> DataFrame:
+    if _SOURCE.get() == "requests":
+        return usage_from_exports(read(spark, sf, "synthetic"))
     return usage_from_events(read(spark, sf, "events"))
 
 
@@ -44,13 +51,13 @@ def _classified(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @lru_cache(maxsize=64)
-def _bounds(application: str, sf: str):
-    """Automatic periods, found once for each application and folder."""
+def _bounds(application: str, sf: str, source: str):
+    """Automatic periods, found once for each application, folder and source."""
     return periods.automatic(_plain(SparkSession.active(), sf))
 
 
 def _period(spark: SparkSession, sf: str):
-    return _bounds(spark.sparkContext.applicationId, sf)
+    return _bounds(spark.sparkContext.applicationId, sf, _SOURCE.get())
 
 
 def _sided(spark: SparkSession, sf: str) -> DataFrame:
@@ -832,3 +839,24 @@ def request_quality(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+
+
+def _over_requests(name: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        token = _SOURCE.set("requests")
+        try:
+            return QUERIES[name](spark, sf)
+        finally:
+            _SOURCE.reset(token)
+
+    run.__name__ = f"requests_{name}"
+    run.__doc__ = f"As {name}, over exported requests by the time of export."
+    return query(SQL[name].replace(EVENT_SQL, REQUEST_SQL))(run)
+
+
+for _name in (
+    "auto_periods", "window_totals", "quality_vector", "model_change", "volume_split", "volume_split_clear", "call_type_coverage", "movers_key", "movers_team", "movers_user", "movers_end_user", "movers_session",
+    "increase_concentration", "contributor_excess", "distinct_groups_exact", "attribution_coverage", "failure_tokens", "routing_cohorts", "routing_field_coverage", "routing_overhead", "agent_partition", "session_rollup", "session_members",
+    "session_quantiles", "session_summary", "session_shared_review", "scan_scalar_signals", "scan_top_share", "usage_histogram", "cusum_rolling",
+):
+    _over_requests(_name)
