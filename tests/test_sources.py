@@ -192,3 +192,44 @@ def test_trace_identities_and_readiness(spark):
     assert ready["model_activity"] == (3, "ready") and ready["token_usage"] == (1, "partial") and ready["prompt_rankings"] == (0, "cannot_determine") and len(ready) == 7
     assert {r.status for r in exports.readiness(df.limit(0)).collect()} == {"cannot_determine"}
     assert {r.label: r.risk for r in exports.attribute_cardinality(df).collect()}["user.id"] == "sensitive_identifier"
+
+
+def test_order_does_not_depend_on_splits(spark, tmp_path):
+    head = [c for c in HEAD if c != "other"]
+    for f in range(3):
+        lines = [json.dumps(dict(zip(head, [f"{f}-{i}", "acompletion", "2026-03-01T10:00:00Z", "1", "1", "2", "u"]))) for i in range(400)]
+        (tmp_path / f"{f}.jsonl").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    orders = []
+    try:
+        for size in ("128m", "9k", "20k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            orders.append([r.request_id for r in rows.read_jsonl(spark, str(tmp_path)).orderBy("row_number").collect()])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert orders[0] == orders[1] == orders[2] and len(set(orders[0])) == 1200
+    for f in range(3):
+        assert [i for i in orders[0] if i.startswith(f"{f}-")] == [f"{f}-{i}" for i in range(400)]
+
+
+def test_ends_limits_and_generator(spark, tmp_path):
+    now = datetime(2026, 4, 1)
+    base = {"request_id": "r", "call_type": "acompletion", "startTime": "2026-03-01T10:00:00Z", "prompt_tokens": "1", "completion_tokens": "1", "total_tokens": "2"}
+
+    def read(*ends):
+        (tmp_path / "e.jsonl").write_text("\n".join(json.dumps(base | {"endTime": e}) for e in ends))
+        return rows.read_jsonl(spark, str(tmp_path / "e.jsonl"))
+
+    rows.check_ends(read("2026-03-01T10:00:01Z", "", None), now)
+    for bad in ("2026-03-01T09:00:00Z", "2026-05-01T09:00:00Z", "soon"):
+        with pytest.raises(rows.ExportError):
+            rows.check_ends(read(bad), now)
+    some = read("2026-03-01T10:00:01Z")
+    rows.check_limits(some, 1)
+    for limits in ({"most_rows": 0}, {"most_bytes": 5}):
+        with pytest.raises(rows.ExportError):
+            rows.check_limits(some, **limits)
+    many = rows.repeated(some, 100, days=4, keys=7)
+    assert many.count() == 100 and many.select("request_id").distinct().count() == 100 and many.select("api_key").distinct().count() == 7
+    assert sorted({r.startTime[:10] for r in many.collect()}) == [f"2026-03-0{d}" for d in range(1, 5)]
+    assert rows.canonical(many).filter("start_time is null or end_time < start_time").count() == 0
