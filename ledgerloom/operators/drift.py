@@ -48,16 +48,12 @@ def promoted(bits: int, digits: int = 0, scale: int = 0) -> str:
 
 def _type_bit(value: Column) -> Column:
     """Bit of a variant's JSON type; 0 for null."""
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull() | (kind == "VOID"), 0)
-        .when(kind == "BIGINT", _BIT["integer"])
-        .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), _BIT["decimal"])
-        .when(kind == "STRING", _BIT["string"])
-        .when(kind == "BOOLEAN", _BIT["boolean"])
-        .when(kind.startswith("ARRAY"), _BIT["array"])
-        .otherwise(_BIT["object"])
-    )
+    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    bit = lambda k: (
+        F.when(k == "VOID", 0).when(k == "BIGINT", _BIT["integer"]).when(k.startswith("DECIMAL") | k.isin("DOUBLE", "FLOAT"), _BIT["decimal"])
+        .when(k == "STRING", _BIT["string"]).when(k == "BOOLEAN", _BIT["boolean"]).when(k.startswith("ARRAY"), _BIT["array"]).otherwise(_BIT["object"])
+    )
+    return F.get(F.transform(F.array(kind), bit), F.lit(0))  # the lambda makes Spark work the type out once
 
 
 def _plain_number(text: Column) -> Column:
@@ -90,7 +86,7 @@ _KIND = "array<struct<inside:boolean,member:string,bit:int,text:string>>"
 def _evidence() -> list[Column]:
     """What tells the quantity of a member: where it has a value and what is left of ``total`` there."""
     held, left = F.col("bit") > 0, F.col("residual") > 0
-    number = _plain_number(F.col("text"))
+    number = F.when(held & left & ~F.col("member").isin(*STABLE, TOTAL), _plain_number(F.col("text")))  # looked at only where it tells something
     return [
         F.bit_or("bit").cast("int").alias("types"), F.count_if(held).alias("held"), F.count_if(held & left).alias("held_left"), F.count_if(held & ~left).alias("held_none"),
         F.count_if(held & left & (number == F.col("residual"))).alias("matches"), F.count_if(held & left & (number != F.col("residual"))).alias("differs"),
@@ -242,9 +238,11 @@ def member_counters(lines: DataFrame) -> DataFrame:
     m = m.select("file_key", F.col("usage").isNotNull().alias("split"), _residual().alias("residual"), F.explode(F.concat(line, _entries(F.col("top"), False, _text).cast(_KIND), F.coalesce(_entries(F.col("usage"), True, _text).cast(_KIND), none))).alias("m"))
     m = m.select("file_key", "split", "residual", "m.*").filter(F.col("member").isNull() | F.col("inside") | (F.col("member") != USAGE) | ~F.col("split") & (F.col("bit") > 0))
     digits, scale = _number_size(F.col("text"))
-    number = F.col("bit").bitwiseAND(F.lit(_NUMERIC)) > 0
-    most = lambda v: F.coalesce(F.max(F.when(number, v)), F.lit(0))
-    return m.groupBy("file_key", "inside", "member").agg(*_evidence(), most(digits).alias("digits"), most(scale).alias("scale"))
+    whole = F.col("bit") == _BIT["integer"]  # no point and no exponent: its digits are its length
+    size = F.when(whole, F.greatest(F.length("text") - F.col("text").startswith("-").cast("int"), F.lit(1))).when(F.col("bit") == _BIT["decimal"], digits)
+    after = F.when(F.col("bit") == _BIT["decimal"], scale)
+    most = lambda v: F.coalesce(F.max(v), F.lit(0))
+    return m.groupBy("file_key", "inside", "member").agg(*_evidence(), most(size).alias("digits"), most(after).alias("scale"))
 
 
 def union_schema(counters: DataFrame, headers: DataFrame) -> dict[tuple[bool, str | None, str | None], str]:
