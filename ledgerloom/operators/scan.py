@@ -165,9 +165,10 @@ def key_shares(rows: DataFrame, column: str) -> DataFrame:
 
 
 def top_share(shares: DataFrame, baseline: int = BASELINE) -> DataFrame:
-    """The largest share of each day against the largest shares of the days before."""
+    """The largest share of each day against the largest shares of the days before; days
+    without tokens have no share and are left out."""
     s = F.col("tokens").cast("double") / F.nullif(F.col("day_tokens").cast("double"), F.lit(0.0))
-    top = shares.withColumn("share", s).groupBy("day").agg(F.max("share").alias("share"))
+    top = shares.withColumn("share", s).groupBy("day").agg(F.max("share").alias("share")).filter("share is not null")
     w = Window.orderBy("day").rowsBetween(-baseline, -1)  # one row for each day
     x = top.withColumn("past", F.collect_list("share").over(w)).filter(F.size("past") == baseline)
     m, scale = robust(F.col("past"), 0.01)

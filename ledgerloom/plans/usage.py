@@ -685,7 +685,7 @@ def _shares(spark: SparkSession, sf: str) -> DataFrame:
     return scan.key_shares(_classified(spark, sf), "api_key")
 
 
-@query(f"""{_SHARES}, t AS (SELECT day, max(tokens / CAST(day_tokens AS DOUBLE)) AS share FROM shares GROUP BY day), p AS (SELECT *, list(share) OVER (ORDER BY day ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS past FROM t),
+@query(f"""{_SHARES}, t AS (SELECT day, max(tokens / CAST(day_tokens AS DOUBLE)) AS share FROM shares WHERE day_tokens > 0 GROUP BY day), p AS (SELECT *, list(share) OVER (ORDER BY day ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS past FROM t),
 m AS (SELECT *, list_median(past) AS m, list_median(list_transform(past, lambda q: abs(q - list_median(past)))) AS mad FROM p WHERE len(past) = 6),
 h AS (SELECT *, greatest(m + greatest(4 * greatest(1.4826 * mad, 0.01), 0.5 * m, 0.1), list_max(past), 0.25) AS threshold FROM m) SELECT day, round(share, 9) AS share, round(threshold, 9) AS threshold, share > threshold AS finding FROM h""")
 def scan_top_share(spark: SparkSession, sf: str) -> DataFrame:

@@ -24,13 +24,14 @@ def test_json(spark):
 
 
 def test_command(spark, tmp_path, capsys):
+    span = lambda a, b: f"2026-03-{a:02}T00:00:00Z/2026-03-{b:02}T00:00:00Z"
     head = "request_id,call_type,startTime,endTime,prompt_tokens,completion_tokens,total_tokens,spend,status,api_key,model\n"
     line = "r{0},acompletion,2026-03-{1:02}T10:00:00Z,2026-03-{1:02}T10:00:01Z,10,5,15,0.5,success,k,m\n"
     (tmp_path / "a.csv").write_text(head + "".join(line.format(i, d) for i, d in enumerate([2, 3, 10, 11, 11])))
-    assert cli.main(["investigate", str(tmp_path / "a.csv"), "csv", "2026-03-01/2026-03-08", "2026-03-08/2026-03-15"]) == 0
+    assert cli.main(["investigate", str(tmp_path / "a.csv"), "csv", span(1, 8), span(8, 15)]) == 0
     got = json.loads(capsys.readouterr().out)
     assert [(w["side"], w["requests"], w["spend"]) for w in got["windows"]] == [(0, 2, "1"), (1, 3, "1.5")]
     assert got["movers_key"][0]["change"] == 15
     assert cli.main(["investigate", str(tmp_path / "a.csv"), "csv"]) == 1  # too short for automatic periods
-    assert cli.main(["investigate", str(tmp_path / "a.csv"), "csv", "2026-03-01/2026-03-08", "2026-03-07/2026-03-14"]) == 1
+    assert cli.main(["investigate", str(tmp_path / "a.csv"), "csv", span(1, 8), span(7, 14)]) == 1
     assert cli.main(["other"]) == 2
