@@ -117,6 +117,11 @@ def movers(rows: DataFrame, dimension: str, top: int = 20) -> DataFrame:
     return w.withColumn("direction", direction).orderBy(F.desc(F.abs("change")), "first_seen").limit(top)
 
 
+def largest(rows: DataFrame, dimension: str, top: int = 20) -> DataFrame:
+    """The ``top`` members of a dimension by tokens of the second period."""
+    return _weights(rows, DIMENSIONS[dimension], F.col("total")).orderBy(F.desc("after"), "first_seen").limit(top)
+
+
 def uncached_movers(rows: DataFrame, dimension: str, top: int = 20) -> DataFrame:
     """Members whose uncached input grew, by growth."""
     uncached = F.when(F.col("cache_read").isNotNull() & F.col("input").isNotNull(), F.col("input") - F.col("cache_read"))

@@ -7,11 +7,12 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.functions.accounting import COUNTS, FLAGS, classified
 from ledgerloom.functions.accounting import SQL as CLASSIFIED
 from ledgerloom.functions.text import sql_fold
-from ledgerloom.operators import coverage, delivery, observations, periods, providers, routing, scan, sessions, snapshots, stats, usage
+from ledgerloom.operators import coverage, delivery, observations, periods, providers, questions, routing, scan, sessions, snapshots, stats, usage
 from ledgerloom.operators.periods import SQL as SIDED
 from ledgerloom.session import read
 from ledgerloom.sources.adapters import EVENT_SQL, REQUEST_SQL, usage_from_events, usage_from_exports, usage_from_requests
@@ -582,6 +583,40 @@ def scan_history(spark: SparkSession, sf: str) -> DataFrame:
     return scan.history(f, F.lit(now).cast("timestamp_ntz"))
 
 
+_SPLIT = "window_start < DATE '2024-01-16'"
+
+
+@query(f"""{_QUALITY}, w AS (SELECT window_start, {_SPLIT} AS early, count(DISTINCT producer) = 5 AS whole, sum(requests) AS requests, sum(missing) AS missing FROM q GROUP BY 1, 2),
+x AS (SELECT coalesce(bool_and(whole) FILTER (early), false) AND coalesce(bool_and(whole) FILTER (NOT early), false) AS whole, sum(missing) AS missing, sum(requests) FILTER (early) AS r0, sum(requests) FILTER (NOT early) AS r1 FROM w),
+r AS (SELECT CASE WHEN NOT whole THEN 'incomplete_producers' WHEN r0 IS NULL OR r1 IS NULL THEN 'counters_unavailable' WHEN missing <> 0 THEN 'missing_usage' WHEN r0 = 0 OR r1 = 0 THEN 'no_requests' END AS reason, whole AND missing = 0 AS covered FROM x)
+SELECT 'volume' AS question, CASE WHEN reason IS NULL THEN 'observed' ELSE 'cannot_determine' END AS status, reason FROM r UNION ALL SELECT 'coverage', CASE WHEN covered THEN 'observed' ELSE 'limited' END, CASE WHEN NOT covered THEN coalesce(reason, 'missing_usage') END FROM r""")
+def question_statuses(spark: SparkSession, sf: str) -> DataFrame:
+    return questions.statuses(_quality(spark, sf), F.expr(_SPLIT), ~F.expr(_SPLIT), _TEAMS)
+
+
+@query(f"""{_weights_sql('api_key')}, a AS (SELECT 'change' AS list, member, CAST(row_number() OVER (ORDER BY abs(change) DESC, first_seen) AS INT) AS place FROM c), b AS (SELECT 'size' AS list, member, CAST(100 + row_number() OVER (ORDER BY after DESC, first_seen) AS INT) AS place FROM c),
+l AS (SELECT * FROM a WHERE place <= 7 UNION ALL SELECT * FROM b WHERE place <= 107), f AS (SELECT member, min(place) AS place FROM l GROUP BY member), n AS (SELECT member, 'key-' || row_number() OVER (ORDER BY place, member) AS alias FROM f)
+SELECT list, l.member, place, alias, 'key' AS kind FROM l JOIN n ON n.member = l.member""")
+def mover_aliases(spark: SparkSession, sf: str) -> DataFrame:
+    """The first movers by change and by size under one set of aliases."""
+    rows = _sided(spark, sf)
+    w = usage.movers(rows, "key", 7)
+    by = lambda order: F.row_number().over(Window.orderBy(*order))  # noqa: E731  over seven rows
+    a = w.select(F.lit("change").alias("list"), "member", by([F.desc(F.abs("change")), F.col("first_seen")]).alias("place"))
+    large = usage.largest(rows, "key", 7)
+    b = large.select(F.lit("size").alias("list"), "member", (by([F.desc("after"), F.col("first_seen")]) + 100).alias("place"))
+    return questions.aliased(a.unionByName(b).withColumn("kind", F.lit("key")), "kind", "member", "place")
+
+
+@query(f"""WITH {EVENT_SQL}, {CLASSIFIED}, s AS (SELECT CAST(start_time AS DATE) AS window_start, session_id AS item, CAST(sum(total) AS BIGINT) AS n FROM classified WHERE coalesce(session_id, '') <> '' AND start_time IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT *, CAST(sum(n) OVER (PARTITION BY window_start) AS BIGINT) AS total FROM s) SELECT window_start, item, n AS lower, n AS upper, total, 'runaway_candidate' AS flag FROM t WHERE total > 0 AND CAST(n AS HUGEINT) * 100 > CAST(total AS HUGEINT) * 4""")
+def session_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions that surely hold more than four percent of a day's tokens."""
+    x = _classified(spark, sf).filter("session_id <> '' and start_time is not null").groupBy(F.to_date("start_time").alias("window_start"), F.col("session_id").alias("item")).agg(F.sum("total").cast("bigint").alias("lower"))
+    totals = x.groupBy("window_start").agg(F.sum("lower").cast("bigint").alias("total"))
+    return questions.flagged(x.join(totals, "window_start").select("window_start", "item", "lower", F.col("lower").alias("upper"), "total"), "0.04")
+
+
 _ERRORS = """WITH c AS (SELECT CAST(ts AS DATE) AS day, concat('tool', CAST(user_id % 40 AS VARCHAR)) AS member, count(*) * CASE WHEN dayofmonth(CAST(ts AS DATE)) = 20 THEN 9 ELSE 1 END AS errors FROM events WHERE event_type = 'error' AND user_id % 40 < 30 GROUP BY 1, 2),
 d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), r AS (SELECT day FROM (SELECT day, lag(day, 6) OVER (ORDER BY day) AS first FROM d) WHERE day - first = 6),
 p AS (SELECT c.day, c.member, c.errors, list(coalesce(b.errors, 0)::DOUBLE) AS past FROM c JOIN r USING (day) JOIN d e ON e.day < c.day AND e.day >= c.day - 6 LEFT JOIN c b ON b.day = e.day AND b.member = c.member GROUP BY ALL),

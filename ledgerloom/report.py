@@ -69,3 +69,42 @@ def percent(part: int | Decimal, whole: int | Decimal, digits: int = 1) -> str:
     if not whole:
         return "n/a"
     return f"{Decimal(part) * 100 / Decimal(whole):.{digits}f}%"
+
+
+def share_text(lower: int, upper: int, total: int) -> str:
+    """A share of ``total`` between two counts, in percent; an interval is rounded outwards, so
+    the true share is never outside what is shown."""
+    if not total:
+        return "unknown"
+    if lower == upper:
+        return f"{Decimal(lower) * 100 / Decimal(total):.2f}%"
+    low = max(0, lower * 10_000 // total)
+    high = min(10_000, -(-upper * 10_000 // total))
+    return f"[{Decimal(low) / 100:.2f}%, {Decimal(high) / 100:.2f}%]"
+
+
+def headline(flagged: list[dict], tracked: int, volume: dict | None, reason: str = "") -> str:
+    """One line: flagged sessions first, else the change of volume, else why there is none.
+
+    ``flagged``: rows with lower, upper, total and unit; ``volume``: tokens and requests
+    before and after.
+    """
+    if flagged:
+        lead = max(flagged, key=lambda f: (Decimal(f["lower"]) / f["total"], -f["upper"]))
+        one = "; one flagged session: " if len(flagged) > 1 else ": "
+        return f"{len(flagged)} of {tracked} tracked sessions flagged for review{one}{share_text(lead['lower'], lead['upper'], lead['total'])} of attributed {lead['unit']}."
+    if volume:
+        change = volume["tokens_after"] - volume["tokens_before"]
+        return f"Reported tokens: {volume['tokens_before']} -> {volume['tokens_after']} ({change:+d}); model attempts: {volume['requests_before']} -> {volume['requests_after']}."
+    return f"Token-change breakdown unavailable. {reason}".rstrip()
+
+
+def text_table(rows: list[dict], columns: list[str] | None = None) -> str:
+    """Rows as aligned text: numbers to the right, nothing as '-'; line breaks within cells are shown as such."""
+    names = columns or (list(rows[0]) if rows else [])
+    cell = lambda v: "-" if v is None else count(v) if isinstance(v, int) and not isinstance(v, bool) else str(_cell(v)).replace("\n", "\\n")
+    body = [[cell(r.get(n)) for n in names] for r in rows]
+    widths = [max(map(len, column)) for column in zip(names, *body)]
+    right = [all(isinstance(r.get(n), (int, Decimal, float, type(None))) for r in rows) for n in names]
+    line = lambda cells: "  ".join(c.rjust(w) if r else c.ljust(w) for c, w, r in zip(cells, widths, right)).rstrip()
+    return "\n".join(map(line, [names, *body])) + "\n" if names else ""
