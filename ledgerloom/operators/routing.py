@@ -79,11 +79,21 @@ def shares(rows: DataFrame) -> DataFrame:
     return cells.select("route", "agent", "chosen", part(requests).alias("request_share"), part(tokens).alias("token_share"))
 
 
+def _places(rows: DataFrame, keys: list[str], order: list, top: int) -> DataFrame:
+    """``rows`` with ``place``: 1 to ``top`` in an order, ``top + 1`` for all others. Only the first
+    rows go into a window; the others are never sorted together."""
+    first = rows.orderBy(*order).limit(top).select(*[F.col(k).alias(f"__{k}") for k in keys], F.row_number().over(Window.orderBy(*order)).alias("__place"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    placed = rows.join(first, same, "left").withColumn("place", F.coalesce("__place", F.lit(top + 1)))
+    return placed.drop("__place", *[f"__{k}" for k in keys])
+
+
 def remainder(rows: DataFrame, top: int = 5) -> DataFrame:
     """Cohorts in order of requests, those beyond ``top`` merged into one row."""
     c = cohorts(rows).filter("grain = 2")
-    order = Window.orderBy(F.desc(F.col("requests_before") + F.col("requests_after")), "first_seen")  # over cohorts, which are few
-    c = c.withColumn("place", F.least(F.row_number().over(order), F.lit(top + 1)))
+    c = _places(c, ["route", "agent"], [F.desc(F.col("requests_before") + F.col("requests_after")), F.col("first_seen")], top)
     shown = F.col("place") <= top
     return c.groupBy("place").agg(
         F.max(F.when(shown, F.col("route"))).alias("route"), F.max(F.when(shown, F.col("agent"))).alias("agent"), F.count(F.lit(1)).alias("cohorts"),
@@ -155,8 +165,7 @@ def by_agent(rows: DataFrame) -> DataFrame:
 def agents_by_spend(rows: DataFrame, top: int = 4) -> DataFrame:
     """Agents by change of spend (those without usable spend last), beyond ``top`` merged."""
     a = by_agent(rows).filter("agent is not null").withColumn("change", F.col("spend_after") - F.col("spend_before"))
-    order = Window.orderBy(F.col("change").isNull(), F.desc("change"), "first_seen")  # over agents, which are few
-    a = a.withColumn("place", F.least(F.row_number().over(order), F.lit(top + 1)))
+    a = _places(a, ["agent"], [F.col("change").isNull(), F.desc("change"), F.col("first_seen")], top)
     return a.groupBy("place").agg(
         F.max(F.when(F.col("place") <= top, F.col("agent"))).alias("agent"), F.count(F.lit(1)).alias("agents"),
         F.sum("change").cast("decimal(38,6)").alias("spend_change"), F.sum("tokens_after").cast("bigint").alias("tokens_after"),
