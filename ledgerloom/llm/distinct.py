@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import SPACES
+
 #: Rows of a group from which it is split, and about the most hashes of one run.
 SHARD_ROWS = 65_536
 #: Most members, over all keys, whose rows are told to the tasks. A member beyond them has at most
@@ -255,6 +257,24 @@ def merge_runs(partial: DataFrame, keys: list[str], fields: list[str]) -> DataFr
     return partial.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
 
 
+def composed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with the strings of ``columns`` in one form: without surrounding white space, composed
+    by NFC, null where nothing is left."""
+    names = set(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, column in zip(batch.schema.names, batch.columns):
+                if name in names:
+                    text = pc.utf8_trim(pc.utf8_normalize(pc.utf8_trim(column, SPACES), form="NFC"), SPACES)
+                    column = pc.if_else(pc.equal(text, ""), None, text)
+                out.append(column)
+            yield pa.RecordBatch.from_arrays(out, names=batch.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def distinct_counts(df: DataFrame, keys: list[str], fields: list[str], shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``grouped, keys, n_<field>, collisions``: distinct values of each combination
     of keys, and the expected number of values lost to hash collisions (the

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import SPACES, strip
+from ledgerloom.functions.text import SPACES
 from ledgerloom.llm import distinct, quantiles
 from ledgerloom.llm.encode import encoded, reuse
 from ledgerloom.llm.frequent import frequent
@@ -68,8 +68,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 def p6_distinct(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct keys, sessions and teams of each day, team, model and combination."""
     rows = _dated(spark, sf, ["api_key", "session_id", "team_id", "model"])
-    value = lambda c: F.nullif(strip(F.col(c)), F.lit(""))
-    rows = rows.select("day", value("team_id").alias("team"), "model", value("api_key").alias("api_key"), value("session_id").alias("session_id"), value("team_id").alias("team_id"))
+    rows = distinct.composed(rows.select("day", F.col("team_id").alias("team"), "model", "api_key", "session_id", "team_id"), ["team", "api_key", "session_id", "team_id"])
     return distinct.distinct_counts(rows, ["day", "team", "model"], ["api_key", "session_id", "team_id"])
 
 
