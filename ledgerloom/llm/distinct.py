@@ -10,6 +10,7 @@ bounded size, so no run outgrows a task.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -267,7 +268,11 @@ def composed(df: DataFrame, columns: list[str]) -> DataFrame:
             out = []
             for name, column in zip(batch.schema.names, batch.columns):
                 if name in names:
-                    text = pc.utf8_trim(pc.utf8_normalize(pc.utf8_trim(column, SPACES), form="NFC"), SPACES)
+                    text = pc.utf8_trim(column, SPACES)
+                    wide = pc.fill_null(pc.invert(pc.string_is_ascii(text)), False)
+                    if pc.any(wide).as_py():
+                        values = [unicodedata.normalize("NFC", v).strip(SPACES) for v in text.filter(wide).to_pylist()]
+                        text = pc.replace_with_mask(text, wide, pa.array(values, text.type))
                     column = pc.if_else(pc.equal(text, ""), None, text)
                 out.append(column)
             yield pa.RecordBatch.from_arrays(out, names=batch.schema.names)
